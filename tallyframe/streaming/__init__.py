@@ -1,0 +1 @@
+"""Holds no code: none of the operators works on a stream."""
