@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label, names, ratio, same_keys, weight
 from tallyframe.sources.scratch import BROADCAST_LIMIT_BYTES, measured_bytes, written
 
 
+MARGINS_PER_JOB = 3
+
+
 class RakingNotConverged(RuntimeError):
     """Raking stopped at ``max_iter`` with a margin still off its control."""
 
 
+@dataclass(frozen=True)
+class Margin:
+    """A factor per category of ``cols``, and whether the table may be broadcast."""
+
+    cols: list[str]
+    table: DataFrame
+    small: bool
+
+
 def poststratify(
     df: DataFrame,
     w: str,
@@ -52,9 +65,13 @@ def poststratify(
     factors = (
         wanted.alias("c")
         .join(sampled.alias("s"), same_keys(cells, "c", "s"), "full_outer")
-        .select(*[col.alias(k) for k, col in cell.items()], factor.alias("__factor"))
+        .select(
+            *[col.alias(k) for k, col in cell.items()],
+            "c.__control",
+            factor.alias("__factor"),
+        )
     )
-    return _reweighted(df, w, [(cells, factors, _is_small(wanted))], out)
+    return _reweighted(df, w, [Margin(cells, factors, _is_small(wanted))], out)
 
 
 def rake(
@@ -87,23 +104,22 @@ def rake(
         .agg(F.sum("__w").cast("double").alias("__base"))
         .where(F.col("__base").isNotNull())
     )
-    tables = [
-        written(_controls(m, cols, control).withColumn("__factor", F.lit(1.0)))
+    fitted = [
+        _starting_margin(cells, _controls(m, cols, control), cols)
         for m, cols in zip(margins, columns)
     ]
-    small = [_is_small(t) for t in tables]
-
-    def state() -> list[tuple[list[str], DataFrame, bool]]:
-        return list(zip(columns, tables, small))
-
     for _ in range(max_iter):
-        for k, cols in enumerate(columns):
-            tables[k] = written(_refitted(cells, state(), k))
-        worst, margin = _worst_gap(cells, state())
-        if worst <= tol:
-            return _reweighted(df, w, state(), out)
+        moved = 0.0
+        for start in range(0, len(fitted), MARGINS_PER_JOB):
+            some = range(start, min(start + MARGINS_PER_JOB, len(fitted)))
+            fitted, gap = _refitted(cells, fitted, some)
+            moved = max(moved, gap)
+        # Each gap was seen before the margins after it were fitted: look again.
+        if moved <= tol and _worst_gap(cells, fitted)[0] <= tol:
+            return _reweighted(df, w, fitted, out)
+    worst, k = _worst_gap(cells, fitted)
     raise RakingNotConverged(
-        f"after {max_iter} rounds the margin {', '.join(columns[margin])} "
+        f"after {max_iter} rounds the margin {', '.join(columns[k])} "
         f"is off its control by a relative {worst:.3g}"
     )
 
@@ -139,99 +155,129 @@ def _scaled(factor: Column, control: Column, total: Column, key: dict[str, Colum
     """The factor after fitting ``total`` to ``control``."""
     empty = total.isNull() | (total == 0)
     message = F.concat(F.lit("control without sample: "), label(key))
-    return F.when(empty & (control > 0), F.raise_error(message)).otherwise(
-        factor * ratio(control, total)
+    return (
+        F.when(empty & (control > 0), F.raise_error(message))
+        .when(empty, 0.0)
+        .otherwise(factor * ratio(control, total))
     )
 
 
-def _attached(
-    left: DataFrame, state: Sequence[tuple[list[str], DataFrame, bool]]
-) -> DataFrame:
-    """``left`` with ``__product``, the product of its margins' factors."""
-    keep = left.columns
-    for k, (cols, table, small) in enumerate(state):
-        factors = table.select(*cols, F.col("__factor").alias(f"__factor{k}"))
-        factors = F.broadcast(factors) if small else factors
+def _attached(left: DataFrame, margins: Sequence[Margin]) -> DataFrame:
+    """``left`` with the columns ``__control<k>`` and ``__factor<k>`` of each margin."""
+    for k, margin in enumerate(margins):
+        table = F.broadcast(margin.table) if margin.small else margin.table
         left = (
             left.alias("l")
-            .join(factors.alias("r"), same_keys(cols, "l", "r"), "left")
-            .select("l.*", f"r.__factor{k}")
+            .join(table.alias("r"), same_keys(margin.cols, "l", "r"), "left")
+            .select(
+                "l.*",
+                F.col("r.__control").alias(f"__control{k}"),
+                F.col("r.__factor").alias(f"__factor{k}"),
+            )
         )
-    product = reduce(
-        lambda a, b: a * b, [F.col(f"__factor{k}") for k in range(len(state))]
+    return left
+
+
+def _product(margins: Sequence[Margin]) -> Column:
+    return reduce(
+        lambda a, b: a * b, [F.col(f"__factor{k}") for k in range(len(margins))]
     )
-    return left.select(*[F.col(f"`{c}`") for c in keep], product.alias("__product"))
 
 
-def _reweighted(
-    df: DataFrame, w: str, state: Sequence[tuple[list[str], DataFrame, bool]], out: str
-) -> DataFrame:
-    rows = _attached(df.withColumn("__w", weight(df, w)), state)
+def _reweighted(df: DataFrame, w: str, margins: Sequence[Margin], out: str) -> DataFrame:
+    rows = _attached(df.withColumn("__w", weight(df, w)), margins)
     return rows.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        (F.col("__w") * F.col("__product")).alias(out),
+        (F.col("__w") * _product(margins)).alias(out),
     )
 
 
-def _fitted_totals(
-    cells: DataFrame, state: Sequence[tuple[list[str], DataFrame, bool]], k: int
-) -> DataFrame:
-    """Known total, factor and present weighted total per category of margin k."""
-    cols, table, small = state[k]
-    rows = _attached(cells, state)
-    known = F.col("__product").isNotNull()
+def _starting_margin(cells: DataFrame, controls: DataFrame, cols: list[str]) -> Margin:
+    """Factors of one, once every positive control has been found in the sample."""
+    sampled = cells.groupBy(*cols).agg(F.sum("__base").alias("__total"))
+    factor = _scaled(
+        F.lit(1.0),
+        F.col("c.__control"),
+        F.col("t.__total"),
+        {c: F.col(f"c.`{c}`") for c in cols},
+    )
+    table = written(
+        controls.alias("c")
+        .join(sampled.alias("t"), same_keys(cols, "c", "t"), "left")
+        .select("c.*", F.when(factor >= 0, 1.0).alias("__factor"))
+    )
+    return Margin(cols, table, _is_small(table))
+
+
+def _fitted_totals(cells: DataFrame, margins: Sequence[Margin], k: int) -> DataFrame:
+    """Control, factor and present weighted total of each category of margin k."""
     message = F.concat(
         F.lit("sampled cell without a control: "),
         label({c: F.col(c) for c in cells.columns if c != "__base"}),
     )
-    totals = (
-        rows.withColumn(
-            "__fit",
-            F.when(known, F.col("__base") * F.col("__product")).otherwise(
-                F.raise_error(message)
-            ),
-        )
-        .groupBy(*cols)
-        .agg(F.sum("__fit").alias("__total"))
+    fit = F.when(_product(margins).isNull(), F.raise_error(message)).otherwise(
+        F.col("__base") * _product(margins)
     )
-    totals = F.broadcast(totals) if small else totals
+    control, total = F.col("__control"), F.col("__total")
+    cols = margins[k].cols
     return (
-        table.alias("c")
-        .join(totals.alias("t"), same_keys(cols, "c", "t"), "left")
-        .select("c.*", "t.__total")
+        _attached(cells, margins)
+        .select(
+            *cols,
+            F.col(f"__control{k}").alias("__control"),
+            F.col(f"__factor{k}").alias("__factor"),
+            fit.alias("__fit"),
+        )
+        .groupBy(*cols, "__control", "__factor")
+        .agg(F.sum("__fit").alias("__total"))
+        .withColumn(
+            "__gap", F.coalesce(ratio(F.abs(total - control), control), total)
+        )
     )
 
 
 def _refitted(
-    cells: DataFrame, state: Sequence[tuple[list[str], DataFrame, bool]], k: int
-) -> DataFrame:
-    cols = state[k][0]
-    factor = _scaled(
-        F.col("__factor"),
-        F.col("__control"),
-        F.col("__total"),
-        {c: F.col(c) for c in cols},
+    cells: DataFrame, margins: Sequence[Margin], some: Sequence[int]
+) -> tuple[list[Margin], float]:
+    """Fit the margins ``some`` in turn, in one job.
+
+    Returns all margins and the largest gap that one of ``some`` had just before
+    it was fitted. Each plan holds those before it, so ``some`` must be few.
+    """
+    fitted = list(margins)
+    parts = []
+    for k in some:
+        cols = fitted[k].cols
+        factor = _scaled(
+            F.col("__factor"),
+            F.col("__control"),
+            F.col("__total"),
+            {c: F.col(c) for c in cols},
+        )
+        part = _fitted_totals(cells, fitted, k).withColumn("__factor", factor)
+        fitted[k] = Margin(cols, part.drop("__total", "__gap"), fitted[k].small)
+        parts.append(part.withColumn("__margin", F.lit(k)))
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    seen = Observation()
+    table = written(
+        together.observe(seen, F.max("__gap").alias("gap")).drop("__total", "__gap")
     )
-    # An empty category with a control of zero keeps a factor, so that it is known.
-    factor = F.coalesce(factor, F.lit(0.0)).alias("__factor")
-    return _fitted_totals(cells, state, k).select(*cols, "__control", factor)
+    for k in some:
+        own = table.where(F.col("__margin") == k)
+        own = own.select(*fitted[k].cols, "__control", "__factor")
+        fitted[k] = Margin(fitted[k].cols, own, fitted[k].small)
+    return fitted, seen.get["gap"] or 0.0
 
 
-def _worst_gap(
-    cells: DataFrame, state: Sequence[tuple[list[str], DataFrame, bool]]
-) -> tuple[float, int]:
+def _worst_gap(cells: DataFrame, margins: Sequence[Margin]) -> tuple[float, int]:
     """Largest relative gap over all categories, and the margin it is in."""
-    total = F.coalesce("__total", F.lit(0.0))
-    gap = ratio(F.abs(total - F.col("__control")), F.col("__control"))
     gaps = [
-        _fitted_totals(cells, state, k)
-        .agg(F.max(F.coalesce(gap, total)).alias("gap"))
-        .select("gap", F.lit(k).alias("margin"))
-        for k in range(len(state))
+        _fitted_totals(cells, margins, k).select("__gap", F.lit(k).alias("__margin"))
+        for k in range(len(margins))
     ]
     worst = (
         reduce(DataFrame.unionAll, gaps)
-        .agg(F.max_by("margin", "gap").alias("margin"), F.max("gap").alias("gap"))
+        .agg(F.max("__gap").alias("gap"), F.max_by("__margin", "__gap").alias("margin"))
         .first()
     )
-    return worst["gap"], worst["margin"]
+    return worst["gap"] or 0.0, worst["margin"] or 0

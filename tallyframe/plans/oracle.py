@@ -157,7 +157,7 @@ def _rake() -> str:
         + ",\n".join(steps)
         + f"""
 SELECT c_custkey, CAST(1 + c_custkey % 3 AS DOUBLE) AS w,
-       round((1 + c_custkey % 3) * f.w / f.base, 6) AS w_raked
+       round((1 + c_custkey % 3) * f.w / f.base, 5) AS w_raked
 FROM customer JOIN c{2 * RAKE_ROUNDS} f USING (c_mktsegment, c_nationkey)
 """
     )

@@ -211,7 +211,7 @@ def rake_customers(spark: SparkSession, folder: str) -> DataFrame:
         for c in ("c_mktsegment", "c_nationkey")
     ]
     fitted = rake(customers, "w", margins, tol=1e-10)
-    return _rounded(fitted.select("c_custkey", "w", "w_raked"), w_raked=6)
+    return _rounded(fitted.select("c_custkey", "w", "w_raked"), w_raked=5)
 
 
 def period_change_orders(spark: SparkSession, folder: str) -> DataFrame:
