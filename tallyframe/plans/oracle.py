@@ -190,7 +190,18 @@ FROM orders
 
 ORACLE_SQL: dict[str, str] = {
     "svy_weighted_estimates": _estimates(_ORDERS, "o_totalprice", "o_orderpriority"),
-    "svy_weighted_estimates_parts": _estimates(_LINES, "l_extendedprice", "l_partkey"),
+    "svy_weighted_estimates_parts": """
+WITH g AS (
+  SELECT l_partkey, SUM(1 + l_orderkey % 3) AS n,
+         SUM((1 + l_orderkey % 3) * CAST(l_extendedprice AS DECIMAL(12,2))) AS y
+  FROM lineitem GROUP BY l_partkey
+),
+d AS (SELECT l_partkey, CAST(n AS DOUBLE) AS n, CAST(y AS DOUBLE) AS y FROM g),
+t AS (SELECT CAST(SUM(n) AS DOUBLE) AS n, CAST(SUM(y) AS DOUBLE) AS y FROM g)
+SELECT l_partkey, d.n AS n_hat, d.y AS y_hat, d.y / NULLIF(d.n, 0) AS mean_hat,
+       d.n / NULLIF(t.n, 0) AS share_n, d.y / NULLIF(t.y, 0) AS share_y
+FROM d, t
+""",
     "svy_weighted_estimates_overall": _estimates(_LINES, "l_quantity", None),
     "svy_weighted_ratio": f"""
 WITH g AS (

@@ -77,8 +77,15 @@ def weighted_estimates_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weighted_estimates_parts(spark: SparkSession, folder: str) -> DataFrame:
-    est = weighted_estimates(_lines(spark, folder), "w", "l_extendedprice", "l_partkey")
-    return _rounded(est, y_hat=2, mean_hat=6, share_n=10, share_y=10)
+    """Decimal inputs, so that sums are exact and the result needs no rounding."""
+    lines = _lines(spark, folder).withColumns(
+        {
+            "w": F.col("w").cast("decimal(4,0)"),
+            "l_extendedprice": F.col("l_extendedprice").cast("decimal(12,2)"),
+        }
+    )
+    est = weighted_estimates(lines, "w", "l_extendedprice", "l_partkey")
+    return est.withColumns({c: F.col(c).cast("double") for c in ("n_hat", "y_hat")})
 
 
 def weighted_estimates_overall(spark: SparkSession, folder: str) -> DataFrame:
