@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label, names, ratio, same_keys, weight
-from tallyframe.sources.scratch import BROADCAST_LIMIT_BYTES, measured_bytes, written
+from tallyframe.sources.scratch import is_small, written, written_and_measured
 
 
 MARGINS_PER_JOB = 3
@@ -71,7 +71,7 @@ def poststratify(
             factor.alias("__factor"),
         )
     )
-    return _reweighted(df, w, [Margin(cells, factors, _is_small(wanted))], out)
+    return _reweighted(df, w, [Margin(cells, factors, is_small(wanted))], out)
 
 
 def rake(
@@ -147,10 +147,6 @@ def _controls(controls: DataFrame, keys: list[str], control: str) -> DataFrame:
     )
 
 
-def _is_small(df: DataFrame) -> bool:
-    return measured_bytes(df) <= BROADCAST_LIMIT_BYTES
-
-
 def _scaled(factor: Column, control: Column, total: Column, key: dict[str, Column]) -> Column:
     """The factor after fitting ``total`` to ``control``."""
     empty = total.isNull() | (total == 0)
@@ -201,12 +197,12 @@ def _starting_margin(cells: DataFrame, controls: DataFrame, cols: list[str]) ->
         F.col("t.__total"),
         {c: F.col(f"c.`{c}`") for c in cols},
     )
-    table = written(
+    table, small = written_and_measured(
         controls.alias("c")
         .join(sampled.alias("t"), same_keys(cols, "c", "t"), "left")
         .select("c.*", F.when(factor >= 0, 1.0).alias("__factor"))
     )
-    return Margin(cols, table, _is_small(table))
+    return Margin(cols, table, small)
 
 
 def _fitted_totals(cells: DataFrame, margins: Sequence[Margin], k: int) -> DataFrame:

@@ -7,9 +7,10 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.columns import is_floating, names, same_keys, weight
-from tallyframe.sources.scratch import written
+from tallyframe.sources.scratch import written, written_and_measured
 
 
 def weighted_quantile(
@@ -29,7 +30,9 @@ def weighted_quantile(
     range-partitioned by group and value, and written once, which fixes the range
     each row belongs to. The sums per range locate the one range where each
     quantile falls, and only those ranges are sorted. The largest unit of work
-    is one range, whatever share of the rows a group or a value holds.
+    is one range, whatever share of the rows a group or a value holds. The located
+    ranges are written too; few enough, they are broadcast, and the ranges that
+    hold no quantile are dropped without a shuffle.
     """
     by = names(by)
     probs = [Decimal(str(p)) for p in probs]
@@ -43,62 +46,73 @@ def weighted_quantile(
         .groupBy(*by, "__y")
         .agg(F.sum("__w").alias("__w"))
     )
+    # The hash stands in for the group in the join below, where a group may be NULL.
     ranges = written(
-        values.repartitionByRange(*by, "__y").withColumn(
-            "__range", F.spark_partition_id()
+        values.repartitionByRange(*by, "__y").select(
+            "*",
+            F.spark_partition_id().alias("__range"),
+            (F.xxhash64(*by) if by else F.lit(0)).cast("bigint").alias("__group"),
         )
     )
 
-    in_order = Window.partitionBy(*by).orderBy("__range")
+    in_order = Window.partitionBy("__group", *by).orderBy("__range")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     located = (
-        ranges.groupBy(*by, "__range")
+        ranges.groupBy("__group", *by, "__range")
         .agg(F.sum("__w").alias("__part"))
         .select(
+            "__group",
             *by,
             "__range",
-            "__part",
             F.sum("__part").over(before).alias("__before"),
             F.sum("__part").over(so_far).alias("__so_far"),
             F.sum("__part").over(whole).alias("__total"),
         )
     )
-    # A range holds quantile p if the cumulative weight passes p * total in it.
+    # A range holds quantile p if the cumulative weight reaches p * total in it.
     # ``__before`` is NULL until some weight has been seen.
-    targets = []
+    integral = isinstance(df.schema[w].dataType, T.IntegralType)
+    targets = {}
     for i, p in enumerate(probs):
-        target = F.col("__total") * _share(p, floating)
+        target = F.col("__total") * (F.lit(float(p)) if floating else F.lit(p))
+        if integral:
+            target = F.ceil(target).cast("bigint")
         reached_here = (F.col("__so_far") >= target) & (
             F.col("__before").isNull() | (F.col("__before") < target)
         )
-        targets.append(F.when(reached_here, target).alias(f"__target{i}"))
-    hits = located.select(*by, "__range", "__before", "__total", *targets).where(
-        F.coalesce(*[F.col(f"__target{i}") for i in range(len(probs))]).isNotNull()
-        | F.col("__total").isNull()
+        targets[f"__target{i}"] = F.when(reached_here, target)
+    hits, small = written_and_measured(
+        located.select(
+            "__group",
+            *by,
+            "__range",
+            "__before",
+            F.col("__total").isNull().alias("__empty"),
+            *[target.alias(name) for name, target in targets.items()],
+        ).where(F.coalesce(*targets).isNotNull() | F.col("__empty"))
     )
+    hits = F.broadcast(hits) if small else hits
 
+    same = F.expr("r.__range = h.__range and r.__group = h.__group")
+    if by:
+        same = same & same_keys(by, "r", "h")
     in_range = (
-        Window.partitionBy(*by, "__range")
+        Window.partitionBy("__group", "__range", *by)
         .orderBy("__y")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    rows = ranges.alias("r").join(
-        hits.alias("h"), same_keys([*by, "__range"], "r", "h")
-    )
-    running = rows.select(
-        *[F.col(f"r.`{k}`") for k in [*by, "__range"]],
-        "__y",
-        "__w",
-        "__before",
-        *[f"__target{i}" for i in range(len(probs))],
-    ).withColumn(
-        "__cum",
-        F.coalesce("__before", F.lit(0)) + F.sum("__w").over(in_range),
+    running = (
+        ranges.alias("r")
+        .join(hits.alias("h"), same)
+        .select("r.*", "h.__before", *targets)
+        .withColumn(
+            "__cum", F.coalesce("__before", F.lit(0)) + F.sum("__w").over(in_range)
+        )
     )
     found = running.groupBy(*by).agg(
-        *[_first_reaching(i).alias(f"__q{i}") for i in range(len(probs))]
+        *[_first_reaching(name, floating).alias(f"__q{i}") for i, name in enumerate(targets)]
     )
     answers = F.array(
         *[
@@ -111,13 +125,11 @@ def weighted_quantile(
     return found.select(*by, F.inline(answers))
 
 
-def _share(p: Decimal, floating: bool) -> Column:
-    return F.lit(float(p)) if floating else F.lit(p)
-
-
-def _first_reaching(i: int) -> Column:
-    """Smallest value at or past the target; the last one if rounding hides it."""
-    target = F.col(f"__target{i}")
-    reached = F.min(F.when(F.col("__cum") >= target, F.col("__y")))
-    last = F.max(F.when(target.isNotNull() & (F.col("__w") > 0), F.col("__y")))
-    return F.coalesce(reached, last)
+def _first_reaching(target: str, floating: bool) -> Column:
+    """Smallest value at or past the target."""
+    reached = F.min(F.when(F.col("__cum") >= F.col(target), F.col("__y")))
+    if not floating:
+        return reached
+    # The same doubles added in another order may stop just short of the target.
+    last = F.when(F.col(target).isNotNull() & (F.col("__w") > 0), F.col("__y"))
+    return F.coalesce(reached, F.max(last))

@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder, and size-checked broadcasts."""
+"""Intermediate tables in the shared folder, and size checks for broadcasts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,22 +45,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast when the measured size of ``df`` allows it.
+def written_and_measured(df: DataFrame) -> tuple[DataFrame, bool]:
+    """As :func:`written`; also whether the rows are few enough to broadcast."""
+    seen = Observation()
+    table = written(df.observe(seen, _total_bytes(df).alias("bytes")))
+    return table, (seen.get["bytes"] or 0) <= BROADCAST_LIMIT_BYTES
 
-    Sums the row widths in one job; beyond the limit the join is left to Spark,
-    which shuffles both sides and splits skewed partitions.
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` may be broadcast, by the measured width of its rows.
+
+    Beyond the limit a join is left to Spark, which shuffles both sides and
+    splits skewed partitions.
     """
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
-
-
-def measured_bytes(df: DataFrame) -> int:
-    widths = []
-    for field in df.schema.fields:
-        if isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)):
-            widths.append(F.lit(16))
-        else:
-            text = F.col(field.name).cast("string")
-            widths.append(F.lit(16) + F.coalesce(F.octet_length(text), F.lit(0)))
-    row = reduce(lambda a, b: a + b, widths, F.lit(16)).cast("bigint")
-    return df.agg(F.coalesce(F.sum(row), F.lit(0).cast("bigint"))).first()[0]
+    return (df.agg(_total_bytes(df)).first()[0] or 0) <= BROADCAST_LIMIT_BYTES
+
+
+def _total_bytes(df: DataFrame) -> Column:
+    fixed = 16 * (1 + len(df.columns))
+    texts = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+        for f in df.schema.fields
+        if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))
+    ]
+    return F.sum(reduce(lambda a, b: a + b, texts, F.lit(fixed)).cast("bigint"))

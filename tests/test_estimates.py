@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe import weighted_crosstab, weighted_estimates, weighted_ratio
+from tests.conftest import keyed
+
+
+def test_null_and_zero_weights_contribute_nothing(rows):
+    df = rows(
+        "g string, w double, y double",
+        ("a", 2.0, 10.0),
+        ("a", None, 99.0),
+        ("a", 0.0, 99.0),
+    )
+    found = keyed(weighted_estimates(df, "w", "y", "g"), "g")
+    assert found["a"] == {
+        "n_hat": 2.0, "y_hat": 20.0, "mean_hat": 10.0, "share_n": 1.0, "share_y": 1.0,
+    }
+
+
+def test_null_measure_leaves_numerator_and_denominator(rows):
+    df = rows("w double, y double", (2.0, 10.0), (3.0, None))
+    found = weighted_estimates(df, "w", "y").first()
+    assert (found.n_hat, found.y_hat, found.mean_hat) == (2.0, 20.0, 10.0)
+
+
+def test_group_without_weight_is_null_and_kept(rows):
+    df = rows("g string, w double, y double", ("a", 1.0, 4.0), ("b", 0.0, 5.0))
+    found = keyed(weighted_estimates(df, "w", "y", "g"), "g")
+    assert set(found["b"].values()) == {None}
+    assert found["a"]["share_n"] == 1.0
+
+
+def test_null_group_is_a_group(rows):
+    df = rows("g string, w double, y double", (None, 1.0, 4.0), ("b", 3.0, 4.0))
+    found = keyed(weighted_estimates(df, "w", "y", "g"), "g")
+    assert found[None]["share_n"] == 0.25
+
+
+def test_negative_values_and_zero_total(rows):
+    df = rows("g string, w double, y double", ("a", 1.0, -4.0), ("b", 1.0, 4.0))
+    found = keyed(weighted_estimates(df, "w", "y", "g"), "g")
+    assert found["a"]["y_hat"] == -4.0
+    assert found["a"]["share_y"] is None
+
+
+@pytest.mark.parametrize("bad", [-1.0, float("nan")])
+def test_unusable_weight_is_an_error(rows, bad):
+    df = rows("w double, y double", (1.0, 1.0), (bad, 1.0))
+    with pytest.raises(Exception, match="weight column w holds"):
+        weighted_estimates(df, "w", "y").collect()
+
+
+def test_decimal_totals_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).select(
+        (F.col("id") % 7).cast("decimal(4,1)").alias("w"),
+        (F.col("id") / 100).cast("decimal(12,2)").alias("y"),
+    )
+    totals = {
+        weighted_estimates(df.repartition(n), "w", "y").first().y_hat for n in (1, 3, 16)
+    }
+    assert len(totals) == 1
+
+
+def test_ratio_needs_both_parts_of_a_row(rows):
+    df = rows(
+        "g string, w double, num double, den double",
+        ("a", 2.0, 1.0, 4.0),
+        ("a", 5.0, None, 4.0),
+        ("a", 5.0, 1.0, None),
+        ("b", 1.0, 1.0, 0.0),
+    )
+    found = keyed(weighted_ratio(df, "w", "num", "den", "g"), "g")
+    assert found["a"] == {"num_hat": 2.0, "den_hat": 8.0, "ratio_hat": 0.25}
+    assert found["b"]["ratio_hat"] is None
+
+
+def test_crosstab_tells_null_category_from_subtotal(rows):
+    df = rows("a string, b string, w double", (None, "x", 2.0), ("p", "x", 3.0))
+    found = keyed(weighted_crosstab(df, "w", ["a", "b"]), "a", "b", "gid")
+    assert {k: v["n_hat"] for k, v in found.items()} == {
+        (None, "x", 0): 2.0,
+        ("p", "x", 0): 3.0,
+        (None, None, 1): 2.0,
+        ("p", None, 1): 3.0,
+        (None, "x", 2): 5.0,
+        (None, None, 3): 5.0,
+    }
