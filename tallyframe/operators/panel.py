@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,16 +67,18 @@ def panel_flows(
     """
     key = names(key)
     period = F.col("__p")
-    sampled = df.select(
-        *key,
-        df[p].cast("bigint").alias("__p"),
-        df[state].alias("__state"),
-        weight(df, w).alias("__w"),
-    ).where(F.col("__w").isNotNull())
-    unlinkable = F.lit(False)
-    for k in key:
-        unlinkable = unlinkable | F.col(k).isNull()
-    unlinkable = unlinkable | period.isNull()
+    no_period = F.raise_error(F.lit(f"period column {p} is NULL on a row with weight"))
+    sampled = (
+        df.select(
+            *key,
+            df[p].cast("bigint").alias("__p"),
+            df[state].alias("__state"),
+            weight(df, w).alias("__w"),
+        )
+        .where(F.col("__w").isNotNull())
+        .withColumn("__p", F.when(period.isNull(), no_period).otherwise(period))
+    )
+    unlinkable = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
 
     # The arrival in p is judged in the block of p, the exit from p in that of p + 1.
     block = period - F.pmod(period, F.lit(PERIODS_PER_BLOCK))
@@ -115,9 +118,8 @@ def panel_flows(
             (F.lead("__p").over(unit) == period + 1).alias("__seen_after"),
         )
     )
-    no_period = F.raise_error(F.lit(f"period column {p} is NULL on a row with weight"))
     unlinked = sampled.where(unlinkable).select(
-        F.when(period.isNull(), no_period).otherwise(period).alias("__p"),
+        "__p",
         "__state",
         "__w",
         F.lit(True).alias("__arrives"),

@@ -33,8 +33,7 @@ def design_variance(
     mean PSU total of the whole sample. Rows with a null or zero weight are not
     in the sample and do not put their PSU there.
     """
-    used = F.when(df[y].isNotNull(), df[y])
-    parts = _components(df, w, [used], strata, psu, by, lonely_psu)
+    parts = _components(df, w, [df[y]], strata, psu, by, lonely_psu)
     return parts.select(
         *names(by),
         F.col("__total0").alias("y_hat"),
@@ -93,21 +92,23 @@ def replicate_variance(
     gap between the replicate's total and the full-sample total. Returns ``by``
     plus ``y_hat``, ``variance``, ``se`` and ``cv``.
 
-    All replicates are summed in one pass over wide rows; nothing is exploded.
+    All replicates are summed in one pass over wide rows; nothing is exploded, and
+    a replicate adds one product and one sum. Only ``w`` is checked for negative
+    values, since some replication methods make negative replicate weights.
     """
     by = names(by)
-    used = F.when(df[y].isNotNull(), df[y])
-    weights = [w, *replicate_cols]
     totals = (
         df.select(
-            *by, *[(weight(df, c) * used).alias(f"__t{i}") for i, c in enumerate(weights)]
+            *by,
+            (weight(df, w) * df[y]).alias("__t0"),
+            *[(df[c] * df[y]).alias(f"__t{i}") for i, c in enumerate(replicate_cols, 1)],
         )
         .groupBy(*by)
-        .agg(*[F.sum(f"__t{i}").alias(f"__t{i}") for i in range(len(weights))])
+        .agg(*[F.sum(f"__t{i}").alias(f"__t{i}") for i in range(len(replicate_cols) + 1)])
     )
     full = F.col("__t0").cast("double")
     replicates = F.array(
-        *[F.col(f"__t{i}").cast("double") for i in range(1, len(weights))]
+        *[F.col(f"__t{i}").cast("double") for i in range(1, len(replicate_cols) + 1)]
     )
     # A replicate without weight in a group estimates zero there.
     gaps = F.aggregate(

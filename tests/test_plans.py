@@ -3,7 +3,13 @@
 import pytest
 
 import __spark_entry__ as contract
-from tallyframe import design_variance, poststratify, rake, weighted_estimates
+from tallyframe import (
+    design_variance,
+    panel_flows,
+    poststratify,
+    rake,
+    weighted_estimates,
+)
 from tallyframe.sources import scratch
 from tallyframe.sources.tables import table
 from tests.compare import TESTDATA
@@ -86,3 +92,11 @@ def test_shared_folder_must_be_named_on_a_cluster():
         scratch.shared_folder(Session)
     Session.conf[scratch.SETTING] = "hdfs://x/shared/"
     assert scratch.shared_folder(Session) == "hdfs://x/shared"
+
+
+def test_records_without_a_key_are_found_by_the_scan(spark):
+    df = table(spark, FOLDER, "events").selectExpr(
+        "user_id", "event_id as p", "event_type as s", "1.0D as w"
+    )
+    plan = panel_flows(df, "user_id", "p", "s", "w")._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [IsNull(user_id)]" in plan.toString()
