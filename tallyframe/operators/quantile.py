@@ -12,6 +12,13 @@ from pyspark.sql import types as T
 from tallyframe.functions.columns import is_floating, names, same_keys, weight
 from tallyframe.sources.scratch import written, written_and_measured
 
+# A slot spans about half a percent of the values in it.
+SLOTS_PER_LOG_UNIT = 200
+# The most rows of one group and slot that are sorted in one task.
+SORTED_ROWS = 4_000_000
+
+FIRST_SLOT, LAST_SLOT = -(2**63), 2**63 - 1
+
 
 def weighted_quantile(
     df: DataFrame,
@@ -26,98 +33,185 @@ def weighted_quantile(
     A group without usable rows is kept, with NULL quantiles. Integer or decimal
     weights make ties at ``p`` exact; double weights may round across a tie.
 
-    No group is brought together in one task. Rows are summed per distinct value,
-    range-partitioned by group and value, and written once, which fixes the range
-    each row belongs to. The sums per range locate the one range where each
-    quantile falls, and only those ranges are sorted. The largest unit of work
-    is one range, whatever share of the rows a group or a value holds. The located
-    ranges are written too; few enough, they are broadcast, and the ranges that
-    hold no quantile are dropped without a shuffle.
+    No group is brought together in one task. A first scan sums the weights per
+    group and slot, a narrow band of values; the running sum over the slots tells
+    the one slot that holds each quantile. A second scan keeps only the rows of
+    those slots. Where a slot has too many rows to sort in a task, its values are
+    range-partitioned and written, and the same search runs over the ranges.
+
+    With so many groups that the slots found are not few, or with values that are
+    not numbers, the ranges are searched directly, over all values.
     """
     by = names(by)
     probs = [Decimal(str(p)) for p in probs]
     if not probs or any(not 0 <= p <= 1 for p in probs):
         raise ValueError("probs must lie between 0 and 1")
     floating = is_floating(df, w)
+    integral = isinstance(df.schema[w].dataType, T.IntegralType)
+    shares = [F.lit(float(p)) if floating else F.lit(p) for p in probs]
+
+    def targets() -> list[Column]:
+        found = [F.col("__whole") * share for share in shares]
+        return [F.ceil(t).cast("bigint") for t in found] if integral else found
 
     usable = F.when(df[y].isNotNull(), weight(df, w))
-    values = (
-        df.select(*by, usable.alias("__w"), F.when(usable.isNotNull(), df[y]).alias("__y"))
-        .groupBy(*by, "__y")
-        .agg(F.sum("__w").alias("__w"))
+    rows = df.select(
+        *by, usable.alias("__w"), F.when(usable.isNotNull(), df[y]).alias("__y")
     )
-    # The hash stands in for the group in the join below, where a group may be NULL.
-    ranges = written(
-        values.repartitionByRange(*by, "__y").select(
-            "*",
-            F.spark_partition_id().alias("__range"),
-            (F.xxhash64(*by) if by else F.lit(0)).cast("bigint").alias("__group"),
+    # The hash stands in for the group in joins, where a group may be NULL.
+    group_hash = F.xxhash64(*by) if by else F.lit(0)
+    rows = rows.withColumn("__group", group_hash.cast("bigint"))
+    group = ["__group", *by]
+
+    if isinstance(df.schema[y].dataType, T.NumericType):
+        rows = rows.withColumn("__slot", _slot())
+        slots = rows.groupBy(*group, "__slot").agg(
+            F.sum("__w").alias("__part"), F.count("*").alias("__rows")
         )
+        located = _holding(_running(slots, group, "__slot"), targets())
+        hits, few = written_and_measured(located)
+        if few:
+            return _within_slots(rows, hits, by, probs, floating)
+
+    ranges = _ranges(rows.groupBy(*group, "__y").agg(F.sum("__w").alias("__w")), by)
+    parts = ranges.groupBy(*group, "__range").agg(F.sum("__w").alias("__part"))
+    hits, few = written_and_measured(
+        _holding(_running(parts, group, "__range"), targets())
     )
+    return _answers(ranges, hits, few, by, ["__range"], probs, floating)
 
-    in_order = Window.partitionBy("__group", *by).orderBy("__range")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    located = (
-        ranges.groupBy("__group", *by, "__range")
-        .agg(F.sum("__w").alias("__part"))
+
+def _within_slots(
+    rows: DataFrame, hits: DataFrame, by: list[str], probs: list[Decimal], floating: bool
+) -> DataFrame:
+    """Search the slots in ``hits``, whose rows are few enough to broadcast."""
+    group = ["__group", *by, "__slot"]
+    largest = hits.agg(F.max(F.when(~F.col("__empty"), F.col("__rows")))).first()[0]
+    values = (
+        rows.alias("r")
+        .join(F.broadcast(hits.alias("h")), _same(by, ["__slot"]), "left_semi")
+        .groupBy(*group, "__y")
+        .agg(F.sum("__w").alias("__w"))
+    )
+    if (largest or 0) <= SORTED_ROWS:
+        return _answers(values, hits, True, by, ["__slot"], probs, floating)
+
+    ranges = _ranges(values, by)
+    parts = ranges.groupBy(*group, "__range").agg(F.sum("__w").alias("__part"))
+    # The sums start over in each slot; put what came before the slot in front.
+    start = F.coalesce("h.__before", F.lit(0))
+    targets = _target_names(probs)
+    inside = (
+        _running(parts, group, "__range")
+        .alias("r")
+        .join(F.broadcast(hits.alias("h")), _same(by, ["__slot"]))
         .select(
-            "__group",
-            *by,
-            "__range",
-            F.sum("__part").over(before).alias("__before"),
-            F.sum("__part").over(so_far).alias("__so_far"),
-            F.sum("__part").over(whole).alias("__total"),
+            *[F.col(f"r.`{k}`") for k in [*group, "__range"]],
+            F.coalesce(start + F.col("r.__before"), F.col("h.__before")).alias("__before"),
+            (start + F.col("r.__so_far")).alias("__so_far"),
+            (start + F.col("r.__whole")).alias("__whole"),
+            *[f"h.{t}" for t in targets],
         )
     )
-    # A range holds quantile p if the cumulative weight reaches p * total in it.
-    # ``__before`` is NULL until some weight has been seen.
-    integral = isinstance(df.schema[w].dataType, T.IntegralType)
-    targets = {}
-    for i, p in enumerate(probs):
-        target = F.col("__total") * (F.lit(float(p)) if floating else F.lit(p))
-        if integral:
-            target = F.ceil(target).cast("bigint")
-        reached_here = (F.col("__so_far") >= target) & (
-            F.col("__before").isNull() | (F.col("__before") < target)
+    # Doubles added in another order may end just short of the target.
+    wanted = [F.col(t) for t in targets]
+    if floating:
+        wanted = [F.when(t.isNotNull(), F.least(t, F.col("__whole"))) for t in wanted]
+    found, few = written_and_measured(_holding(inside, wanted))
+    return _answers(ranges, found, few, by, ["__slot", "__range"], probs, floating)
+
+
+def _slot() -> Column:
+    """A whole number that never falls as ``__y`` rises."""
+    value = F.col("__y").cast("double")
+    log = F.signum(value) * F.log1p(F.abs(value))
+    return (
+        F.when(value.isNull(), FIRST_SLOT)
+        .when(F.isnan(value), LAST_SLOT)
+        .otherwise(F.floor(log * SLOTS_PER_LOG_UNIT))
+    )
+
+
+def _ranges(values: DataFrame, by: list[str]) -> DataFrame:
+    """Range-partitioned values; writing them fixes the range each belongs to."""
+    ranged = values.repartitionByRange(*by, "__y")
+    return written(ranged.withColumn("__range", F.spark_partition_id()))
+
+
+def _running(parts: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Cumulative weight before, up to and after all of each part of a group."""
+    in_order = Window.partitionBy(*group).orderBy(order)
+    part = F.sum("__part")
+    return parts.withColumns(
+        {
+            "__before": part.over(in_order.rowsBetween(Window.unboundedPreceding, -1)),
+            "__so_far": part.over(
+                in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ),
+            "__whole": part.over(
+                in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            ),
+        }
+    )
+
+
+def _holding(running: DataFrame, targets: list[Column]) -> DataFrame:
+    """The parts in which the cumulative weight reaches a target, and which.
+
+    ``__before`` is NULL until some weight has been seen. A group without weight
+    keeps all its parts.
+    """
+    reached = {
+        f"__target{i}": F.when(
+            (F.col("__so_far") >= target)
+            & (F.col("__before").isNull() | (F.col("__before") < target)),
+            target,
+        )
+        for i, target in enumerate(targets)
+    }
+    return (
+        running.select(
+            *[c for c in running.columns if c not in {*reached, "__part", "__so_far"}],
+            *[target.alias(name) for name, target in reached.items()],
         )
-        targets[f"__target{i}"] = F.when(reached_here, target)
-    hits, small = written_and_measured(
-        located.select(
-            "__group",
-            *by,
-            "__range",
-            "__before",
-            F.col("__total").isNull().alias("__empty"),
-            *[target.alias(name) for name, target in targets.items()],
-        ).where(F.coalesce(*targets).isNotNull() | F.col("__empty"))
+        .withColumn("__empty", F.col("__whole").isNull())
+        .drop("__whole")
+        .where(F.coalesce(*reached).isNotNull() | F.col("__empty"))
     )
-    hits = F.broadcast(hits) if small else hits
 
-    same = F.expr("r.__range = h.__range and r.__group = h.__group")
-    if by:
-        same = same & same_keys(by, "r", "h")
-    in_range = (
-        Window.partitionBy("__group", "__range", *by)
+
+def _answers(
+    values: DataFrame,
+    hits: DataFrame,
+    few: bool,
+    by: list[str],
+    place: list[str],
+    probs: list[Decimal],
+    floating: bool,
+) -> DataFrame:
+    """Sort the values of the places found and pick the first past each target."""
+    targets = _target_names(probs)
+    hits = F.broadcast(hits) if few else hits
+    in_place = (
+        Window.partitionBy("__group", *place, *by)
         .orderBy("__y")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = (
-        ranges.alias("r")
-        .join(hits.alias("h"), same)
-        .select("r.*", "h.__before", *targets)
+        values.alias("r")
+        .join(hits.alias("h"), _same(by, place))
+        .select("r.*", "h.__before", *[f"h.{t}" for t in targets])
         .withColumn(
-            "__cum", F.coalesce("__before", F.lit(0)) + F.sum("__w").over(in_range)
+            "__cum", F.coalesce("__before", F.lit(0)) + F.sum("__w").over(in_place)
         )
     )
     found = running.groupBy(*by).agg(
-        *[_first_reaching(name, floating).alias(f"__q{i}") for i, name in enumerate(targets)]
+        *[_first_reaching(t, floating).alias(f"__answer{i}") for i, t in enumerate(targets)]
     )
     answers = F.array(
         *[
             F.struct(
-                F.lit(float(p)).alias("prob"), F.col(f"__q{i}").alias("quantile")
+                F.lit(float(p)).alias("prob"), F.col(f"__answer{i}").alias("quantile")
             )
             for i, p in enumerate(probs)
         ]
@@ -133,3 +227,15 @@ def _first_reaching(target: str, floating: bool) -> Column:
     # The same doubles added in another order may stop just short of the target.
     last = F.when(F.col(target).isNotNull() & (F.col("__w") > 0), F.col("__y"))
     return F.coalesce(reached, F.max(last))
+
+
+def _target_names(probs: list[Decimal]) -> list[str]:
+    return [f"__target{i}" for i in range(len(probs))]
+
+
+def _same(by: list[str], place: list[str]) -> Column:
+    """Equality of group and place between ``r`` and ``h``."""
+    same = F.lit(True)
+    for k in ["__group", *place]:
+        same = same & (F.col(f"r.{k}") == F.col(f"h.{k}"))
+    return same & same_keys(by, "r", "h") if by else same

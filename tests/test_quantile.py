@@ -1,10 +1,13 @@
 import random
+from datetime import date
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import weighted_quantile
+from tallyframe.operators import quantile
+from tallyframe.sources import scratch
 from tests.conftest import keyed
 
 PROBS = [0, 0.07, 0.25, 0.5, 0.9, 1]
@@ -61,17 +64,9 @@ def test_bad_probability():
         weighted_quantile(None, "w", "y", [1.5])
 
 
-@pytest.mark.parametrize("kind", ["int", "decimal(9,2)", "double"])
-def test_equals_brute_force_with_a_hot_group_and_a_hot_value(spark, kind):
-    rng = random.Random(7)
-    data = []
-    for _ in range(6000):
-        g = "hot" if rng.random() < 0.6 else rng.choice([None, "b", "c", "d"])
-        y = 50.0 if rng.random() < 0.4 else rng.choice([None, *[i / 4 for i in range(900)]])
-        data.append((g, rng.choice([None, 0, 1, 2, 5]), y))
-    df = spark.createDataFrame(data, "g string, w int, y double")
-    df = df.withColumn("w", F.col("w").cast(kind))
-    # Many small ranges, so that one group and its quantiles spread over several.
+@pytest.fixture
+def many_ranges(spark):
+    """Many small ranges, so that one group and its quantiles spread over several."""
     settings = {
         "spark.sql.shuffle.partitions": "23",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
@@ -79,22 +74,83 @@ def test_equals_brute_force_with_a_hot_group_and_a_hot_value(spark, kind):
     old = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        found = answers(weighted_quantile(df, "w", "y", PROBS, "g"))
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-    expected = {
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def hot_data(values):
+    rng = random.Random(7)
+    data = []
+    for _ in range(6000):
+        g = "hot" if rng.random() < 0.6 else rng.choice([None, "b", "c", "d"])
+        y = values[0] if rng.random() < 0.4 else rng.choice(values)
+        data.append((g, rng.choice([None, 0, 1, 2, 5]), y))
+    return data + [("empty", 0, values[0]), ("empty", 1, None)]
+
+
+def expected(data):
+    groups = {g for g, _, _ in data}
+    return {
         (g, float(p)): brute_force([(y, w) for k, w, y in data if k == g], p)
-        for g in {k for k, _, _ in data}
+        for g in groups
         for p in PROBS
     }
-    assert found == expected
 
 
-def test_without_broadcast_the_answers_are_the_same(spark, rows, monkeypatch):
-    from tallyframe.sources import scratch
+@pytest.mark.parametrize("kind", ["int", "decimal(9,2)", "double"])
+@pytest.mark.parametrize("path", ["slots", "ranges within slots", "ranges"])
+def test_equals_brute_force_with_a_hot_group_and_a_hot_value(
+    spark, many_ranges, monkeypatch, kind, path
+):
+    if path == "ranges within slots":
+        monkeypatch.setattr(quantile, "SORTED_ROWS", 0)
+        monkeypatch.setattr(quantile, "SLOTS_PER_LOG_UNIT", 1)
+    if path == "ranges":
+        monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 0)
+    data = hot_data([50.0, None, *[i / 4 - 60 for i in range(900)]])
+    df = spark.createDataFrame(data, "g string, w int, y double")
+    df = df.withColumn("w", F.col("w").cast(kind))
+    assert answers(weighted_quantile(df, "w", "y", PROBS, "g")) == expected(data)
+
+
+def test_values_that_are_not_numbers(spark, many_ranges):
+    data = hot_data([date(2024, 1, 1), None, *[date(2000 + i, 1, 1) for i in range(60)]])
+    df = spark.createDataFrame(data, "g string, w int, y date")
+    assert answers(weighted_quantile(df, "w", "y", PROBS, "g")) == expected(data)
+
+
+@pytest.mark.parametrize("path", ["slots", "ranges within slots"])
+def test_uneven_double_weights(spark, many_ranges, monkeypatch, path):
+    if path == "ranges within slots":
+        monkeypatch.setattr(quantile, "SORTED_ROWS", 0)
+        monkeypatch.setattr(quantile, "SLOTS_PER_LOG_UNIT", 1)
+    rng = random.Random(5)
+    data = [("a", rng.random() / 3, rng.lognormvariate(3, 2)) for _ in range(5000)]
+    df = spark.createDataFrame(data, "g string, w double, y double")
+    found = answers(weighted_quantile(df, "w", "y", [0.013, 0.5, 1], "g"))
+    pairs = sorted((y, w) for _, w, y in data)
+    total = sum(w for _, w in pairs)
+    for p in (0.013, 0.5, 1):
+        cum = 0
+        for y, w in pairs:
+            cum += w
+            if cum >= p * total * (1 - 1e-12):
+                break
+        assert found["a", p] == y
+
+
+def test_extreme_values_are_in_order(rows):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -1e308, -5.0, -0.0, 1e-300, 7.0, 1e308, inf, nan]
+    df = rows("w int, y double", *[(1, y) for y in reversed(values)])
+    probs = [(i + 1) / len(values) for i in range(len(values) - 1)]
+    probs = [round(p - 0.01, 4) for p in probs]
+    found = {r.prob: r.quantile for r in weighted_quantile(df, "w", "y", probs).collect()}
+    assert [found[p] for p in probs] == values[:-1]
+
 
+def test_without_broadcast_the_answers_are_the_same(spark, rows, monkeypatch):
     df = rows("g string, w int, y int", *[("ab"[i % 2], 1 + i % 3, i) for i in range(200)])
     small = answers(weighted_quantile(df, "w", "y", PROBS, "g"))
     monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 0)
