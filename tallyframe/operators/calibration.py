@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label, names, ratio, same_keys, weight
-from tallyframe.sources.scratch import is_small, written, written_and_measured
+from tallyframe.sources.scratch import written, written_and_measured
 
 
 MARGINS_PER_JOB = 3
@@ -44,12 +44,13 @@ def poststratify(
     or zero. A sampled cell without a control, a positive control without sample,
     a repeated cell and a null or negative control are errors.
 
-    There is one factor per control. The factors are broadcast when the measured
-    size of ``controls`` allows it, so the microdata are not shuffled; otherwise
-    the join is Spark's, which splits a hot cell.
+    There is one factor per control. The controls are written once to the shared
+    folder. When their measured size allows it the factors are broadcast, so the
+    microdata are not shuffled; otherwise the join is Spark's, which splits a hot
+    cell.
     """
     cells = names(cells)
-    wanted = _controls(controls, cells, control)
+    wanted, small = written_and_measured(_controls(controls, cells, control))
     sampled = (
         df.select(*cells, weight(df, w).alias("__w"))
         .groupBy(*cells)
@@ -71,7 +72,7 @@ def poststratify(
             factor.alias("__factor"),
         )
     )
-    return _reweighted(df, w, [Margin(cells, factors, is_small(wanted))], out)
+    return _reweighted(df, w, [Margin(cells, factors, small)], out)
 
 
 def rake(

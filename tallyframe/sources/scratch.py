@@ -46,21 +46,16 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def written_and_measured(df: DataFrame) -> tuple[DataFrame, bool]:
-    """As :func:`written`; also whether the rows are few enough to broadcast."""
+    """As :func:`written`; also whether the rows are few enough to broadcast.
+
+    Beyond the limit a join is left to Spark, which shuffles both sides and splits
+    skewed partitions.
+    """
     seen = Observation()
     table = written(df.observe(seen, _total_bytes(df).alias("bytes")))
     return table, (seen.get["bytes"] or 0) <= BROADCAST_LIMIT_BYTES
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` may be broadcast, by the measured width of its rows.
-
-    Beyond the limit a join is left to Spark, which shuffles both sides and
-    splits skewed partitions.
-    """
-    return (df.agg(_total_bytes(df)).first()[0] or 0) <= BROADCAST_LIMIT_BYTES
-
-
 def _total_bytes(df: DataFrame) -> Column:
     fixed = 16 * (1 + len(df.columns))
     texts = [

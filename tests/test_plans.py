@@ -74,9 +74,10 @@ def test_filters_reach_the_scan(spark):
 
 def test_sizes_are_measured(spark, rows, monkeypatch):
     df = rows("a string, b int", ("x" * 100, 1), (None, 2))
-    assert scratch.is_small(df)
+    table, small = scratch.written_and_measured(df)
+    assert small
+    assert set(table.collect()) == set(df.collect())
     monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 100)
-    assert not scratch.is_small(df)
     assert not scratch.written_and_measured(df)[1]
 
 
