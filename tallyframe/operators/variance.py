@@ -30,8 +30,9 @@ def design_variance(
 
     ``lonely_psu`` says what a stratum with one PSU does: ``fail`` raises when the
     stratum is met, ``zero`` adds nothing, ``center`` measures the PSU from the
-    mean PSU total of the whole sample. Rows with a null or zero weight are not
-    in the sample and do not put their PSU there.
+    mean PSU total of the whole sample, whose size takes another scan of the design
+    columns. Rows with a null or zero weight are not in the sample and do not put
+    their PSU there.
     """
     parts = _components(df, w, [df[y]], strata, psu, by, lonely_psu)
     return parts.select(

@@ -209,7 +209,7 @@ WITH g AS (
          SUM(w * l_extendedprice) AS den
   FROM {_LINES} GROUP BY l_returnflag, l_linestatus
 )
-SELECT l_returnflag, l_linestatus, round(num, 2) AS num_hat, round(den, 2) AS den_hat,
+SELECT l_returnflag, l_linestatus, round(num, 4) AS num_hat, round(den, 2) AS den_hat,
        round(num / NULLIF(den, 0), 8) AS ratio_hat
 FROM g
 """,

@@ -99,7 +99,7 @@ def weighted_ratio_discount(spark: SparkSession, folder: str) -> DataFrame:
     )
     by = ["l_returnflag", "l_linestatus"]
     est = weighted_ratio(lines, "w", "discount", "l_extendedprice", by)
-    return _rounded(est, num_hat=2, den_hat=2, ratio_hat=8)
+    return _rounded(est, num_hat=4, den_hat=2, ratio_hat=8)
 
 
 def weighted_crosstab_orders(spark: SparkSession, folder: str) -> DataFrame:

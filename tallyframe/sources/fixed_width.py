@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MALFORMED = "malformed"
@@ -22,20 +22,31 @@ class Field:
 
 
 def read_fixed_width(
-    spark: SparkSession, path: str | list[str], layout: Sequence[Field]
+    spark: SparkSession,
+    path: str | list[str],
+    layout: Sequence[Field],
+    encoding: str | None = None,
 ) -> DataFrame:
     """Typed columns of fixed-width text, plus the names of malformed fields.
 
     A blank or missing field is NULL. A field that is not blank and does not fit
     its type is NULL and named in the array column ``malformed``.
+
+    The text is UTF-8 unless ``encoding`` names a single-byte one, such as
+    ``ISO-8859-1``. Such a file must not be read as UTF-8: an accented letter would
+    swallow the bytes after it and shift the fields.
     """
     lines = spark.read.text(path)
-    raw = lines.select(
-        *[
-            F.nullif(F.trim(F.substring("value", f.start, f.width)), F.lit("")).alias(f.name)
-            for f in layout
-        ]
-    )
+
+    def cut(field: Field) -> Column:
+        if encoding is None:
+            text = F.substring("value", field.start, field.width)
+        else:
+            octets = F.col("value").cast("binary")
+            text = F.decode(F.substring(octets, field.start, field.width), encoding)
+        return F.nullif(F.trim(text), F.lit(""))
+
+    raw = lines.select(*[cut(f).alias(f.name) for f in layout])
     typed = {f.name: F.col(f"`{f.name}`").try_cast(f.type) for f in layout}
     bad = [
         F.when(F.col(f"`{name}`").isNotNull() & value.isNull(), F.lit(name))

@@ -56,3 +56,21 @@ def test_only_the_fields_asked_for_are_cut(spark, tmp_path):
     plan = read(spark, tmp_path).select("id")._jdf.queryExecution().optimizedPlan().toString()
     assert "substring" in plan
     assert "decimal" not in plan
+
+
+def test_single_byte_encoding(spark, tmp_path):
+    path = tmp_path / "latin1.txt"
+    path.write_text("\n".join(LINES) + "\n", encoding="latin-1")
+    found = read_fixed_width(spark, str(path), LAYOUT, encoding="ISO-8859-1")
+    assert found.exceptAll(read(spark, tmp_path)).count() == 0
+    assert found.where("name = 'João'").first().weight == Decimal("7.25")
+
+
+def test_several_files(spark, tmp_path):
+    paths = []
+    for i in (1, 2):
+        path = tmp_path / f"{i}.txt"
+        path.write_text(f"{i:>4}Ana\n")
+        paths.append(str(path))
+    found = read_fixed_width(spark, paths, LAYOUT)
+    assert sorted(r.id for r in found.collect()) == [1, 2]

@@ -107,3 +107,12 @@ def test_equals_brute_force_with_a_hot_and_a_null_key(rows):
         data += [(f"k{k}", p, rng.choice("ab"), rng.choice([None, 0.0, 1.0, 2.0])) for p in periods]
     data += [(None, rng.randrange(140), "a", 1.0) for _ in range(1500)]
     assert flows(rows(PANEL, *data)) == brute_force(data)
+
+
+def test_key_of_several_columns(rows):
+    df = rows(
+        "house int, person int, p int, s string, w double",
+        (1, 1, 1, "in", 1.0), (1, 2, 2, "in", 1.0), (1, 1, 2, "out", 1.0), (1, None, 2, "in", 4.0),
+    )
+    found = keyed(panel_flows(df, ["house", "person"], "p", "s", "w").where("p = 2"), "kind", "to_state")
+    assert {k: v["n_hat"] for k, v in found.items()} == {("stay", "out"): 1.0, ("entry", "in"): 5.0}
