@@ -37,16 +37,16 @@ FROM g
 """
 
 
-def _quantiles(y: str, by: str) -> str:
+def _quantiles(table: str, key: str, y: str, by: str, shown: str = "MIN(y)") -> str:
     probs = ", ".join(f"({p})" for p in QUANTILES)
     return f"""
 WITH r AS (
   SELECT {by}, {y} AS y,
-         SUM(1 + l_orderkey % 3) OVER (PARTITION BY {by} ORDER BY {y}) AS cum,
-         SUM(1 + l_orderkey % 3) OVER (PARTITION BY {by}) AS total
-  FROM lineitem
+         SUM(1 + {key} % 3) OVER (PARTITION BY {by} ORDER BY {y}) AS cum,
+         SUM(1 + {key} % 3) OVER (PARTITION BY {by}) AS total
+  FROM {table}
 )
-SELECT {by}, CAST(p AS DOUBLE) AS prob, MIN(y) AS quantile
+SELECT {by}, CAST(p AS DOUBLE) AS prob, {shown} AS quantile
 FROM r CROSS JOIN (VALUES {probs}) AS v(p)
 WHERE cum >= p * total
 GROUP BY {by}, p
@@ -220,8 +220,19 @@ SELECT c_mktsegment, o_orderpriority, o_orderstatus,
 FROM {_CUSTOMER_ORDERS}
 GROUP BY CUBE (c_mktsegment, o_orderpriority, o_orderstatus)
 """,
-    "svy_weighted_quantile": _quantiles("l_extendedprice", "l_returnflag"),
-    "svy_weighted_quantile_quantity": _quantiles("l_quantity", "l_suppkey"),
+    "svy_weighted_quantile": _quantiles(
+        "lineitem", "l_orderkey", "l_extendedprice", "l_returnflag"
+    ),
+    "svy_weighted_quantile_quantity": _quantiles(
+        "lineitem", "l_orderkey", "l_quantity", "l_suppkey"
+    ),
+    "svy_weighted_quantile_dates": _quantiles(
+        "orders",
+        "o_custkey",
+        "o_orderdate",
+        "o_orderpriority",
+        "strftime(MIN(y), '%Y-%m-%d')",
+    ),
     "svy_design_variance": _design(
         _CUSTOMER_ORDERS, "c_nationkey", "o_orderpriority", "error('single PSU')"
     ),

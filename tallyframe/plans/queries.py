@@ -117,6 +117,12 @@ def weighted_quantile_quantity(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_quantile(lines, "w", "l_quantity", QUANTILES, "l_suppkey")
 
 
+def weighted_quantile_dates(spark: SparkSession, folder: str) -> DataFrame:
+    orders = _orders(spark, folder).withColumn("w", 1 + F.col("o_custkey") % 3)
+    found = weighted_quantile(orders, "w", "o_orderdate", QUANTILES, "o_orderpriority")
+    return found.withColumn("quantile", F.date_format("quantile", "yyyy-MM-dd"))
+
+
 def design_variance_orders(spark: SparkSession, folder: str) -> DataFrame:
     est = design_variance(
         _customer_orders(spark, folder),
@@ -294,6 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "svy_weighted_crosstab": weighted_crosstab_orders,
     "svy_weighted_quantile": weighted_quantile_price,
     "svy_weighted_quantile_quantity": weighted_quantile_quantity,
+    "svy_weighted_quantile_dates": weighted_quantile_dates,
     "svy_design_variance": design_variance_orders,
     "svy_design_variance_zero": design_variance_certainty,
     "svy_design_variance_center": design_variance_centered,
