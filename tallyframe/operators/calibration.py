@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import label, names, ratio, same_keys, weight
 from tallyframe.sources.scratch import written, written_and_measured
 
-
+# Each margin fitted in a job repeats the plans of those before it.
 MARGINS_PER_JOB = 3
 
 
@@ -50,6 +50,8 @@ def poststratify(
     cell.
     """
     cells = names(cells)
+    if not cells:
+        raise ValueError("post-stratification needs at least one cell column")
     wanted, small = written_and_measured(_controls(controls, cells, control))
     sampled = (
         df.select(*cells, weight(df, w).alias("__w"))
@@ -98,6 +100,8 @@ def rake(
     broadcast, and then neither cells nor rows are shuffled by it.
     """
     columns = [[c for c in m.columns if c != control] for m in margins]
+    if not all(columns) or not columns:
+        raise ValueError("raking needs margins, each with a column beside its control")
     dims = list(dict.fromkeys(c for cols in columns for c in cols))
     cells = written(
         df.select(*dims, weight(df, w).alias("__w"))

@@ -194,11 +194,14 @@ def _components(
         within = n / F.nullif(n - 1, F.lit(0)) * (m * F.col(f"__c{i}{j}") + absent)
         return F.sum(F.when(lonely, alone).when(n > 1, within))
 
+    def summed_alone(name: str) -> Column:
+        return F.sum(F.when(lonely, F.col(name)))
+
     totals = by_stratum.groupBy(*by).agg(
         *[F.sum(f"__sum{i}").alias(f"__total{i}") for i in range(len(z))],
         *[spread(i, j).alias(f"__v{i}{j}") for i, j in pairs],
-        *[F.sum(F.when(lonely, F.col(f"__sum{i}"))).alias(f"__alone{i}") for i in range(len(z))],
-        *[F.sum(F.when(lonely, F.col(f"__x{i}{j}"))).alias(f"__alone{i}{j}") for i, j in pairs],
+        *[summed_alone(f"__sum{i}").alias(f"__alone{i}") for i in range(len(z))],
+        *[summed_alone(f"__x{i}{j}").alias(f"__alone{i}{j}") for i, j in pairs],
     )
     if lonely_psu == "center":
         totals = _add_centered(totals, by_stratum, stratum, pairs, len(z))

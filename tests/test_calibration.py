@@ -60,8 +60,10 @@ def test_controls_that_do_not_fit(df, rows, controls, message):
 def test_join_is_the_same_when_controls_are_not_small(df, rows, monkeypatch):
     from tallyframe.sources import scratch
 
-    controls = rows("a string, b string, control double",
-                    ("x", "p", 5.0), ("x", "q", 6.0), ("y", "p", 7.0), ("y", "q", 8.0), ("y", None, 9.0))
+    controls = rows(
+        "a string, b string, control double",
+        ("x", "p", 5.0), ("x", "q", 6.0), ("y", "p", 7.0), ("y", "q", 8.0), ("y", None, 9.0),
+    )
     small = poststratify(df, "w", ["a", "b"], controls).collect()
     monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 0)
     large = poststratify(df, "w", ["a", "b"], controls).collect()
@@ -128,3 +130,10 @@ def test_zero_control_empties_its_category(df, rows):
     found = keyed(rake(df, "w", margins).select("id", "w_raked"), "id")
     weights = {k: v["w_raked"] for k, v in found.items()}
     assert weights == pytest.approx({1: 0.0, 2: 0.0, 3: 20.0, 4: 15.0, 5: 5.0})
+
+
+def test_margins_without_columns(df, rows):
+    with pytest.raises(ValueError, match="margins"):
+        rake(df, "w", [rows("control double", (3.0,))])
+    with pytest.raises(ValueError, match="cell column"):
+        poststratify(df, "w", [], rows("control double", (3.0,)))
