@@ -186,11 +186,12 @@ def _components(
     lonely = n == 1
     alone = F.lit(0.0)
     if lonely_psu == "fail":
-        message = F.concat(F.lit("stratum with a single PSU: "), label({k: F.col(f"__s_{k}") for k in strata}))
+        named = label({k: F.col(f"__s_{k}") for k in strata})
+        message = F.concat(F.lit("stratum with a single PSU: "), named)
         alone = F.raise_error(message).cast("double")
 
     def spread(i: int, j: int) -> Column:
-        absent = m * (n - m) / n * F.col(f"__avg{i}") * F.col(f"__avg{j}")
+        absent = m * (n - m) / F.nullif(n, F.lit(0)) * F.col(f"__avg{i}") * F.col(f"__avg{j}")
         within = n / F.nullif(n - 1, F.lit(0)) * (m * F.col(f"__c{i}{j}") + absent)
         return F.sum(F.when(lonely, alone).when(n > 1, within))
 

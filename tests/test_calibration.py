@@ -86,6 +86,25 @@ def test_raked_margins_meet_their_controls(df, rows):
     assert w[1] * w[4] / (w[2] * w[3]) == pytest.approx(1.0 * 4.0 / (2.0 * 3.0))
 
 
+def test_raking_is_the_same_when_margins_are_not_small(spark, df, rows, monkeypatch):
+    from tallyframe.sources import scratch
+
+    margins = [
+        rows("a string, control double", ("x", 20.0), ("y", 40.0)),
+        rows("b string, control double", ("p", 25.0), ("q", 30.0), (None, 5.0)),
+    ]
+    small = keyed(rake(df, "w", margins).select("id", "w_raked"), "id")
+    monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = keyed(rake(df, "w", margins).select("id", "w_raked"), "id")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for i, row in small.items():
+        assert large[i]["w_raked"] == pytest.approx(row["w_raked"], rel=1e-12)
+
+
 def test_margins_on_several_columns_and_more_margins_than_one_job_fits(spark, rows):
     df = spark.range(4000).select(
         *[((F.hash("id", F.lit(i)) % 3 + 3) % 3).alias(f"m{i}") for i in range(5)],

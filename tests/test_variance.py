@@ -126,6 +126,25 @@ def test_weightless_rows_do_not_put_a_psu_in_the_sample(rows):
     assert found.variance == pytest.approx(2 * 50.0)
 
 
+def test_stratum_without_sample_adds_nothing(rows):
+    df = rows(
+        SCHEMA,
+        ("h", 1, "A", 1.0, 10.0, 1.0),
+        ("h", 2, "A", 1.0, 20.0, 2.0),
+        ("k", 1, "A", 0.0, 99.0, 1.0),
+        ("k", 2, "A", None, 99.0, 1.0),
+    )
+    assert design_variance(df, "w", "y", "h", "c", "d").first().variance == pytest.approx(100.0)
+    found = ratio_variance(df, "w", "y", "x", "h", "c", lonely_psu="center").first()
+    assert found.variance == pytest.approx(0.0, abs=1e-12)
+
+
+def test_group_may_be_the_stratum(rows):
+    df = rows(SCHEMA, ("h", 1, "A", 1.0, 10.0, 1.0), ("h", 2, "A", 1.0, 20.0, 2.0))
+    found = keyed(design_variance(df, "w", "y", "h", "c", "h"), "h")
+    assert found["h"]["variance"] == pytest.approx(100.0)
+
+
 def test_missing_measure_keeps_the_psu(rows):
     df = rows(
         SCHEMA,
