@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from .text import slices, utf8
 
 #: Words whose ids a task keeps; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 800_000
 #: Distinct words given to the tokenizer at once.
 ENCODE_WORDS = 4_000
 
@@ -32,12 +34,19 @@ class _Slots(dict):
         return n
 
 
+#: Words that fall into letters and a run of marks, whose ids follow from those two parts:
+#: letters without a composed form other than themselves, and ASCII marks but the apostrophe.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([-.,;:!?()#*$%&|<>+=/_]*)")
+
+
 class WordEncoder:
     """Token ids of texts, from ids of their distinct words.
 
     The tokenizer must drop white space and treat what it separates apart, as those
     with word ends do: then the ids of a text are the ids of its words, one after
-    another, and each distinct word is encoded once.
+    another, and each distinct word is encoded once. If the tokenizer also lower-cases
+    and splits letters from marks, words are put together from such parts, of which
+    there are fewer; :meth:`_joins` tries both on a probe.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,10 +56,21 @@ class WordEncoder:
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.marks = [m.encode() for m in special]
         self.mark, self.mark_id = next(iter(special.items()), (None, -1))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.joins = self._joins()
         self._clear()
 
+    def _joins(self) -> bool:
+        alike = all(
+            self._ids(a).tolist() == self._ids(b).tolist()
+            for a, b in (("Abc,", "abc ,"), ("\u00c9t\u00e9.", "\u00e9t\u00e9 ."), ("X!!", "x !!"))
+        )
+        return alike and self.ends[self._ids("abc , \u00e9t\u00e9")].sum() == 3
+
     def _clear(self) -> None:
-        self.slots = _Slots()
+        self.slots, self.parts = _Slots(), {}
         self.flat = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
@@ -60,16 +80,43 @@ class WordEncoder:
 
     def _encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each word: joined by a special token, which separates and shows up."""
-        if self.mark is None or any(m in w for w in words for m in self.marks if b"<" in w):
+        if self.mark is None or any(m in w for w in words for m in self.marks):
             if len(words) == 1 or self.mark is None:
                 return [self._ids(w.decode("utf-8", "replace")) for w in words]
             half = len(words) // 2
             return self._encode(words[:half]) + self._encode(words[half:])
         ids = self._ids(self.mark.join(w.decode("utf-8", "replace") for w in words))
-        cuts = np.flatnonzero(ids == self.mark_id)
-        found = np.split(ids, cuts)
+        found = np.split(ids, np.flatnonzero(ids == self.mark_id))
         return [found[0], *(x[1:] for x in found[1:])]
 
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of letters and marks, joined by blanks: the last id of each one ends a word."""
+        joined = [" ".join(parts[i : i + 500]) for i in range(0, len(parts), 500)]
+        ids = np.concatenate(
+            [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        )
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):
+            raise ValueError("the tokenizer does not mark the ends of words as expected")
+        self.parts.update(zip(parts, np.split(ids, cuts[:-1]), strict=True))
+
+    def _found(self, new: list[bytes]) -> list[np.ndarray]:
+        """Ids of each new word."""
+        split = [PLAIN.fullmatch(w.decode("utf-8", "replace")) if self.joins else None for w in new]
+        pairs = [m and (m[1].lower(), m[2]) for m in split]
+        unknown = list({x: None for p in pairs if p for x in p if x and x not in self.parts})
+        if unknown:
+            self._learn(unknown)
+        rest = [i for i, p in enumerate(pairs) if not p]
+        odd = [new[i] for i in rest]
+        coded = [x for i in range(0, len(odd), ENCODE_WORDS) for x in self._encode(odd[i : i + ENCODE_WORDS])]
+        by_place = dict(zip(rest, coded, strict=True))
+        parts = self.parts
+        return [
+            by_place[i] if not p else np.concatenate([parts[p[0]], parts[p[1]]]) if p[0] and p[1] else parts[p[0] or p[1]]
+            for i, p in enumerate(pairs)
+        ]
+
     def __call__(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
         if len(self.slots) > CACHE_WORDS:
@@ -82,7 +129,7 @@ class WordEncoder:
         )
         new, self.slots.new = self.slots.new, []
         if new:
-            found = [x for i in range(0, len(new), ENCODE_WORDS) for x in self._encode(new[i : i + ENCODE_WORDS])]
+            found = self._found(new)
             self.flat = np.concatenate([self.flat, *found])
             self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
             self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
@@ -95,6 +142,12 @@ class WordEncoder:
         return ids, np.diff(upto)
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker, so that its words outlive a task."""
+    return WordEncoder(path)
+
+
 def binary_pieces(n: int, longest: int) -> list[int]:
     """Lengths that add up to n: the longest power as often as it fits, then its binary digits."""
     rest = n % longest
@@ -102,7 +155,7 @@ def binary_pieces(n: int, longest: int) -> list[int]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode = WordEncoder(path)
+    encode = encoder(path)
     for batch in batches:
         data, bounds = utf8(batch.column(1))
         for low, high in slices(bounds):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules, toxicity
+from . import language, packing, quality, rules, toxicity
 from .text import fold
 
 
@@ -27,6 +27,23 @@ def learned(labels: DataFrame, parts: int, remainder: int) -> DataFrame:
     return labels.where(fold(F.col("doc_id"), parts) != remainder)
 
 
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    net = language.train(documents, learned(documents, 4, 2))
+    return language.predict(documents, net).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    net = quality.train(documents, learned(table(spark, folder, "labels"), 3, 1))
+    return quality.score_documents(documents, net).select(
+        "doc_id",
+        _held_out(3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack_powers_of_two(table(spark, folder, "documents"), tokenizer_path())
     return pieces.select(
@@ -57,6 +74,8 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
     "op8_quality_rules": op8_quality_rules,

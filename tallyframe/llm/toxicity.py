@@ -10,12 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BYTE_CODE, IS_LETTER, LOWER, labelled_sample, run_hashes, texts, utf8, word_runs
+from .text import BYTE_CODE, IS_LETTER, LOWER, labelled_sample, run_hashes, slices, texts, utf8, word_runs
 
 #: Rows of one label that are brought to the driver to learn from.
 SAMPLE_PER_LABEL = 3_000
 FEATURE_BITS = 18
+#: Bytes of a word's start that are features beside the word.
+PREFIXES = (4, 5)
 ROUNDS = 150
+#: Where the log odds of a sentence start.
+START = -7.0
+PENALTY = 4.0
+MIN_DOCUMENTS = 5
 
 ENDS_SENTENCE = np.zeros(256, dtype=bool)
 ENDS_SENTENCE[list(b".!?\n")] = True
@@ -30,15 +36,26 @@ class NoisyOr:
 
 
 def _sentences(data: np.ndarray, bounds: np.ndarray):
-    """Words of the sentences with words: (feature, sentence of each word, text and span of each sentence)."""
+    """Features of the sentences with words: (feature, its sentence, text and span of each sentence).
+
+    A word has itself as a feature, and its first four and five bytes, which inflected
+    and derived words share.
+    """
     starts, ends, doc = word_runs(data, bounds, IS_LETTER)
-    feature = run_hashes(BYTE_CODE[LOWER[data]], starts, ends) >> np.uint64(64 - FEATURE_BITS)
+    codes = BYTE_CODE[LOWER[data]]
     stops = np.concatenate([[0], np.cumsum(ENDS_SENTENCE[data])])
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (stops[starts[1:]] != stops[starts[:-1]]) | (doc[1:] != doc[:-1])
+    sentence = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1 if len(first) else first
-    return feature.astype(np.int64), np.cumsum(new) - 1, doc[first], starts[first], ends[last]
+    hashes, own = [run_hashes(codes, starts, ends)], [sentence]
+    for n in PREFIXES:
+        long = np.flatnonzero(ends - starts >= n)
+        hashes.append(run_hashes(codes, starts[long], starts[long] + n) ^ np.uint64(n))
+        own.append(sentence[long])
+    feature = (np.concatenate(hashes) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+    return feature, np.concatenate(own), doc[first], starts[first], ends[last]
 
 
 def _log_clean(model: NoisyOr, feature: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
@@ -52,10 +69,10 @@ def fit(sample: list[tuple[str, int]]) -> NoisyOr:
 
     A document is toxic unless all its sentences are clean; the likelihood of the labels
     under that noisy-or is maximised by gradient steps with adaptive rates and a
-    quadratic penalty. Words of fewer than three sampled documents get no weight.
+    penalty on absolute weights, so that few words get any. Features of fewer than ``MIN_DOCUMENTS`` texts get no weight.
     """
     size = 1 << FEATURE_BITS
-    model = NoisyOr(np.zeros(size), -6.0)
+    model = NoisyOr(np.zeros(size), START)
     if not sample:
         return model
     data, bounds = utf8(pa.array([t for t, _ in sample], pa.string()))
@@ -63,27 +80,28 @@ def fit(sample: list[tuple[str, int]]) -> NoisyOr:
     feature, sentence, doc, _, _ = _sentences(data, bounds)
     n, docs = len(doc), len(y)
     pairs = np.unique(doc[sentence] * size + feature) % size
-    frequent = np.bincount(pairs, minlength=size) >= 3
+    frequent = np.bincount(pairs, minlength=size) >= MIN_DOCUMENTS
     known = frequent[feature]
     feature, sentence = feature[known], sentence[known]
     used, feature = np.unique(feature, return_inverse=True)
-    w, start = np.zeros(len(used)), -6.0
-    speed, speed0 = np.full(len(used), 1e-8), 1e-8
+    w, start = np.zeros(len(used)), START
+    speed, speed0 = np.full(len(used), 1.0), 1.0
     # Each label weighs the same, whatever its share of the sample.
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * docs
     for _ in range(ROUNDS):
         z = start + np.bincount(sentence, w[feature], n)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         clean = np.bincount(doc, -np.logaddexp(0, z), docs)
         toxic = np.maximum(-np.expm1(clean), 1e-12)
         pull = np.where(y > 0, -np.exp(clean) / toxic, 1.0) * weight
         slope = pull[doc] * p
-        g = np.bincount(feature, slope[sentence], len(used)) + 0.05 * w
+        g = np.bincount(feature, slope[sentence], len(used))
         speed += g * g
         w -= 0.5 * g / np.sqrt(speed)
-        g0 = slope.sum() + 0.05 * (start + 6)
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.5 * PENALTY / np.sqrt(speed), 0)
+        g0 = slope.sum()
         speed0 += g0 * g0
-        start -= 0.1 * g0 / np.sqrt(speed0)
+        start -= 0.2 * g0 / np.sqrt(speed0)
     model.weights[used] = w
     model.start = float(start)
     return model
@@ -139,6 +157,28 @@ def score_documents(df: DataFrame, model: NoisyOr, doc_id: str = "doc_id", text:
     return _rows(df, doc_id, text).mapInArrow(lambda it: _scored(it, sent.value, None), "doc_id long, score double")
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model: NoisyOr, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, bounds = utf8(batch.column(at))
+        keep = []
+        for low, high in slices(bounds):
+            own = bounds[low : high + 1] - bounds[low]
+            feature, sentence, doc, _, _ = _sentences(data[bounds[low] : bounds[high]], own)
+            log_clean = _log_clean(model, feature, sentence, len(doc))
+            keep.append(-np.expm1(np.bincount(doc, log_clean, high - low)) < threshold)
+        yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+
+def keep_clean(df: DataFrame, model: NoisyOr, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below ``threshold``.
+
+    The rows are filtered where they are read; texts that are null or have no letters stay.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+    return df.mapInArrow(lambda it: _clean(it, sent.value, at, threshold), df.schema)
+
+
 def offending_sentences(
     df: DataFrame, model: NoisyOr, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
