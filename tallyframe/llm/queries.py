@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, rules, toxicity
+from . import language, packing, quality, rules, suffix_array, suffix_tree, toxicity
 from .text import fold
 
 
@@ -33,6 +33,11 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(documents, net).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_tree.remove_passages(table(spark, folder, "documents"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     net = quality.train(documents, learned(table(spark, folder, "labels"), 3, 1))
@@ -62,6 +67,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_array.remove_repeats(table(spark, folder, "documents"), keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.apply_policy(rules.ledger(table(spark, folder, "documents")))
     return judged.select(
@@ -75,9 +85,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_array": op7_suffix_array,
     "op8_quality_rules": op8_quality_rules,
 }
 

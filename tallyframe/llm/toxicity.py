@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .text import BYTE_CODE, IS_LETTER, LOWER, labelled_sample, run_hashes, slices, texts, utf8, word_runs
 
 #: Rows of one label that are brought to the driver to learn from.
-SAMPLE_PER_LABEL = 3_000
+SAMPLE_PER_LABEL = 2_000
 FEATURE_BITS = 18
 #: Bytes of a word's start that are features beside the word.
 PREFIXES = (4, 5)
-ROUNDS = 150
+ROUNDS = 120
 #: Where the log odds of a sentence start.
 START = -7.0
 PENALTY = 4.0
@@ -75,15 +75,25 @@ def fit(sample: list[tuple[str, int]]) -> NoisyOr:
     model = NoisyOr(np.zeros(size), START)
     if not sample:
         return model
-    data, bounds = utf8(pa.array([t for t, _ in sample], pa.string()))
     y = np.array([int(v) for _, v in sample], float)
-    feature, sentence, doc, _, _ = _sentences(data, bounds)
-    n, docs = len(doc), len(y)
-    pairs = np.unique(doc[sentence] * size + feature) % size
-    frequent = np.bincount(pairs, minlength=size) >= MIN_DOCUMENTS
-    known = frequent[feature]
+    parts = []
+    n = 0
+    for low in range(0, len(sample), 100):  # small slices: features are held as 32-bit numbers only
+        data, bounds = utf8(pa.array([t for t, _ in sample[low : low + 100]], pa.string()))
+        feature, sentence, doc, _, _ = _sentences(data, bounds)
+        parts.append([x.astype(np.int32) for x in (feature, sentence + n, doc + low)])
+        n += len(doc)
+    feature, sentence, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    docs = len(y)
+    frequent = np.zeros(size, np.int32)
+    for f, s, d in parts:
+        pairs = np.unique((d[s - s.min()].astype(np.int64) if len(s) else s.astype(np.int64)) * size + f)
+        np.add.at(frequent, pairs % size, 1)
+    del parts
+    known = (frequent >= MIN_DOCUMENTS)[feature]
     feature, sentence = feature[known], sentence[known]
     used, feature = np.unique(feature, return_inverse=True)
+    feature = feature.astype(np.int32)
     w, start = np.zeros(len(used)), START
     speed, speed0 = np.full(len(used), 1.0), 1.0
     # Each label weighs the same, whatever its share of the sample.
