@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, rules, suffix_array, suffix_tree, toxicity
+from . import language, language_model, packing, quality, rules, suffix_array, suffix_tree, toxicity
 from .text import fold
 
 
@@ -83,6 +83,21 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    remainder = fold(F.col("doc_id"), 7)
+    part = F.when(remainder == 2, language_model.SCORED).when(remainder == 3, language_model.WEIGHED)
+    part = part.when(remainder.isNotNull(), language_model.COUNTED)
+    return language_model.interpolated_scores(table(spark, folder, "documents"), part).select(
+        "doc_id",
+        _held_out(7, 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_substring_dedup": op2_substring_dedup,
@@ -91,6 +106,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_suffix_array": op7_suffix_array,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
