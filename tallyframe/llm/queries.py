@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, language_model, packing, quality, rules, suffix_array, suffix_tree, toxicity
+from . import decontamination, language, language_model, packing, quality, rules, suffix_array, suffix_tree, toxicity
 from .text import fold
 
 
@@ -98,6 +98,11 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_windows", "n_item", "reparameterised", "first_word")
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_substring_dedup": op2_substring_dedup,
@@ -107,6 +112,7 @@ QUERIES = {
     "op7_suffix_array": op7_suffix_array,
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
