@@ -32,11 +32,15 @@ class Hashes:
         np.cumsum(codes * up, out=self.total[1:])
 
     def all(self, length: int) -> np.ndarray:
-        """The hash of every stretch of the length."""
+        """A hash of every stretch of the length; not the one of :meth:`of`."""
         n = len(self.total) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mixed((self.total[length:] - self.total[:n]) * self.down[:n])
+        out = self.total[length:] - self.total[:n]
+        out *= self.down[:n]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0x7FB5D329728EA185)
+        return out
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hash of each given stretch."""
@@ -105,7 +109,7 @@ def symbols(data: np.ndarray, bounds: np.ndarray, words: bool) -> tuple[Hashes,
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], window: int, words: bool, grams_only: bool) -> Iterator[pa.RecordBatch]:
-    for rows, data, bounds in texts(batches, "text"):
+    for rows, data, bounds in texts(batches, "text", 1 << 18):
         hashes, own = symbols(data, bounds, words)
         text, first, count, gram, seg = stretches(hashes, own, window)
         key = rows.column("key").to_numpy(zero_copy_only=False)[text]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, covered, in_parts, keyed, repeated_stretches, stretches
-from .shared import written
+from .shared import dropped, written
 from .text import BYTE_CODE
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -129,17 +129,17 @@ def _judged(rows: DataFrame) -> DataFrame:
     stretch that repeats, one is looked at again (w = 2) if other stretches share its
     gram, because their windows may be its windows.
     """
-    first = F.min(F.struct("key", "fp", "s"))
+    place = F.xxhash64("key", "fp", "s")
+    first = F.min(place)
     segs = rows.groupBy("h", "seg").agg(F.sum("weight").alias("n_seg"), first.alias("first"))
     grams = segs.groupBy("h").agg(F.sum("n_seg").alias("n_h"), F.min("n_seg").alias("least"))
     known = segs.join(grams.where("n_h > 1"), "h")
-    is_first = F.struct("key", "fp", "s") == F.col("first")
     return rows.join(known, ["h", "seg"]).select(
         "key",
         "fp",
         "s",
         "n",
-        F.when(F.col("n_seg") == 1, F.lit(1)).when((F.col("least") == 1) & is_first, F.lit(2)).otherwise(F.lit(0)).alias("w"),
+        F.when(F.col("n_seg") == 1, F.lit(1)).when((F.col("least") == 1) & (place == F.col("first")), F.lit(2)).otherwise(F.lit(0)).alias("w"),
     )
 
 
@@ -177,11 +177,13 @@ def remove_repeats(
         .mapInArrow(lambda it: _divided(it, length, keep_text), CARRIED),
         "array-divided",
     )
+    dropped(sampled)
     pending = divided.where("text IS NOT NULL")
     names = "h long, seg long, key long, fp int, s int, n int, w int"
     narrowed = pending.select("key", "fp", "text", "open").mapInArrow(lambda it: _narrowed(it, length, length * 3 // 4), names)
     narrowed = written(narrowed.withColumn("weight", F.col("w")), "array-narrowed")
     judged = written(_judged(narrowed), "array-judged")
+    dropped(narrowed)
     rest = _lists(judged.where("w > 0"), "open", "s", "n", "w")
     pairs = (
         pending.select("key", "fp", "text")

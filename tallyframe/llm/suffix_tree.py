@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import covered, in_parts, keyed, repeated_stretches, symbols
-from .shared import written
+from .shared import dropped, written
 
 #: Blocks that a suffix of ``length`` words is read in; a prefix is a number of blocks.
 BLOCKS = 5
@@ -175,6 +175,7 @@ def remove_passages(
         .mapInArrow(lambda it: _divided(it, length, keep_text), CARRIED),
         "tree-divided",
     )
+    dropped(sampled)
     pending = divided.where("text IS NOT NULL")
     schema = ", ".join([*(f"b{k} long" for k in range(BLOCKS)), "key long", "fp int", "s int"])
     suffixes = written(
