@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, language_model, packing, quality, rules, suffix_array, suffix_tree, toxicity
+from . import decontamination, language, language_model, minhash, packing, quality, rules, suffix_array, suffix_tree, toxicity
 from .text import fold
 
 
@@ -56,6 +56,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    marked = minhash.near_duplicates(table(spark, folder, "documents"))
+    return marked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = toxicity.train(documents, learned(table(spark, folder, "labels"), 3, 1))
@@ -108,6 +113,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_minhash": op5_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_suffix_array": op7_suffix_array,
     "op8_quality_rules": op8_quality_rules,
