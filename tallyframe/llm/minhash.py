@@ -215,7 +215,8 @@ def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     and no link between different texts is lost once a band has found it.
 
     Result: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id connected, itself
-    included), ``kept`` (it is that one) and ``fp`` (a hash of the text). Texts that are null or
+    included), ``kept`` (it is that one), ``fp`` (a hash of the text) and ``component`` (a number of the
+    component, null for rows that are linked with nothing by rule). Texts that are null or
     have no words are linked with nothing. Rows with a null id are linked with nothing
     and kept, their component is null. Repeated rows are equal sets. No rows give no rows.
     Only the two named columns are read.
@@ -261,7 +262,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
         .select("cid", "id", F.coalesce("component", "cid").alias("component"))
     )
     smallest = least.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = least.join(smallest, "component").select(F.col("cid").alias("_cid"), "component_id")
+    by_class = least.join(smallest, "component").select(F.col("cid").alias("_cid"), "component_id", "component")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     joined = signed.join(by_class, (F.col("cid") == F.col("_cid")) & ~alone, "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -271,18 +272,21 @@ def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
         "fp",
+        "component",
     )
 
 
 def keep_one(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all its columns; ``marked`` is :func:`near_duplicates` of the rows.
 
-    Rows with the kept id are told apart by their text; of repeated rows one stays, and rows
-    with a null id all stay.
+    It is the row with the smallest id, and of rows that share the id the one with the
+    smallest hash of its text. Rows with a null id or without words are linked with nothing, and stay.
     """
-    columns = df.columns
-    kept = marked.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.min("fp").alias("_kept_fp"))
-    named = df.where(F.col(doc_id).isNotNull()).withColumn("_fp", F.hash(F.col(text).cast("string")))
+    value = F.col(text).cast("string")
+    linkable = F.col(doc_id).isNotNull() & F.coalesce(value.rlike("[^\\x09-\\x0d\\x20]"), F.lit(False))
+    kept = marked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("row"))
+    kept = kept.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.fp").alias("_kept_fp"))
+    named = df.where(linkable).withColumn("_fp", F.hash(value))
     same = (F.col(doc_id).cast("long") == F.col("_kept_id")) & (F.col("_fp") == F.col("_kept_fp"))
-    one = named.join(kept, same, "left_semi").dropDuplicates([doc_id]).select(*columns)
-    return one.unionByName(df.where(F.col(doc_id).isNull()))
+    one = named.join(kept, same, "left_semi").dropDuplicates([doc_id, "_fp"]).select(*df.columns)
+    return one.unionByName(df.where(~linkable))

@@ -18,9 +18,9 @@ from .shared import dropped, written
 BLOCKS = 5
 #: Suffixes with a common prefix that are put into memory; groups with more get a longer prefix.
 SUBTREE_ROWS = 50_000
-RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-CARRIED = RESULT + ", key long, fp int, text string, open array<struct<s:int,n:int,w:int>>, hits array<struct<s:int,n:int>>"
-_DONE = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())]
+RESULT = "doc_id long, fp int, n_words long, n_removed long, kept string, kept_sha256 string"
+CARRIED = RESULT + ", key long, text string, open array<struct<s:int,n:int,w:int>>, hits array<struct<s:int,n:int>>"
+_DONE = [("doc_id", pa.int64()), ("fp", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())]
 _PLACES = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())]))
 
 
@@ -35,7 +35,7 @@ def _divided(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iter
     """Finish the documents without open windows; pass the others on."""
     opened = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("w", pa.int32())]))
     schema = pa.schema(
-        [*_DONE, ("key", pa.int64()), ("fp", pa.int32()), ("text", pa.string()), ("open", opened), ("hits", _PLACES)]
+        [*_DONE, ("key", pa.int64()), ("text", pa.string()), ("open", opened), ("hits", _PLACES)]
     )
     for some in in_parts(batches):
         out = []
@@ -47,7 +47,7 @@ def _divided(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iter
             if undecided:
                 base |= {"text": text, "open": undecided, "hits": hits}
             else:
-                base |= dict(zip(schema.names[1:5], _finish(text, hits, window, keep), strict=True))
+                base |= dict(zip(schema.names[2:6], _finish(text, hits, window, keep), strict=True))
             out.append(base)
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -159,7 +159,7 @@ def remove_passages(
     The others are grouped by prefixes of as many blocks as it takes for a group to fit in
     memory, and a suffix tree over each group finds the repeats (:func:`grow_subtrees`).
 
-    Result: ``doc_id``, ``n_words``, ``n_removed``, the kept words joined by blanks ``kept`` (null
+    Result: ``doc_id``, ``fp`` (a hash of the text), ``n_words``, ``n_removed``, the kept words joined by blanks ``kept`` (null
     if not ``keep_text``) and their SHA-256. A null text has no words. A row with a null id
     keeps all its words and is no source, because it has no place in the order; rows of
     the same id are one document. No rows give no rows. Only the two named columns are read.
@@ -186,13 +186,41 @@ def remove_passages(
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in in_parts(batches):
             out = [
-                (r["doc_id"], *_finish(r["text"], r["hits"] + [{"s": s, "n": 1} for s in r["more"] or ()], length, keep_text))
+                (r["doc_id"], r["fp"], *_finish(r["text"], r["hits"] + [{"s": s, "n": 1} for s in r["more"] or ()], length, keep_text))
                 for r in some
             ]
             yield pa.RecordBatch.from_pylist([dict(zip(RESULT_NAMES, x, strict=True)) for x in out], schema=pa.schema(_DONE))
 
-    finished = pending.join(hits, ["key", "fp"], "left").select("doc_id", "text", "hits", "more").mapInArrow(removed, RESULT)
+    finished = pending.join(hits, ["key", "fp"], "left").select("doc_id", "fp", "text", "hits", "more").mapInArrow(removed, RESULT)
     return divided.where("text IS NULL").select(*RESULT_NAMES).unionByName(finished)
 
 
 RESULT_NAMES = [name for name, _ in _DONE]
+
+
+def cut_passages(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, without what :func:`remove_passages` removes.
+
+    A text that loses nothing stays as it is; of the others the kept words are joined by
+    blanks. Rows of which nothing is left are dropped, unless they had no words before. An
+    ``n_chars`` column follows the new text.
+    """
+    value = F.col(text).cast("string")
+    cut = remove_passages(df, length, doc_id, text)
+    # Rows without removed words are not joined: only the others' new texts are.
+    names = {"doc_id": "_cut_id", "fp": "_cut_fp", "kept": "_cut_text", "n_words": "_cut_words", "n_removed": "_cut_removed"}
+    changed = written(cut.where("n_removed > 0").select(*names).withColumnsRenamed(names), "tree-cut")
+    changed = changed.dropDuplicates(["_cut_id", "_cut_fp"])
+    same = (F.col(doc_id).cast("long") == F.col("_cut_id")) & (F.hash(value) == F.col("_cut_fp"))
+    joined = df.join(changed, same, "left").where("_cut_removed IS NULL OR _cut_removed < _cut_words")
+    new = F.coalesce(F.col("_cut_text"), value)
+    out = []
+    for name in df.columns:
+        if name == text:
+            out.append(new.alias(name))
+        elif name == "n_chars":
+            kind = df.schema[name].dataType
+            out.append(F.when(F.col("_cut_text").isNotNull(), F.length("_cut_text").cast(kind)).otherwise(F.col(name)).alias(name))
+        else:
+            out.append(df[name])
+    return joined.select(*out)
