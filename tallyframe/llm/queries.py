@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language, language_model, minhash, packing, quality, rules, suffix_array, suffix_tree, toxicity
+from .oracle import ORACLE_SQL  # noqa: F401
 from .text import fold
 
 
@@ -120,5 +121,3 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLE_SQL: dict[str, str] = {}
