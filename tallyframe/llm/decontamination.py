@@ -11,86 +11,105 @@ WINDOW = 12
 FEWEST_WORDS = 5
 #: Words of a window that must not be placeholders.
 FEWEST_LITERALS = 4
-#: Benchmark windows that are sent to every executor (about 200 bytes each); more are joined by a shuffle.
+#: Benchmark windows that are sent to every executor at once (about 500 bytes each); more are
+#: sent in turns, each of which reads the documents.
 BROADCAST_WINDOWS = 100_000
 #: Share of an item's windows that a document must hold, at one distance.
 COVERAGE = 0.3
 
-#: The placeholders' marks, of a private area, and units that may follow a number.
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: The placeholders' marks and a decimal point's, of a private area, and units that may follow a number.
+NUMBER, NAME, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours minutes seconds days weeks months years "
     "percent degrees dollars euros pounds cents usd eur gbp meters metres kilometers kilometres miles feet inches "
     "grams kilograms liters litres"
 ).split()
+#: What words are made of, in lower case: ASCII letters and digits, and all beyond but the blocks of punctuation.
+WORD = "a-z0-9\\u00c0-\\u1fff\\u2070-\\u2fff\\u3040-\\x{10ffff}"
 
 
 def _marked(text: Column) -> Column:
     """The text with a mark before each number, unit and name, then in lower case.
 
     A unit follows a number. A name is a word with a capital after a small letter or a comma
-    and a blank, so that the first word of a sentence is none.
+    and a blank, so that the first word of a sentence is none. Texts without digits skip
+    the steps for numbers.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "")
+    marks = NUMBER + NAME + UNIT + POINT
+    plain = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "")).otherwise(F.coalesce(text, F.lit("")))
     named = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{Ll},;] .)", NAME + "$1")
-    numbered = F.regexp_replace(named, r"([0-9]+(?:[.,][0-9]+)*)", NUMBER + "$1")
+    pointed = F.regexp_replace(named, "([0-9])[.,](?=[0-9])", "$1" + POINT)
+    numbered = F.regexp_replace(pointed, f"([0-9][0-9{POINT}]*)", f" {NUMBER}$1 ")
+    whole = F.regexp_replace(numbered, f"({NUMBER}[0-9{POINT}]+ ) ?%", "$1percent ")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    return F.lower(
-        F.regexp_replace(numbered, f"({NUMBER}[0-9.,]*[0-9]) ?{NAME}?((?:{units}|%|°|€|\\$))(?![\\p{{L}}])", f"$1 {UNIT}$2")
-    )
+    measured = F.regexp_replace(whole, f"({NUMBER}[0-9{POINT}]+ ) ?{NAME}?((?:{units}))(?![\\p{{L}}])", f"$1 {UNIT}$2")
+    return F.lower(F.when(text.rlike("[0-9]"), measured).otherwise(named))
 
 
 def tokens(text: Column) -> Column:
     """Words, and placeholders that still hold their values."""
-    pattern = f"{NUMBER}[0-9.,]*[0-9]|{UNIT}[%°€$]|[{NAME}{UNIT}]?[\\p{{L}}\\p{{N}}]+"
-    return F.regexp_extract_all(_marked(text), F.lit(pattern), F.lit(0))
+    return F.array_remove(F.split(_marked(text), f"[^{WORD}]+"), "")
 
 
 def _is_slot(token: Column) -> Column:
     return token.rlike(f"^[{NUMBER}{NAME}{UNIT}]")
 
 
-def _template(words: Column, has_slots: Column) -> Column:
-    kinds = F.transform(words, lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
-    return F.when(has_slots, kinds).otherwise(words)
+def _template(words: Column) -> Column:
+    return F.transform(words, lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
 
 
-def _once(df: DataFrame, name: str, value: Column | None = None) -> DataFrame:
-    """Compute a column before what uses it; else the optimizer puts it into each window's expression."""
-    value = F.col(name) if value is None else value
-    kept = [c for c in df.columns if c != name]
-    return df.select(*kept, F.explode(F.array(value)).alias(name))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Compute a column before what uses it; else the optimizer puts it into each use."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
-def _windows(df: DataFrame, size: Column | int, *keep: str) -> DataFrame:
-    """A row for each window of ``words``: its place, its template's hash and its slots' values."""
-    n = F.lit(size) if isinstance(size, int) else size
-    base = _once(_once(_once(df, "words"), "has_slots", F.exists("words", _is_slot)), "template", _template(F.col("words"), F.col("has_slots")))
-    places = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array())
-    no_slots = F.array().cast("array<string>")
-    windows = F.transform(
-        places,
-        lambda i: F.struct(
-            F.xxhash64(F.slice("template", i, n)).alias("h"),
-            F.when(F.col("has_slots"), F.filter(F.slice("words", i, n), _is_slot)).otherwise(no_slots).alias("slots"),
-        ),
-    )
-    rows = base.select(*keep, windows.alias("windows"))
-    return rows.select(*keep, F.posexplode("windows").alias("place", "window")).select(
-        *keep, "place", F.col("window.h").alias("h"), F.col("window.slots").alias("slots")
+def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The items' words and templates. Different texts under one id are ``variant`` s of the item."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("words"))
+    items = _once(items.where(F.col("item_id").isNotNull()), "words", tokens(F.col("words")))
+    items = items.where(F.size("words") >= FEWEST_WORDS).dropDuplicates()
+    length = F.least(F.size("words"), F.lit(WINDOW))
+    return items.select(
+        F.xxhash64("item_id", "words").alias("variant"),
+        "item_id",
+        F.col("words").alias("item_words"),
+        _template(F.col("words")).alias("item_template"),
+        length.alias("length"),
+        (F.size("words") - length + 1).alias("n_item"),
     )
 
 
-def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The template windows of every item, with their number and the length of a window."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(text).cast("string")).alias("words"))
-    items = items.where((F.size("words") >= FEWEST_WORDS) & F.col("item_id").isNotNull()).dropDuplicates()
-    items = items.withColumn("length", F.least(F.size("words"), F.lit(WINDOW)))
-    found = _windows(items, F.col("length"), "item_id", "length")
-    telling = F.col("length") - F.size("slots") >= FEWEST_LITERALS
-    counts = items.select("item_id", (F.size("words") - F.col("length") + 1).alias("n_item"))
-    counts = counts.groupBy("item_id").agg(F.max("n_item").alias("n_item"))
-    return found.where(telling).join(counts, "item_id").withColumnsRenamed({"place": "item_place", "slots": "item_slots"})
+def anchors(items: DataFrame) -> DataFrame:
+    """For each window of an item the word to find it by, and that word's place in the item.
+
+    It is the longest word of the window that is no placeholder, because long words are rare;
+    of equally long ones the first in the alphabet.
+    """
+    placed = items.select("variant", "n_item", "item_template", "length", F.explode(F.sequence(F.lit(0), F.col("n_item") - 1)).alias("at"))
+    window = F.slice("item_template", F.col("at") + 1, F.col("length"))
+    literals = F.filter(window, lambda t: ~_is_slot(t))
+    ranked = F.array_sort(F.transform(literals, lambda t: F.struct((-F.length(t)).alias("rank"), t.alias("word"))))
+    found = placed.where(F.size(literals) >= FEWEST_LITERALS).select("variant", "n_item", "at", window.alias("window"), ranked[0]["word"].alias("anchor"))
+    place = F.col("at") + F.array_position("window", F.col("anchor")).cast("int") - 1
+    return found.select("variant", "n_item", "anchor", place.alias("anchor_place"))
+
+
+def _candidates(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """(document, item, distance) with the anchors of enough windows where they should be."""
+    wanted = anchors(items)
+    turns = 1 + wanted.count() // BROADCAST_WINDOWS
+    words = docs.select("doc_id", "fp", F.posexplode(tokens(F.col("text"))).alias("place", "word"))
+    counted = None
+    for turn in range(turns):
+        own = wanted if turns == 1 else wanted.where(F.pmod(F.col("variant"), F.lit(turns)) == turn)
+        found = words.join(F.broadcast(own), F.xxhash64("word") == F.xxhash64("anchor"))
+        found = found.groupBy("doc_id", "fp", "variant", (F.col("place") - F.col("anchor_place")).alias("distance")).agg(
+            F.count("*").alias("n"), F.first("n_item").alias("n_item")
+        )
+        counted = found if counted is None else counted.unionByName(found)
+    enough = counted.where(F.col("n") >= F.lit(coverage) * F.col("n_item"))
+    return enough.select("doc_id", "fp", "variant", "distance")
 
 
 def find_leaks(
@@ -104,49 +123,60 @@ def find_leaks(
 ) -> DataFrame:
     """Benchmark items that documents hold, also with other numbers, names or units.
 
-    Numbers, names and units become placeholders of their type, and windows of the
-    remaining templates are joined by hash. Windows of one item at one distance belong
-    together. Their slots must be consistent: equal values of the item stand for
-    equal values of the document, and the other way round. A leak is an item of which
-    a share of ``coverage`` of the windows is found so. ``reparameterised`` says that some
-    value was replaced.
+    Numbers, names and units become placeholders of their type. Each window of an item's
+    template is looked for by its longest word: the documents' words are joined by hash with
+    these, and counted for each item and distance, the place of the item's start in the
+    document. Where enough are found, the words there are compared with the item's
+    template, window by window. The slots of equal windows must be consistent:
+    equal values of the item stand for equal values of the document, and the other way
+    round. A leak is an item of which a share of ``coverage`` of the windows is found so.
+    ``reparameterised`` says that some value was replaced.
 
     Result: ``doc_id``, ``fp`` (a hash of the text, which tells rows of one id apart),
     ``item_id``, ``n_windows``, ``n_item`` (the item's windows), ``reparameterised`` and ``first_word``.
     A document that repeats an item has one row for it. Items of fewer than five words are not looked
     for; a null text holds nothing; a null document id stays null; items without an id are left out;
-    items that share an id are one item. Empty tables give no rows. Only the named columns are read.
+    texts that share an item's id are variants of the item. Empty tables give no rows. Only the named
+    columns are read.
 
-    The windows of the benchmark are broadcast if they are at most ``BROADCAST_WINDOWS``,
-    and joined by a shuffle otherwise; adaptive execution then splits frequent ones.
+    The anchors of the benchmark are broadcast, at most about ``BROADCAST_WINDOWS`` at once. Words
+    are exploded without their document; the texts are shuffled once, to the candidates.
     """
-    items = benchmark_windows(benchmark, item_id, item_text)
-    lengths = [r[0] for r in items.select("length").distinct().orderBy("length").collect()]  # WINDOW values at most
-    few = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    items = benchmark_items(benchmark, item_id, item_text)
     value = F.col(text).cast("string")
-    docs = documents.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.hash(value).alias("fp"), tokens(value).alias("words")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(value).alias("fp"), value.alias("text"))
+    candidates = _candidates(docs, items, coverage)
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.fp") == F.col("c.fp"))
+    met = docs.alias("d").join(candidates.alias("c"), same).select("d.*", "c.variant", "c.distance")
+    met = met.join(items, "variant")
+    kept = ["doc_id", "fp", "item_id", "distance", "length", "n_item", "item_words", "item_template"]
+    # Only the words at the item's place go on, not the document's.
+    there = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), lambda k: F.get("words", F.col("distance") + k))
+    at_item = _once(met.select(*kept, tokens(F.col("text")).alias("words")), "words", F.col("words"))
+    at_item = _once(at_item, "words", there)
+    template = F.transform("words", lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
+    at_item = _once(at_item.withColumn("template", F.lit(None)), "template", template)
+    equal = F.filter(
+        F.sequence(F.lit(0), F.col("n_item") - 1),
+        lambda k: F.slice("template", k + 1, F.col("length")) == F.slice("item_template", k + 1, F.col("length")),
+    )
+    at_item = _once(at_item.withColumn("equal", F.lit(None)), "equal", equal)
+    in_window = lambda k: F.exists("equal", lambda e: (e <= k) & (k < e + F.col("length")))
+    slots = F.filter(
+        F.sequence(F.lit(0), F.size("item_words") - 1), lambda k: _is_slot(F.get("item_words", k)) & in_window(k)
     )
-    matched = None
-    for length in lengths or [WINDOW]:
-        own = items.where(F.col("length") == length)
-        found = _windows(docs, length, "doc_id", "fp").join(F.broadcast(own) if few else own, "h")
-        matched = found if matched is None else matched.unionByName(found)
-    pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    grouped = matched.groupBy("doc_id", "fp", "item_id", (F.col("place") - F.col("item_place")).alias("distance")).agg(
-        F.countDistinct("item_place").alias("n_windows"),
-        F.first("n_item").alias("n_item"),
-        F.min("place").alias("first_word"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+    pairs = F.array_distinct(
+        F.transform(slots, lambda k: F.struct(F.get("item_words", k).alias("a"), F.get("words", k).alias("b")))
     )
+    found = at_item.select("doc_id", "fp", "item_id", "distance", "n_item", "equal", pairs.alias("pairs"))
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     consistent = (values("a") == F.size("pairs")) & (values("b") == F.size("pairs"))
-    leaks = grouped.where(consistent & (F.col("n_windows") >= F.lit(coverage) * F.col("n_item")))
+    leaks = found.where(consistent & (F.size("equal") >= F.lit(coverage) * F.col("n_item")))
     return leaks.groupBy("doc_id", "fp", "item_id").agg(
-        F.max("n_windows").alias("n_windows"),
+        F.max(F.size("equal")).alias("n_windows"),
         F.max("n_item").alias("n_item"),
         F.min(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reparameterised"),
-        F.min("first_word").alias("first_word"),
+        F.min(F.col("distance") + F.get("equal", F.lit(0))).alias("first_word"),
     )
 
 
