@@ -23,15 +23,22 @@ def is_floating(df: DataFrame, name: str) -> bool:
     )
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A measure whose products and sums do not overflow: whole numbers become decimals."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return df[name].cast("decimal(19,0)")
+    return df[name]
+
+
 def weight(df: DataFrame, w: str) -> Column:
-    """The weight where it counts, NULL where it is null or zero.
+    """The weight where it counts, NULL where it is null or zero; see :func:`number`.
 
-    A negative weight, or NaN, is an error when the row is read.
+    A negative or infinite weight, or NaN, is an error when the row is read.
     """
-    col = df[w]
+    col = number(df, w)
     bad = col < 0
     if is_floating(df, w):
-        bad = bad | F.isnan(col)
+        bad = bad | F.isnan(col) | (col == float("inf"))
     message = F.concat(F.lit(f"weight column {w} holds "), col.cast("string"))
     return F.when(bad, F.raise_error(message)).when(col > 0, col)
 

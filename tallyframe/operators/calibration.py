@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label, names, ratio, same_keys, weight
-from tallyframe.sources.scratch import written, written_and_measured
-
-# Each margin fitted in a job repeats the plans of those before it.
-MARGINS_PER_JOB = 3
+from tallyframe.sources.scratch import new_path, written, written_and_measured
 
 
 class RakingNotConverged(RuntimeError):
@@ -96,7 +93,8 @@ def rake(
 
     The rows are read twice: once to sum them to cells, once for the result. The
     rounds work on the cells and change only one factor per category, written to
-    the shared folder each time. A margin whose measured size allows it is
+    the shared folder each time, in a job of its own per margin, whose plan has one join per
+    margin. A margin whose measured size allows it is
     broadcast, and then neither cells nor rows are shuffled by it.
     """
     columns = [[c for c in m.columns if c != control] for m in margins]
@@ -109,15 +107,16 @@ def rake(
         .agg(F.sum("__w").cast("double").alias("__base"))
         .where(F.col("__base").isNotNull())
     )
+    # Two tables for each margin take turns: the next factors are written while these are read.
+    paths = [[new_path(df.sparkSession) for _ in range(2)] for _ in margins]
     fitted = [
-        _starting_margin(cells, _controls(m, cols, control), cols)
-        for m, cols in zip(margins, columns)
+        _starting_margin(cells, _controls(m, cols, control), cols, own[1])
+        for m, cols, own in zip(margins, columns, paths)
     ]
-    for _ in range(max_iter):
+    for turn in range(max_iter):
         moved = 0.0
-        for start in range(0, len(fitted), MARGINS_PER_JOB):
-            some = range(start, min(start + MARGINS_PER_JOB, len(fitted)))
-            fitted, gap = _refitted(cells, fitted, some)
+        for k in range(len(fitted)):
+            fitted[k], gap = _refitted(cells, fitted, k, paths[k][turn % 2])
             moved = max(moved, gap)
         # Each gap was seen before the margins after it were fitted: look again.
         if moved <= tol and _worst_gap(cells, fitted)[0] <= tol:
@@ -193,7 +192,7 @@ def _reweighted(df: DataFrame, w: str, margins: Sequence[Margin], out: str) -> D
     )
 
 
-def _starting_margin(cells: DataFrame, controls: DataFrame, cols: list[str]) -> Margin:
+def _starting_margin(cells: DataFrame, controls: DataFrame, cols: list[str], path: str) -> Margin:
     """Factors of one, once every positive control has been found in the sample."""
     sampled = cells.groupBy(*cols).agg(F.sum("__base").alias("__total"))
     factor = _scaled(
@@ -205,13 +204,14 @@ def _starting_margin(cells: DataFrame, controls: DataFrame, cols: list[str]) ->
     table, small = written_and_measured(
         controls.alias("c")
         .join(sampled.alias("t"), same_keys(cols, "c", "t"), "left")
-        .select("c.*", F.when(factor >= 0, 1.0).alias("__factor"))
+        .select("c.*", F.when(factor >= 0, 1.0).alias("__factor")),
+        path,
     )
     return Margin(cols, table, small)
 
 
-def _fitted_totals(cells: DataFrame, margins: Sequence[Margin], k: int) -> DataFrame:
-    """Control, factor and present weighted total of each category of margin k."""
+def _fitted_cells(cells: DataFrame, margins: Sequence[Margin]) -> DataFrame:
+    """The cells with every margin's control and factor, and the fitted weight ``__fit``."""
     message = F.concat(
         F.lit("sampled cell without a control: "),
         label({c: F.col(c) for c in cells.columns if c != "__base"}),
@@ -219,65 +219,63 @@ def _fitted_totals(cells: DataFrame, margins: Sequence[Margin], k: int) -> DataF
     fit = F.when(_product(margins).isNull(), F.raise_error(message)).otherwise(
         F.col("__base") * _product(margins)
     )
+    return _attached(cells, margins).withColumn("__fit", fit)
+
+
+def _gap() -> Column:
     control, total = F.col("__control"), F.col("__total")
+    return F.coalesce(ratio(F.abs(total - control), control), total)
+
+
+def _refitted(
+    cells: DataFrame, margins: Sequence[Margin], k: int, path: str
+) -> tuple[Margin, float]:
+    """Margin k fitted to its controls, and the largest gap that it had just before."""
     cols = margins[k].cols
-    return (
-        _attached(cells, margins)
+    totals = (
+        _fitted_cells(cells, margins)
         .select(
             *cols,
             F.col(f"__control{k}").alias("__control"),
             F.col(f"__factor{k}").alias("__factor"),
-            fit.alias("__fit"),
+            "__fit",
         )
         .groupBy(*cols, "__control", "__factor")
         .agg(F.sum("__fit").alias("__total"))
-        .withColumn(
-            "__gap", F.coalesce(ratio(F.abs(total - control), control), total)
-        )
+        .withColumn("__gap", _gap())
     )
-
-
-def _refitted(
-    cells: DataFrame, margins: Sequence[Margin], some: Sequence[int]
-) -> tuple[list[Margin], float]:
-    """Fit the margins ``some`` in turn, in one job.
-
-    Returns all margins and the largest gap that one of ``some`` had just before
-    it was fitted. Each plan holds those before it, so ``some`` must be few.
-    """
-    fitted = list(margins)
-    parts = []
-    for k in some:
-        cols = fitted[k].cols
-        factor = _scaled(
-            F.col("__factor"),
-            F.col("__control"),
-            F.col("__total"),
-            {c: F.col(c) for c in cols},
-        )
-        part = _fitted_totals(cells, fitted, k).withColumn("__factor", factor)
-        fitted[k] = Margin(cols, part.drop("__total", "__gap"), fitted[k].small)
-        parts.append(part.withColumn("__margin", F.lit(k)))
-    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    key = {c: F.col(c) for c in cols}
+    factor = _scaled(F.col("__factor"), F.col("__control"), F.col("__total"), key)
     seen = Observation()
     table = written(
-        together.observe(seen, F.max("__gap").alias("gap")).drop("__total", "__gap")
+        totals.withColumn("__factor", factor)
+        .observe(seen, F.max("__gap").alias("gap"))
+        .select(*cols, "__control", "__factor"),
+        path,
     )
-    for k in some:
-        own = table.where(F.col("__margin") == k)
-        own = own.select(*fitted[k].cols, "__control", "__factor")
-        fitted[k] = Margin(fitted[k].cols, own, fitted[k].small)
-    return fitted, seen.get["gap"] or 0.0
+    return Margin(cols, table, margins[k].small), seen.get["gap"] or 0.0
 
 
 def _worst_gap(cells: DataFrame, margins: Sequence[Margin]) -> tuple[float, int]:
-    """Largest relative gap over all categories, and the margin it is in."""
-    gaps = [
-        _fitted_totals(cells, margins, k).select("__gap", F.lit(k).alias("__margin"))
-        for k in range(len(margins))
+    """Largest relative gap over all categories, and the margin it is in.
+
+    The factors are attached once; each cell then gives a row to every margin, with its
+    category as a hash and the control.
+    """
+    places = [
+        F.struct(
+            F.lit(k).alias("__margin"),
+            F.xxhash64(F.lit(k), *m.cols).alias("__category"),
+            F.col(f"__control{k}").alias("__control"),
+        )
+        for k, m in enumerate(margins)
     ]
     worst = (
-        reduce(DataFrame.unionAll, gaps)
+        _fitted_cells(cells, margins)
+        .select("__fit", F.inline(F.array(*places)))
+        .groupBy("__margin", "__category", "__control")
+        .agg(F.sum("__fit").alias("__total"))
+        .withColumn("__gap", _gap())
         .agg(F.max("__gap").alias("gap"), F.max_by("__margin", "__gap").alias("margin"))
         .first()
     )

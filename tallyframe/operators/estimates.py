@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.columns import names, ratio, weight
+from tallyframe.functions.columns import names, number, ratio, weight
 
 
 def weighted_estimates(
@@ -25,7 +25,7 @@ def weighted_estimates(
     by = names(by)
     usable = F.when(df[y].isNotNull(), weight(df, w))
     sums = (
-        df.select(*by, usable.alias("__w"), (usable * df[y]).alias("__wy"))
+        df.select(*by, usable.alias("__w"), (usable * number(df, y)).alias("__wy"))
         .groupBy(*by)
         .agg(F.sum("__w").alias("n_hat"), F.sum("__wy").alias("y_hat"))
     )
@@ -58,7 +58,7 @@ def weighted_ratio(
     usable = F.when(df[num].isNotNull() & df[den].isNotNull(), weight(df, w))
     sums = (
         df.select(
-            *by, (usable * df[num]).alias("__num"), (usable * df[den]).alias("__den")
+            *by, (usable * number(df, num)).alias("__num"), (usable * number(df, den)).alias("__den")
         )
         .groupBy(*by)
         .agg(F.sum("__num").alias("num_hat"), F.sum("__den").alias("den_hat"))
@@ -73,7 +73,8 @@ def weighted_crosstab(df: DataFrame, w: str, dims: str | Sequence[str]) -> DataF
     dimension, the first dimension highest; a set bit means the dimension is
     summed over. It tells a subtotal from a category that is NULL.
 
-    Rows are summed to cells first, so the cube multiplies cells, not rows.
+    Rows are summed to cells first, so the cube multiplies cells, not rows. A table without
+    rows has a grand total, which is NULL.
     """
     dims = names(dims)
     cells = (
@@ -81,8 +82,19 @@ def weighted_crosstab(df: DataFrame, w: str, dims: str | Sequence[str]) -> DataF
         .groupBy(*dims)
         .agg(F.sum("__w").alias("__cell"))
     )
-    return (
+    total = F.sum("__cell").alias("n_hat")
+    parts = (
         cells.cube(*dims)
-        .agg(F.grouping_id().cast("int").alias("gid"), F.sum("__cell").alias("n_hat"))
+        .agg(F.grouping_id().cast("int").alias("gid"), total)
         .select(*dims, "gid", "n_hat")
     )
+    if not dims:
+        return parts
+    # The cube of no rows has no grand total; a plain aggregate has one.
+    all_over = (1 << len(dims)) - 1
+    grand = cells.agg(total).select(
+        *[F.lit(None).cast(df.schema[d].dataType).alias(d) for d in dims],
+        F.lit(all_over).alias("gid"),
+        "n_hat",
+    )
+    return parts.where(F.col("gid") != all_over).unionByName(grand)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -14,8 +15,10 @@ from tallyframe.sources.scratch import written, written_and_measured
 
 # A slot spans about half a percent of the values in it.
 SLOTS_PER_LOG_UNIT = 200
-# The most rows of one group and slot that are sorted in one task.
-SORTED_ROWS = 4_000_000
+# Rows for each range of the values that are sorted.
+RANGE_ROWS = 1_000_000
+# Decimal digits to which double weights count, from the largest one's first.
+WEIGHT_DIGITS = 15
 
 FIRST_SLOT, LAST_SLOT = -(2**63), 2**63 - 1
 
@@ -30,99 +33,90 @@ def weighted_quantile(
     """Smallest ``y`` whose cumulative weight reaches share ``p`` of the group.
 
     Returns one row per group and probability: ``by``, ``prob``, ``quantile``.
-    A group without usable rows is kept, with NULL quantiles. Integer or decimal
-    weights make ties at ``p`` exact; double weights may round across a tie.
+    A group without usable rows is kept, with NULL quantiles. Weights are added exactly,
+    so ties at ``p`` are exact and the answer is the same however the rows are spread.
+    Double weights count to 15 decimal digits of the largest one, whose size takes a scan of
+    the weights; what is below that counts as zero.
 
     No group is brought together in one task. A first scan sums the weights per
-    group and slot, a narrow band of values; the running sum over the slots tells
+    group and slot, a narrow band of values or a day; the running sum over the slots tells
     the one slot that holds each quantile. A second scan keeps only the rows of
-    those slots. Where a slot has too many rows to sort in a task, its values are
-    range-partitioned and written, and the same search runs over the ranges.
-
-    With so many groups that the slots found are not few, or with values that are
-    not numbers, the ranges are searched directly, over all values.
+    those slots. Their values are range-partitioned into as many ranges as their number
+    takes, and written, and the same search runs over the ranges. Values that are neither
+    numbers nor times have one slot.
     """
     by = names(by)
     probs = [Decimal(str(p)) for p in probs]
     if not probs or any(not 0 <= p <= 1 for p in probs):
         raise ValueError("probs must lie between 0 and 1")
-    floating = is_floating(df, w)
     integral = isinstance(df.schema[w].dataType, T.IntegralType)
-    shares = [F.lit(float(p)) if floating else F.lit(p) for p in probs]
 
     def targets() -> list[Column]:
-        found = [F.col("__whole") * share for share in shares]
-        return [F.ceil(t).cast("bigint") for t in found] if integral else found
+        found = [F.col("__whole") * F.lit(p) for p in probs]
+        return [F.ceil(t).cast("decimal(38,0)") for t in found] if integral else found
 
-    usable = F.when(df[y].isNotNull(), weight(df, w))
+    usable = F.when(df[y].isNotNull(), _exact(df, w))
     rows = df.select(
         *by, usable.alias("__w"), F.when(usable.isNotNull(), df[y]).alias("__y")
     )
     # The hash stands in for the group in joins, where a group may be NULL.
     group_hash = F.xxhash64(*by) if by else F.lit(0)
     rows = rows.withColumn("__group", group_hash.cast("bigint"))
+    rows = rows.withColumn("__slot", _slot(df.schema[y].dataType))
     group = ["__group", *by]
 
-    if isinstance(df.schema[y].dataType, T.NumericType):
-        rows = rows.withColumn("__slot", _slot())
-        slots = rows.groupBy(*group, "__slot").agg(
-            F.sum("__w").alias("__part"), F.count("*").alias("__rows")
-        )
-        located = _holding(_running(slots, group, "__slot"), targets())
-        hits, few = written_and_measured(located)
-        if few:
-            return _within_slots(rows, hits, by, probs, floating)
-
-    ranges = _ranges(rows.groupBy(*group, "__y").agg(F.sum("__w").alias("__w")), by)
-    parts = ranges.groupBy(*group, "__range").agg(F.sum("__w").alias("__part"))
-    hits, few = written_and_measured(
-        _holding(_running(parts, group, "__range"), targets())
+    slots = rows.groupBy(*group, "__slot").agg(
+        F.sum("__w").alias("__part"), F.count("*").alias("__rows")
     )
-    return _answers(ranges, hits, few, by, ["__range"], probs, floating)
-
-
-def _within_slots(
-    rows: DataFrame, hits: DataFrame, by: list[str], probs: list[Decimal], floating: bool
-) -> DataFrame:
-    """Search the slots in ``hits``, whose rows are few enough to broadcast."""
-    group = ["__group", *by, "__slot"]
-    largest = hits.agg(F.max(F.when(~F.col("__empty"), F.col("__rows")))).first()[0]
+    hits, few = written_and_measured(_holding(_running(slots, group, "__slot"), targets()))
+    found = F.broadcast(hits) if few else hits
     values = (
         rows.alias("r")
-        .join(F.broadcast(hits.alias("h")), _same(by, ["__slot"]), "left_semi")
-        .groupBy(*group, "__y")
+        .join(found.alias("h"), _same(by, ["__slot"]), "left_semi")
+        .groupBy(*group, "__slot", "__y")
         .agg(F.sum("__w").alias("__w"))
     )
-    if (largest or 0) <= SORTED_ROWS:
-        return _answers(values, hits, True, by, ["__slot"], probs, floating)
-
-    ranges = _ranges(values, by)
-    parts = ranges.groupBy(*group, "__range").agg(F.sum("__w").alias("__part"))
+    held = hits.agg(F.sum(F.when(~F.col("__empty"), F.col("__rows")))).first()[0]
+    ranges = _ranges(values, by, 1 + (held or 0) // RANGE_ROWS)
+    parts = ranges.groupBy(*group, "__slot", "__range").agg(F.sum("__w").alias("__part"))
     # The sums start over in each slot; put what came before the slot in front.
     start = F.coalesce("h.__before", F.lit(0))
-    targets = _target_names(probs)
+    names_of_targets = _target_names(probs)
     inside = (
-        _running(parts, group, "__range")
+        _running(parts, [*group, "__slot"], "__range")
         .alias("r")
-        .join(F.broadcast(hits.alias("h")), _same(by, ["__slot"]))
+        .join(found.alias("h"), _same(by, ["__slot"]))
         .select(
-            *[F.col(f"r.`{k}`") for k in [*group, "__range"]],
+            *[F.col(f"r.`{k}`") for k in [*group, "__slot", "__range"]],
             F.coalesce(start + F.col("r.__before"), F.col("h.__before")).alias("__before"),
             (start + F.col("r.__so_far")).alias("__so_far"),
             (start + F.col("r.__whole")).alias("__whole"),
-            *[f"h.{t}" for t in targets],
+            *[f"h.{t}" for t in names_of_targets],
         )
     )
-    # Doubles added in another order may end just short of the target.
-    wanted = [F.col(t) for t in targets]
-    if floating:
-        wanted = [F.when(t.isNotNull(), F.least(t, F.col("__whole"))) for t in wanted]
-    found, few = written_and_measured(_holding(inside, wanted))
-    return _answers(ranges, found, few, by, ["__slot", "__range"], probs, floating)
+    within, few = written_and_measured(_holding(inside, [F.col(t) for t in names_of_targets]))
+    return _answers(ranges, within, few, by, ["__slot", "__range"], probs)
+
+
+def _exact(df: DataFrame, w: str) -> Column:
+    """The weight as a number whose sums are exact: doubles in units of their last digit."""
+    usable = weight(df, w)
+    if not is_floating(df, w):
+        return usable
+    largest = df.agg(F.max(usable)).first()[0]
+    shift = WEIGHT_DIGITS - (math.floor(math.log10(largest)) + 1) if largest else 0
+    scaled = F.round(usable.cast("double") * F.lit(10.0) ** F.lit(float(shift)))
+    units = scaled.cast(f"decimal({WEIGHT_DIGITS + 1},0)")
+    return F.when(units > 0, units)
 
 
-def _slot() -> Column:
+def _slot(kind: T.DataType) -> Column:
     """A whole number that never falls as ``__y`` rises."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        day = F.unix_date(F.col("__y").cast("date")).cast("bigint")
+        return F.when(F.col("__y").isNull(), FIRST_SLOT).otherwise(day)
+    if not isinstance(kind, T.NumericType):
+        return F.lit(0).cast("bigint")
     value = F.col("__y").cast("double")
     log = F.signum(value) * F.log1p(F.abs(value))
     return (
@@ -132,9 +126,9 @@ def _slot() -> Column:
     )
 
 
-def _ranges(values: DataFrame, by: list[str]) -> DataFrame:
+def _ranges(values: DataFrame, by: list[str], count: int) -> DataFrame:
     """Range-partitioned values; writing them fixes the range each belongs to."""
-    ranged = values.repartitionByRange(*by, "__y")
+    ranged = values.repartitionByRange(count, *by, "__y")
     return written(ranged.withColumn("__range", F.spark_partition_id()))
 
 
@@ -187,7 +181,6 @@ def _answers(
     by: list[str],
     place: list[str],
     probs: list[Decimal],
-    floating: bool,
 ) -> DataFrame:
     """Sort the values of the places found and pick the first past each target."""
     targets = _target_names(probs)
@@ -206,7 +199,7 @@ def _answers(
         )
     )
     found = running.groupBy(*by).agg(
-        *[_first_reaching(t, floating).alias(f"__answer{i}") for i, t in enumerate(targets)]
+        *[_first_reaching(t).alias(f"__answer{i}") for i, t in enumerate(targets)]
     )
     answers = F.array(
         *[
@@ -219,14 +212,9 @@ def _answers(
     return found.select(*by, F.inline(answers))
 
 
-def _first_reaching(target: str, floating: bool) -> Column:
+def _first_reaching(target: str) -> Column:
     """Smallest value at or past the target."""
-    reached = F.min(F.when(F.col("__cum") >= F.col(target), F.col("__y")))
-    if not floating:
-        return reached
-    # The same doubles added in another order may stop just short of the target.
-    last = F.when(F.col(target).isNotNull() & (F.col("__w") > 0), F.col("__y"))
-    return F.coalesce(reached, F.max(last))
+    return F.min(F.when(F.col("__cum") >= F.col(target), F.col("__y")))
 
 
 def _target_names(probs: list[Decimal]) -> list[str]:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.columns import label, names, ratio, weight
+from tallyframe.functions.columns import is_floating, label, names, number, ratio, same_keys, weight
 
 LONELY_PSU = ("fail", "zero", "center")
+# Replicates that one aggregate sums.
+REPLICATES_PER_BATCH = 40
 
 
 def design_variance(
@@ -30,17 +33,17 @@ def design_variance(
 
     ``lonely_psu`` says what a stratum with one PSU does: ``fail`` raises when the
     stratum is met, ``zero`` adds nothing, ``center`` measures the PSU from the
-    mean PSU total of the whole sample, whose size takes another scan of the design
-    columns. Rows with a null or zero weight are not in the sample and do not put
+    mean PSU total of the whole sample. Rows with a null or zero weight are not in the sample and do not put
     their PSU there.
     """
-    parts = _components(df, w, [df[y]], strata, psu, by, lonely_psu)
+    psus = _psu_totals(df, w, [number(df, y)], strata, psu, by, lonely_psu)
+    parts = psus.spread(psus.table.withColumn("__e", F.col("__z0")))
     return parts.select(
         *names(by),
         F.col("__total0").alias("y_hat"),
-        F.col("__v00").alias("variance"),
-        F.sqrt("__v00").alias("se"),
-        ratio(F.sqrt("__v00"), F.abs("__total0")).alias("cv"),
+        F.col("__v").alias("variance"),
+        F.sqrt("__v").alias("se"),
+        ratio(F.sqrt("__v"), F.abs("__total0")).alias("cv"),
     )
 
 
@@ -60,18 +63,17 @@ def ratio_variance(
     :func:`design_variance` for the design and ``lonely_psu``.
 
     The linearized variance is that of the total of ``(num - r * den) / den_hat``.
-    It is quadratic in ``r``, so the variances and the covariance of the two
-    totals give it, and the rows are read once.
+    These residuals are linear in the totals, so they are formed of the totals of the
+    PSUs, once the ratios are known, and the rows are read once.
     """
     both = df[num].isNotNull() & df[den].isNotNull()
-    measures = [F.when(both, df[num]), F.when(both, df[den])]
-    parts = _components(df, w, measures, strata, psu, by, lonely_psu)
-    r = ratio(F.col("__total0"), F.col("__total1"))
-    spread = F.col("__v00") - 2 * r * F.col("__v01") + r * r * F.col("__v11")
-    # Rounding can leave a tiny negative where num is a multiple of den.
-    variance = ratio(F.greatest(spread, spread * 0), F.pow(F.col("__total1"), 2))
+    measures = [F.when(both, number(df, num)), F.when(both, number(df, den))]
+    psus = _psu_totals(df, w, measures, strata, psu, by, lonely_psu)
+    parts = psus.spread(psus.with_residuals())
     return parts.select(
-        *names(by), r.alias("ratio_hat"), variance.alias("variance")
+        *names(by),
+        ratio(F.col("__total0"), F.col("__total1")).alias("ratio_hat"),
+        ratio(F.col("__v"), F.pow(F.col("__total1"), 2)).alias("variance"),
     ).select(
         "*",
         F.sqrt("variance").alias("se"),
@@ -93,40 +95,147 @@ def replicate_variance(
     gap between the replicate's total and the full-sample total. Returns ``by``
     plus ``y_hat``, ``variance``, ``se`` and ``cv``.
 
-    All replicates are summed in one pass over wide rows; nothing is exploded, and
-    a replicate adds one product and one sum. Only ``w`` is checked for negative
-    values, since some replication methods make negative replicate weights.
+    A row counts where its full weight does, whatever its replicate weights. Those may be
+    negative, as some replication methods make them, but not NaN. The replicates are
+    taken in batches of ``REPLICATES_PER_BATCH``, each a plain aggregate of the columns it
+    needs: of more columns than that Spark compiles no aggregate. Nothing is exploded.
     """
     by = names(by)
-    totals = (
-        df.select(
-            *by,
-            (weight(df, w) * df[y]).alias("__t0"),
-            *[(df[c] * df[y]).alias(f"__t{i}") for i, c in enumerate(replicate_cols, 1)],
+    full = weight(df, w)
+
+    def product(name: str) -> Column:
+        value = number(df, name)
+        if is_floating(df, name):
+            message = F.lit(f"replicate weight column {name} holds NaN")
+            value = F.when(F.isnan(value), F.raise_error(message)).otherwise(value)
+        return F.when(full.isNotNull(), value * number(df, y))
+
+    def batch(columns: Sequence[str]) -> DataFrame:
+        sums = (
+            df.select(*by, (full * number(df, y)).alias("__t0"), *[product(c).alias(f"__t{i}") for i, c in enumerate(columns, 1)])
+            .groupBy(*by)
+            .agg(*[F.sum(f"__t{i}").alias(f"__t{i}") for i in range(len(columns) + 1)])
         )
-        .groupBy(*by)
-        .agg(*[F.sum(f"__t{i}").alias(f"__t{i}") for i in range(len(replicate_cols) + 1)])
-    )
-    full = F.col("__t0").cast("double")
-    replicates = F.array(
-        *[F.col(f"__t{i}").cast("double") for i in range(1, len(replicate_cols) + 1)]
-    )
-    # A replicate without weight in a group estimates zero there.
-    gaps = F.aggregate(
-        replicates,
-        F.lit(0.0),
-        lambda acc, t: acc + F.pow(F.coalesce(t, F.lit(0.0)) - full, 2),
-    )
+        total = F.col("__t0").cast("double")
+        # A replicate without weight in a group estimates zero there.
+        gaps = [
+            F.pow(F.coalesce(F.col(f"__t{i}").cast("double"), F.lit(0.0)) - total, 2)
+            for i in range(1, len(columns) + 1)
+        ]
+        return sums.select(*by, F.col("__t0").alias("y_hat"), reduce(lambda a, b: a + b, gaps, F.lit(0.0)).alias("__gaps"))
+
+    step = REPLICATES_PER_BATCH
+    parts = [batch(replicate_cols[i : i + step]) for i in range(0, max(len(replicate_cols), 1), step)]
+    together = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        together = together.groupBy(*by).agg(F.first("y_hat").alias("y_hat"), F.sum("__gaps").alias("__gaps"))
     return (
-        totals.select(
-            *by, F.col("__t0").alias("y_hat"), (F.lit(float(scale)) * gaps).alias("variance")
-        )
+        together.select(*by, "y_hat", (F.lit(float(scale)) * F.col("__gaps")).alias("variance"))
         .withColumn("se", F.sqrt("variance"))
         .withColumn("cv", ratio(F.col("se"), F.abs("y_hat")))
     )
 
 
-def _components(
+@dataclass(frozen=True)
+class _Psus:
+    """Totals ``__z<i>`` of the measures per PSU and group, and whether the PSU is in the sample.
+
+    Every use of the table reads all its columns, so that Spark runs the scan and the shuffle
+    once for all of them.
+    """
+
+    table: DataFrame
+    stratum: list[str]
+    unit: list[str]
+    by: list[str]
+    z: list[str]
+    lonely_psu: str
+
+    def with_residuals(self) -> DataFrame:
+        """The table with ``__e``, the first measure less its group's ratio times the second."""
+        sums = [F.sum(F.when(F.col("__in"), F.col(c))).alias(f"__g{c}") for c in self.z]
+        if not self.by:
+            whole = self.table.agg(F.struct(*sums)).scalar()
+            r = ratio(whole["__g__z0"], whole["__g__z1"])
+            return self.table.withColumn("__e", F.col("__z0") - r * F.col("__z1"))
+        groups = self.table.groupBy(*self.by).agg(*sums)
+        r = ratio(F.col("g.__g__z0"), F.col("g.__g__z1"))
+        joined = self.table.alias("p").join(groups.alias("g"), same_keys(self.by, "p", "g"))
+        return joined.select("p.*", (F.col("p.__z0") - r * F.col("p.__z1")).alias("__e"))
+
+    def sizes(self) -> DataFrame:
+        """The number of sampled PSUs per stratum, ``__n``."""
+        present = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in self.z], F.col("__in"))
+        each = self.table.groupBy(*self.unit).agg(F.max(present).alias("__present"))
+        return each.groupBy(*self.stratum).agg(F.sum(F.col("__present").cast("int")).alias("__n"))
+
+    def spread(self, table: DataFrame) -> DataFrame:
+        """Totals ``__total<i>`` per group and the variance ``__v`` of the total of ``__e``.
+
+        The PSUs without a case in a group are never written out. With ``m`` PSU totals
+        present out of ``n``, of mean ``a`` and population variance ``c``, adding
+        ``n - m`` zeros makes the sum of squares ``m * c + m * (n - m) / n * a * a``.
+        """
+        by_stratum = table.groupBy(*self.stratum, *self.by).agg(
+            F.count("__e").alias("__m"),
+            *[F.sum(F.when(F.col("__in"), F.col(c))).alias(f"__sum{i}") for i, c in enumerate(self.z)],
+            F.sum("__e").alias("__sum"),
+            F.avg("__e").alias("__avg"),
+            F.var_pop("__e").alias("__c"),
+            F.sum(F.col("__e") * F.col("__e")).alias("__x"),
+        )
+        if self.stratum:
+            sized = (
+                by_stratum.alias("b")
+                .join(self.sizes().alias("s"), same_keys(self.stratum, "b", "s"))
+                .select("b.*", "s.__n")
+            )
+        else:
+            sized = by_stratum.withColumn("__n", self.sizes().select("__n").scalar())
+
+        n, m = F.col("__n"), F.col("__m")
+        alone = F.lit(0.0)
+        if self.lonely_psu == "fail":
+            named = label({k.removeprefix("__s_"): F.col(k) for k in self.stratum})
+            message = F.concat(F.lit("stratum with a single PSU: "), named)
+            alone = F.raise_error(message).cast("double")
+        absent = m * (n - m) / F.nullif(n, F.lit(0)) * F.col("__avg") * F.col("__avg")
+        within = n / F.nullif(n - 1, F.lit(0)) * (m * F.col("__c") + absent)
+        totals = sized.groupBy(*self.by).agg(
+            *[F.sum(f"__sum{i}").alias(f"__total{i}") for i in range(len(self.z))],
+            F.sum(F.when(n == 1, alone).when(n > 1, within)).alias("__v"),
+            F.sum("__sum").alias("__total"),
+            F.sum(F.when(n == 1, F.col("__sum"))).alias("__alone"),
+            F.sum(F.when(n == 1, F.col("__x"))).alias("__alone_x"),
+        )
+        if self.lonely_psu == "center":
+            totals = totals.withColumn("__v", self._centered())
+        usable = F.col("__total0").isNotNull()
+        return totals.withColumn("__v", F.when(usable, F.col("__v")))
+
+    def _centered(self) -> Column:
+        """The variance with the lonely PSUs' squares about the mean PSU total.
+
+        A lonely PSU without a case in a group is a zero there and still counts, so the
+        numbers of PSUs and of lonely strata are those of the whole sample.
+        """
+        frame = self.sizes().agg(
+            F.struct(
+                F.sum("__n").cast("double").alias("psus"),
+                F.sum(F.when(F.col("__n") == 1, 1).otherwise(0)).alias("alone"),
+            )
+        ).scalar()
+        center = F.col("__total") / F.nullif(frame["psus"], F.lit(0.0))
+        zero = F.lit(0.0)
+        return (
+            F.coalesce(F.col("__v"), zero)
+            + F.coalesce(F.col("__alone_x"), zero)
+            - 2 * center * F.coalesce(F.col("__alone"), zero)
+            + frame["alone"] * center * center
+        )
+
+
+def _psu_totals(
     df: DataFrame,
     w: str,
     measures: Sequence[Column],
@@ -134,20 +243,11 @@ def _components(
     psu: str | Sequence[str],
     by: str | Sequence[str] | None,
     lonely_psu: str,
-) -> DataFrame:
-    """Totals ``__total<i>`` and their (co)variances ``__v<i><j>`` per group.
-
-    The PSUs without a case in a group are never written out. With ``m`` PSU
-    totals present out of ``n``, of mean ``a`` and population covariance ``c``,
-    adding ``n - m`` zeros makes the sum of cross products
-    ``m * c + m * (n - m) / n * a_i * a_j``.
-    """
+) -> _Psus:
     if lonely_psu not in LONELY_PSU:
         raise ValueError(f"lonely_psu must be one of {', '.join(LONELY_PSU)}")
     strata, psu, by = names(strata), names(psu), names(by)
     z = [f"__z{i}" for i in range(len(measures))]
-    pairs = list(combinations_with_replacement(range(len(measures)), 2))
-
     sampled = weight(df, w)
     rows = df.select(
         *[_design_key(df, sampled, k).alias(f"__s_{k}") for k in strata],
@@ -158,93 +258,11 @@ def _components(
     )
     stratum = [f"__s_{k}" for k in strata]
     unit = [*stratum, *[f"__p_{k}" for k in psu]]
-    psu_totals = rows.groupBy(*unit, *by).agg(
+    table = rows.groupBy(*unit, *by).agg(
         F.max("__in").alias("__in"),
         *[F.sum(c).cast("double").alias(c) for c in z],
     )
-
-    # Count each sampled PSU once, on one of its rows.
-    once = F.col("__in")
-    if by:
-        one_psu = Window.partitionBy(*unit).orderBy(F.col("__in").desc(), *by)
-        once = once & (F.row_number().over(one_psu) == 1)
-    by_stratum = (
-        psu_totals.withColumn("__once", once.cast("int"))
-        .groupBy(*stratum, *by)
-        .agg(
-            F.sum("__once").alias("__first"),
-            F.count(z[0]).alias("__m"),
-            *[F.sum(c).alias(f"__sum{i}") for i, c in enumerate(z)],
-            *[F.avg(c).alias(f"__avg{i}") for i, c in enumerate(z)],
-            *[F.covar_pop(z[i], z[j]).alias(f"__c{i}{j}") for i, j in pairs],
-            *[F.sum(F.col(z[i]) * F.col(z[j])).alias(f"__x{i}{j}") for i, j in pairs],
-        )
-        .withColumn("__n", F.sum("__first").over(Window.partitionBy(*stratum)))
-    )
-
-    n, m = F.col("__n"), F.col("__m")
-    lonely = n == 1
-    alone = F.lit(0.0)
-    if lonely_psu == "fail":
-        named = label({k: F.col(f"__s_{k}") for k in strata})
-        message = F.concat(F.lit("stratum with a single PSU: "), named)
-        alone = F.raise_error(message).cast("double")
-
-    def spread(i: int, j: int) -> Column:
-        absent = m * (n - m) / F.nullif(n, F.lit(0)) * F.col(f"__avg{i}") * F.col(f"__avg{j}")
-        within = n / F.nullif(n - 1, F.lit(0)) * (m * F.col(f"__c{i}{j}") + absent)
-        return F.sum(F.when(lonely, alone).when(n > 1, within))
-
-    def summed_alone(name: str) -> Column:
-        return F.sum(F.when(lonely, F.col(name)))
-
-    totals = by_stratum.groupBy(*by).agg(
-        *[F.sum(f"__sum{i}").alias(f"__total{i}") for i in range(len(z))],
-        *[spread(i, j).alias(f"__v{i}{j}") for i, j in pairs],
-        *[summed_alone(f"__sum{i}").alias(f"__alone{i}") for i in range(len(z))],
-        *[summed_alone(f"__x{i}{j}").alias(f"__alone{i}{j}") for i, j in pairs],
-    )
-    if lonely_psu == "center":
-        totals = _add_centered(totals, by_stratum, stratum, pairs, len(z))
-    usable = F.col("__total0").isNotNull()
-    return totals.select(
-        *by,
-        *[f"__total{i}" for i in range(len(z))],
-        *[F.when(usable, F.col(f"__v{i}{j}")).alias(f"__v{i}{j}") for i, j in pairs],
-    )
-
-
-def _add_centered(
-    totals: DataFrame,
-    by_stratum: DataFrame,
-    stratum: list[str],
-    pairs: list[tuple[int, int]],
-    count: int,
-) -> DataFrame:
-    """Add the lonely PSUs' cross products about the mean PSU total.
-
-    A lonely PSU without a case in a group is a zero there and still counts, so
-    the numbers of PSUs and of lonely strata are those of the whole sample.
-    """
-    sizes = by_stratum.groupBy(*stratum).agg(F.sum("__first").alias("__n"))
-    frame = sizes.agg(
-        F.struct(
-            F.sum("__n").cast("double").alias("psus"),
-            F.sum(F.when(F.col("__n") == 1, 1).otherwise(0)).alias("alone"),
-        )
-    ).scalar()
-    center = [F.col(f"__total{i}") / F.nullif(frame["psus"], F.lit(0.0)) for i in range(count)]
-    zero = F.lit(0.0)
-    return totals.withColumns(
-        {
-            f"__v{i}{j}": F.coalesce(F.col(f"__v{i}{j}"), zero)
-            + F.coalesce(F.col(f"__alone{i}{j}"), zero)
-            - center[i] * F.coalesce(F.col(f"__alone{j}"), zero)
-            - center[j] * F.coalesce(F.col(f"__alone{i}"), zero)
-            + frame["alone"] * center[i] * center[j]
-            for i, j in pairs
-        }
-    )
+    return _Psus(table, stratum, unit, by, z, lonely_psu)
 
 
 def _design_key(df: DataFrame, sampled: Column, name: str) -> Column:

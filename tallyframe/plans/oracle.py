@@ -114,21 +114,21 @@ FROM r JOIN v USING ({by})
 """
 
 
-def _replicates() -> str:
-    factor = f"{REPLICATES} / {REPLICATES - 1}"
+def _replicates(count: int) -> str:
+    factor = f"{count} / {count - 1}"
     sums = ", ".join(
-        f"SUM(CASE WHEN o_custkey % {REPLICATES} = {r} THEN 0 "
+        f"SUM(CASE WHEN o_custkey % {count} = {r} THEN 0 "
         f"ELSE w * {factor} * o_totalprice END) AS t{r}"
-        for r in range(REPLICATES)
+        for r in range(count)
     )
-    gaps = " + ".join(f"pow(t{r} - t, 2)" for r in range(REPLICATES))
+    gaps = " + ".join(f"pow(t{r} - t, 2)" for r in range(count))
     return f"""
 WITH s AS (
   SELECT o_orderpriority, SUM(w * o_totalprice) AS t, {sums}
   FROM {_ORDERS} GROUP BY o_orderpriority
 ),
 v AS (
-  SELECT o_orderpriority, t, ({gaps}) * {REPLICATES - 1} / {REPLICATES} AS v FROM s
+  SELECT o_orderpriority, t, ({gaps}) * {count - 1} / {count} AS v FROM s
 )
 SELECT o_orderpriority, round(t, 2) AS y_hat, round(sqrt(v), 3) AS se,
        round(sqrt(v) / abs(t), 8) AS cv
@@ -136,19 +136,21 @@ FROM v
 """
 
 
-def _rake() -> str:
+def _rake(*margins: str) -> str:
     """A fixed number of rounds, written out; enough to settle all digits shown."""
+    names = [f"m{i}" for i in range(len(margins))]
+    cells = ", ".join(names)
+    source = ", ".join(f"{m} AS {n}" for m, n in zip(margins, names))
     steps = [
-        "c0 AS (SELECT c_mktsegment, c_nationkey, "
-        "CAST(SUM(1 + c_custkey % 3) AS DOUBLE) AS base, "
-        "CAST(SUM(1 + c_custkey % 3) AS DOUBLE) AS w, COUNT(*) AS n "
-        "FROM customer GROUP BY ALL)"
+        f"customers AS (SELECT c_custkey, {source} FROM customer)",
+        f"c0 AS (SELECT {cells}, CAST(SUM(1 + c_custkey % 3) AS DOUBLE) AS base, "
+        "CAST(SUM(1 + c_custkey % 3) AS DOUBLE) AS w, COUNT(*) AS n FROM customers GROUP BY ALL)",
     ]
-    margins = ("c_mktsegment", "c_nationkey")
-    for i in range(2 * RAKE_ROUNDS):
-        margin = margins[i % 2]
+    rounds = len(margins) * RAKE_ROUNDS
+    for i in range(rounds):
+        margin = names[i % len(names)]
         steps.append(
-            f"c{i + 1} AS MATERIALIZED (SELECT c_mktsegment, c_nationkey, base, n, "
+            f"c{i + 1} AS MATERIALIZED (SELECT {cells}, base, n, "
             f"w * SUM(n) OVER (PARTITION BY {margin}) / SUM(w) OVER (PARTITION BY {margin})"
             f" AS w FROM c{i})"
         )
@@ -158,11 +160,37 @@ def _rake() -> str:
         + f"""
 SELECT c_custkey, CAST(1 + c_custkey % 3 AS DOUBLE) AS w,
        round((1 + c_custkey % 3) * f.w / f.base, 5) AS w_raked
-FROM customer JOIN c{2 * RAKE_ROUNDS} f USING (c_mktsegment, c_nationkey)
+FROM customers JOIN c{rounds} f USING ({cells})
 """
     )
 
 
+_ESTIMATES_INT = """
+WITH g AS (
+  SELECT l_returnflag, SUM(w) AS n, SUM(w * y) AS y
+  FROM (SELECT l_returnflag, CAST(50000 + l_orderkey % 1000 AS HUGEINT) AS w,
+               CAST(100000 + l_partkey AS HUGEINT) AS y FROM lineitem)
+  GROUP BY l_returnflag
+)
+SELECT l_returnflag, CAST(n AS DOUBLE) AS n_hat, CAST(y AS DOUBLE) AS y_hat,
+       round(CAST(y AS DOUBLE) / CAST(n AS DOUBLE), 6) AS mean_hat,
+       round(CAST(n AS DOUBLE) / (SELECT CAST(SUM(n) AS DOUBLE) FROM g), 10) AS share_n,
+       round(CAST(y AS DOUBLE) / (SELECT CAST(SUM(y) AS DOUBLE) FROM g), 10) AS share_y
+FROM g
+"""
+
+_UNSTRATIFIED = f"""
+WITH psu AS (SELECT l_partkey, l_suppkey, SUM(w * l_quantity) AS z FROM {_LINES} GROUP BY ALL),
+size AS (SELECT CAST(COUNT(DISTINCT l_suppkey) AS DOUBLE) AS n FROM lineitem),
+v AS (
+  SELECT l_partkey, SUM(z) AS t, n / (n - 1) * (SUM(z * z) - SUM(z) * SUM(z) / n) AS v
+  FROM psu CROSS JOIN size GROUP BY l_partkey, n
+)
+SELECT l_partkey, round(t, 2) AS y_hat, round(sqrt(v), 3) AS se, round(sqrt(v) / abs(t), 7) AS cv
+FROM v
+"""
+
+
 def _flows(panel: str, key: str, state: str) -> str:
     return f"""
 WITH panel AS ({panel}),
@@ -241,7 +269,8 @@ GROUP BY CUBE (c_mktsegment, o_orderpriority, o_orderstatus)
         _CERTAINTY, "stratum", "o_orderpriority", "SUM(pow(z - zbar, 2))"
     ),
     "svy_ratio_variance": _ratio_variance(),
-    "svy_replicate_variance": _replicates(),
+    "svy_replicate_variance": _replicates(REPLICATES),
+    "svy_replicate_variance_200": _replicates(200),
     "svy_poststratify": """
 WITH c AS (
   SELECT c_mktsegment, c_nationkey, COUNT(*) AS n,
@@ -252,7 +281,10 @@ SELECT c_custkey, c_mktsegment, c_nationkey, CAST(1 + c_custkey % 3 AS DOUBLE) A
        round((1 + c_custkey % 3) * c.n / c.w, 8) AS w_post
 FROM customer JOIN c USING (c_mktsegment, c_nationkey)
 """,
-    "svy_rake": _rake(),
+    "svy_rake": _rake("c_mktsegment", "c_nationkey"),
+    "svy_rake_four_margins": _rake("c_mktsegment", "c_nationkey", "floor(c_acctbal / 2500)", "c_custkey % 3"),
+    "svy_weighted_estimates_int": _ESTIMATES_INT,
+    "svy_design_variance_unstratified": _UNSTRATIFIED,
     "svy_period_change": f"""
 WITH e AS (
   SELECT o_orderpriority, {_QUARTER} AS p, SUM(w * o_totalprice) AS y

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.operators.calibration import poststratify, rake
@@ -227,6 +227,47 @@ def rake_customers(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(fitted.select("c_custkey", "w", "w_raked"), w_raked=5)
 
 
+def weighted_estimates_int(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers whose product does not fit the type of either."""
+    lines = _lines(spark, folder).select(
+        "l_returnflag",
+        (F.lit(50_000) + F.col("l_orderkey") % 1000).cast("int").alias("w"),
+        (F.lit(100_000) + F.col("l_partkey")).cast("int").alias("y"),
+    )
+    est = weighted_estimates(lines, "w", "y", "l_returnflag")
+    est = est.withColumns({c: F.col(c).cast("double") for c in ("n_hat", "y_hat")})
+    return _rounded(est, mean_hat=6, share_n=10, share_y=10)
+
+
+def design_variance_unstratified(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers as PSUs of one sample without strata, and parts as groups."""
+    est = design_variance(_lines(spark, folder), "w", "l_quantity", [], "l_suppkey", "l_partkey")
+    return _rounded(est, y_hat=2, se=3, cv=7).drop("variance")
+
+
+def replicate_variance_200(spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`replicate_variance_orders`, with the usual number of replicates."""
+    count = 200
+    orders = _orders(spark, folder)
+    group = F.col("o_custkey") % count
+    inflated = F.col("w") * count / (count - 1)
+    names = [f"w{r}" for r in range(count)]
+    orders = orders.withColumns({n: F.when(group == r, 0.0).otherwise(inflated) for r, n in enumerate(names)})
+    est = replicate_variance(orders, "w", "o_totalprice", names, "o_orderpriority", scale=(count - 1) / count)
+    return _rounded(est, y_hat=2, se=3, cv=8).drop("variance")
+
+
+def rake_four_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights that reproduce the customers per segment, nation, balance band and key class."""
+    customers = _customers(spark, folder).withColumns(
+        {"band": F.floor(F.col("c_acctbal") / 2500), "class": F.col("c_custkey") % 3}
+    )
+    dims = ("c_mktsegment", "c_nationkey", "band", "class")
+    margins = [customers.groupBy(c).agg(F.count("*").alias("control")) for c in dims]
+    fitted = rake(customers, "w", margins, tol=1e-10)
+    return _rounded(fitted.select("c_custkey", "w", "w_raked"), w_raked=5)
+
+
 def period_change_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = _orders(spark, folder).withColumn("p", _quarter("o_orderdate"))
     est = weighted_estimates(orders, "w", "o_totalprice", ["o_orderpriority", "p"])
@@ -259,16 +300,25 @@ def _order_lines(spark: SparkSession, folder: str) -> str:
 
     As in keyed-in data, some fields are blank and some hold text for a number.
     """
+    def padded(value: Column, width: int, fill: str, name: str) -> Column:
+        """Padded on the left; a value that is null or too long is an error, never cut."""
+        message = F.concat(F.lit(f"{name} does not fit its field: "), F.coalesce(value, F.lit("NULL")))
+        fits = value.isNotNull() & (F.length(value) <= width)
+        return F.when(fits, F.lpad(value, width, fill)).otherwise(F.raise_error(message))
+
     price = F.format_string("%.2f", "o_totalprice")
     price = F.when(F.col("o_orderpriority") == "5-LOW", "REFUSED").otherwise(price)
     status = F.when(F.col("o_orderstatus") == "P", " ").otherwise(F.col("o_orderstatus"))
     line = F.concat(
-        F.lpad(F.col("o_orderkey").cast("string"), 12, " "),
-        F.lpad(F.col("o_custkey").cast("string"), 12, "0"),
-        status,
-        F.lpad(price, 14, " "),
-        F.date_format("o_orderdate", "yyyy-MM-dd"),
-        F.col("o_orderpriority"),
+        padded(F.col("o_orderkey").cast("string"), 12, " ", "o_orderkey"),
+        padded(F.col("o_custkey").cast("string"), 12, "0", "o_custkey"),
+        padded(status, 1, " ", "o_orderstatus"),
+        padded(price, 14, " ", "o_totalprice"),
+        padded(F.date_format("o_orderdate", "yyyy-MM-dd"), 10, " ", "o_orderdate"),
+        # The last field keeps its length, because a line may end with its text.
+        F.when(F.length("o_orderpriority") <= 15, F.col("o_orderpriority")).otherwise(
+            F.raise_error(F.lit("o_orderpriority does not fit its field"))
+        ),
     )
     path = new_path(spark)
     table(spark, folder, "orders").select(line.alias("value")).write.text(path)
@@ -308,6 +358,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "svy_replicate_variance": replicate_variance_orders,
     "svy_poststratify": poststratify_customers,
     "svy_rake": rake_customers,
+    "svy_weighted_estimates_int": weighted_estimates_int,
+    "svy_design_variance_unstratified": design_variance_unstratified,
+    "svy_replicate_variance_200": replicate_variance_200,
+    "svy_rake_four_margins": rake_four_margins,
     "svy_period_change": period_change_orders,
     "svy_panel_flows": panel_flows_customers,
     "svy_panel_flows_users": panel_flows_users,

@@ -14,45 +14,67 @@ SETTING = "spark.checkpoint.dir"
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
+_local: list[str] = []
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Only a local session may go without the setting; it then gets a temporary
-    folder of its own. On a cluster a machine-local folder would lose data with
-    the machine, so a missing setting is an error there.
+    folder of its own, and the setting stays as it is. On a cluster a machine-local
+    folder would lose data with the machine, so a missing setting is an error there.
     """
     folder = spark.conf.get(SETTING, None)
+    master = spark.conf.get("spark.master", "")
     if folder:
+        if folder.startswith("file:") and not master.startswith("local"):
+            raise RuntimeError(f"{SETTING} names a folder of one machine: {folder}")
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tallyframe-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tallyframe-"))
+    return _local[0]
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tallyframe-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tallyframe-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written.
 
-    Cuts the lineage and fixes the rows, so a lost executor cannot change them.
+    Cuts the lineage and fixes the rows, so a lost executor cannot change them. A
+    ``path`` that an earlier table had, which nothing reads any more, is used again.
     """
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    path = path or new_path(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_and_measured(df: DataFrame) -> tuple[DataFrame, bool]:
+def release(spark: SparkSession) -> int:
+    """Delete the tables that operators of this process have written, and return their number.
+
+    Results that have not been computed or written yet read them, so call it after that.
+    """
+    count = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
+
+
+def written_and_measured(df: DataFrame, path: str | None = None) -> tuple[DataFrame, bool]:
     """As :func:`written`; also whether the rows are few enough to broadcast.
 
     Beyond the limit a join is left to Spark, which shuffles both sides and splits
     skewed partitions.
     """
     seen = Observation()
-    table = written(df.observe(seen, _total_bytes(df).alias("bytes")))
+    table = written(df.observe(seen, _total_bytes(df).alias("bytes")), path)
     return table, (seen.get["bytes"] or 0) <= BROADCAST_LIMIT_BYTES
 
 

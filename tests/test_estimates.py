@@ -86,3 +86,27 @@ def test_crosstab_tells_null_category_from_subtotal(rows):
         (None, "x", 2): 5.0,
         (None, None, 3): 5.0,
     }
+
+
+def test_products_of_whole_numbers_do_not_overflow(rows):
+    from tallyframe import design_variance, ratio_variance, replicate_variance
+
+    df = rows("w int, y int, z int, s int, p int", (50_000, 100_000, 100_000, 1, 1), (50_000, 300_000, 100_000, 1, 2))
+    assert weighted_estimates(df, "w", "y").first().y_hat == 20_000_000_000
+    assert weighted_ratio(df, "w", "y", "z").first().ratio_hat == 2
+    assert design_variance(df, "w", "y", "s", "p").first().y_hat == 2e10
+    assert ratio_variance(df, "w", "y", "z", "s", "p").first().ratio_hat == 2
+    assert replicate_variance(df, "w", "y", ["w"]).first().variance == 0
+    big = rows("w bigint, y bigint", *[(2**40, 2**41)] * 3)
+    assert weighted_estimates(big, "w", "y").first().y_hat == 3 * 2**81
+
+
+def test_an_infinite_weight_is_an_error(rows):
+    df = rows("w double, y double", (float("inf"), 1.0), (1.0, 2.0))
+    with pytest.raises(Exception, match="weight column w holds"):
+        weighted_estimates(df, "w", "y").collect()
+
+
+def test_the_crosstab_of_no_rows_has_a_grand_total(rows):
+    found = weighted_crosstab(rows("a string, w double"), "w", "a").collect()
+    assert [(r.a, r.gid, r.n_hat) for r in found] == [(None, 1, None)]

@@ -1,6 +1,8 @@
 from datetime import date
 from decimal import Decimal
 
+import pytest
+
 from tallyframe import Field, malformed_counts, read_fixed_width
 from tests.conftest import keyed
 
@@ -74,3 +76,25 @@ def test_several_files(spark, tmp_path):
         paths.append(str(path))
     found = read_fixed_width(spark, paths, LAYOUT)
     assert sorted(r.id for r in found.collect()) == [1, 2]
+
+
+def test_values_that_would_be_rounded_or_cut_are_malformed(spark, tmp_path):
+    layout = [Field("n", 1, 4, "int"), Field("x", 5, 8, "decimal(8,2)"), Field("t", 13, 4)]
+    lines = ["   1  12.567abcd", "   2 12.5000abcd", "   3 1.25e1 abcd", "   41.2551e1abcd", "   5    99.00ab", "000", "   6  99"]
+    path = tmp_path / "odd.txt"
+    path.write_text("\n".join(lines) + "\n")
+    found = [tuple(r) for r in read_fixed_width(spark, str(path), layout).collect()]
+    assert found == [
+        (1, None, "abcd", ["x"]),
+        (2, Decimal("12.50"), "abcd", []),
+        (3, Decimal("12.50"), "abcd", []),
+        (4, None, "abcd", ["x"]),
+        (5, Decimal("99.00"), "ab", []),
+        (None, None, None, ["n"]),
+        (6, None, None, ["x"]),
+    ]
+
+
+def test_unknown_encodings_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="windows-1252"):
+        read_fixed_width(spark, str(tmp_path), LAYOUT, encoding="windows-1252")

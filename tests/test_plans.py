@@ -12,6 +12,7 @@ from tallyframe import (
 )
 from tallyframe.sources import scratch
 from tallyframe.sources.tables import table
+from tallyframe.plans.queries import QUERIES
 from tests.compare import TESTDATA
 
 FOLDER = str(TESTDATA / "sf0.001")
@@ -23,7 +24,7 @@ def executed(df):
     return plan.split("== Initial Plan ==")[0]
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_join_of_all_pairs_and_no_python(spark, name):
     plan = contract.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
     for step in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):

@@ -104,7 +104,7 @@ def test_equals_brute_force_with_a_hot_group_and_a_hot_value(
     spark, many_ranges, monkeypatch, kind, path
 ):
     if path == "ranges within slots":
-        monkeypatch.setattr(quantile, "SORTED_ROWS", 0)
+        monkeypatch.setattr(quantile, "RANGE_ROWS", 700)
         monkeypatch.setattr(quantile, "SLOTS_PER_LOG_UNIT", 1)
     if path == "ranges":
         monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 0)
@@ -123,7 +123,7 @@ def test_values_that_are_not_numbers(spark, many_ranges):
 @pytest.mark.parametrize("path", ["slots", "ranges within slots"])
 def test_uneven_double_weights(spark, many_ranges, monkeypatch, path):
     if path == "ranges within slots":
-        monkeypatch.setattr(quantile, "SORTED_ROWS", 0)
+        monkeypatch.setattr(quantile, "RANGE_ROWS", 700)
         monkeypatch.setattr(quantile, "SLOTS_PER_LOG_UNIT", 1)
     rng = random.Random(5)
     data = [("a", rng.random() / 3, rng.lognormvariate(3, 2)) for _ in range(5000)]
@@ -160,3 +160,20 @@ def test_without_broadcast_the_answers_are_the_same(spark, rows, monkeypatch):
         assert answers(weighted_quantile(df, "w", "y", PROBS, "g")) == small
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("times", [1, 40, 900])
+def test_double_weights_tie_alike_at_every_size(spark, monkeypatch, times):
+    """Tenths are not exact as doubles; their sums must still meet half the total."""
+    monkeypatch.setattr(quantile, "RANGE_ROWS", 1000)
+    data = [(0.1, y) for y in (1, 2)] * times + [(0.3, 3), (0.3, 4)] * times
+    df = spark.createDataFrame(data, "w double, y int").withColumn("w", F.col("w") * 1e-6)
+    found = {r.prob: r.quantile for r in weighted_quantile(df, "w", "y", [0.125, 0.25, 0.625]).collect()}
+    assert found == {0.125: 1, 0.25: 2, 0.625: 3}
+
+
+def test_times_are_searched_by_day(spark):
+    df = spark.sql("SELECT 1 AS w, timestamp_ntz'2024-01-01' + make_dt_interval(0, id) AS y FROM range(2000)")
+    found = weighted_quantile(df, "w", "y", [0.5])
+    first = df.orderBy("y").collect()[999]
+    assert found.first()["quantile"] == first["y"]

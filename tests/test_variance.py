@@ -204,3 +204,51 @@ def test_many_replicates(spark):
     found = replicate_variance(df, "w", "y", names, scale=1 / count).first()
     assert found.y_hat == 499500.0
     assert found.variance == pytest.approx(0.5 * 49950.0**2)
+
+
+def test_rows_without_weight_add_no_replicate(rows):
+    df = rows(
+        "w double, y double, r0 double, r1 double",
+        (1.0, 10.0, 1.0, 1.0), (None, 5.0, 7.0, 7.0), (0.0, 9.0, 8.0, 3.0),
+    )
+    assert replicate_variance(df, "w", "y", ["r0", "r1"]).first().variance == 0
+
+
+def test_replicates_in_batches_equal_one_pass(spark, monkeypatch):
+    from tallyframe.operators import variance
+
+    df = spark.range(500).selectExpr("id % 3 AS g", "1.0D AS w", "CAST(id AS DOUBLE) AS y",
+                                     *[f"IF(id % 50 = {r}, 0D, 1.1D) AS r{r}" for r in range(50)])
+    names = [f"r{r}" for r in range(50)]
+    batched = {r.g: r.variance for r in replicate_variance(df, "w", "y", names, "g").collect()}
+    monkeypatch.setattr(variance, "REPLICATES_PER_BATCH", 100)
+    whole = {r.g: r.variance for r in replicate_variance(df, "w", "y", names, "g").collect()}
+    assert batched == pytest.approx(whole, rel=1e-12)
+
+
+def test_a_replicate_weight_of_nan_is_an_error(rows):
+    df = rows("w double, y double, r0 double", (1.0, 1.0, float("nan")))
+    with pytest.raises(Exception, match="r0 holds NaN"):
+        replicate_variance(df, "w", "y", ["r0"]).collect()
+
+
+def test_nearly_proportional_ratio_keeps_its_digits(spark):
+    """Residuals of 1e-7 of the values, against the direct form."""
+    data = [(1.0, 1e6 * i + (-1) ** i * 0.05 * i, 1e6 * i, i % 2, i) for i in range(1, 41)]
+    df = spark.createDataFrame(data, "w double, a double, b double, s int, p int")
+    found = ratio_variance(df, "w", "a", "b", "s", "p").first()
+    total_a, total_b = sum(r[1] for r in data), sum(r[2] for r in data)
+    direct = 0.0
+    for s in (0, 1):
+        e = [a - total_a / total_b * b for _, a, b, k, _ in data if k == s]
+        mean = sum(e) / len(e)
+        direct += len(e) / (len(e) - 1) * sum((x - mean) ** 2 for x in e)
+    assert found.variance == pytest.approx(direct / total_b**2, rel=1e-6)
+
+
+def test_unstratified_design_has_no_window(spark):
+    df = spark.range(3000).selectExpr("1.0D AS w", "CAST(id AS DOUBLE) AS y", "id % 700 AS p", "id % 90 AS g")
+    found = design_variance(df, "w", "y", [], "p", "g")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastNestedLoop" not in plan and "Cartesian" not in plan
+    assert found.count() == 90
