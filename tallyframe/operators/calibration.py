@@ -6,13 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import label, names, ratio, same_keys, weight
 from tallyframe.sources.scratch import new_path, written, written_and_measured
 
 
+# Totals that one job takes when the cells are few.
+WINDOWS_PER_JOB = 24
+
+
 class RakingNotConverged(RuntimeError):
     """Raking stopped at ``max_iter`` with a margin still off its control."""
 
@@ -94,14 +98,15 @@ def rake(
     The rows are read twice: once to sum them to cells, once for the result. The
     rounds work on the cells and change only one factor per category, written to
     the shared folder each time, in a job of its own per margin, whose plan has one join per
-    margin. A margin whose measured size allows it is
+    margin. Cells that were measured to be few enough to broadcast are fitted in one task
+    instead, several rounds to a job. A margin whose measured size allows it is
     broadcast, and then neither cells nor rows are shuffled by it.
     """
     columns = [[c for c in m.columns if c != control] for m in margins]
     if not all(columns) or not columns:
         raise ValueError("raking needs margins, each with a column beside its control")
     dims = list(dict.fromkeys(c for cols in columns for c in cols))
-    cells = written(
+    cells, few = written_and_measured(
         df.select(*dims, weight(df, w).alias("__w"))
         .groupBy(*dims)
         .agg(F.sum("__w").cast("double").alias("__base"))
@@ -113,6 +118,8 @@ def rake(
         _starting_margin(cells, _controls(m, cols, control), cols, own[1])
         for m, cols, own in zip(margins, columns, paths)
     ]
+    if few:
+        return _raked_in_memory(df, w, cells, fitted, tol, max_iter, out)
     for turn in range(max_iter):
         moved = 0.0
         for k in range(len(fitted)):
@@ -122,9 +129,13 @@ def rake(
         if moved <= tol and _worst_gap(cells, fitted)[0] <= tol:
             return _reweighted(df, w, fitted, out)
     worst, k = _worst_gap(cells, fitted)
-    raise RakingNotConverged(
-        f"after {max_iter} rounds the margin {', '.join(columns[k])} "
-        f"is off its control by a relative {worst:.3g}"
+    raise _not_converged(max_iter, columns[k], worst)
+
+
+def _not_converged(rounds: int, columns: Sequence[str], gap: float) -> RakingNotConverged:
+    return RakingNotConverged(
+        f"after {rounds} rounds the margin {', '.join(columns)} "
+        f"is off its control by a relative {gap:.3g}"
     )
 
 
@@ -210,6 +221,74 @@ def _starting_margin(cells: DataFrame, controls: DataFrame, cols: list[str], pat
     return Margin(cols, table, small)
 
 
+def _raked_in_memory(
+    df: DataFrame,
+    w: str,
+    cells: DataFrame,
+    margins: Sequence[Margin],
+    tol: float,
+    max_iter: int,
+    out: str,
+) -> DataFrame:
+    """As :func:`rake`, for cells whose measured size lets one task hold them.
+
+    The rounds and the rule for ending are the same; a job runs several rounds and keeps
+    the weights after each, and the first round that ended it counts.
+    """
+    dims = [c for c in cells.columns if c != "__base"]
+    controls = [f"__control{k}" for k in range(len(margins))]
+    paths = [new_path(df.sparkSession) for _ in range(2)]
+    fitted = written(_fitted_cells(cells, margins).select(*dims, "__base", *controls, "__fit"), paths[0])
+    totals = [F.sum("__fit").over(Window.partitionBy(*m.cols)) for m in margins]
+    per_job = max(1, WINDOWS_PER_JOB // (2 * len(margins)))
+    done, turn, ended, gaps = 0, 0, None, [float("inf")] * len(margins)
+    while done < max_iter and ended is None:
+        rounds = range(min(per_job, max_iter - done))
+        table = fitted.coalesce(1)
+        for r in rounds:
+            for k, (control, total) in enumerate(zip(controls, totals)):
+                table = table.withColumn("__total", total)
+                table = table.withColumn(f"__moved{r}_{k}", _gap(control))
+                scaled = F.when(F.col("__total") == 0, 0.0).otherwise(
+                    F.col("__fit") * F.col(control) / F.col("__total")
+                )
+                table = table.withColumn("__fit", scaled)
+            for k, (control, total) in enumerate(zip(controls, totals)):
+                table = table.withColumn("__total", total).withColumn(f"__gap{r}_{k}", _gap(control))
+            table = table.withColumn(f"__fit{r}", F.col("__fit"))
+        seen = Observation()
+        measured = [f"__{what}{r}_{k}" for what in ("moved", "gap") for r in rounds for k in range(len(margins))]
+        turn = 1 - turn
+        kept = written(
+            table.observe(seen, *[F.max(m).alias(m) for m in measured]).select(
+                *dims, "__base", *controls, *[f"__fit{r}" for r in rounds]
+            ),
+            paths[turn],
+        )
+        found = {name: value or 0.0 for name, value in seen.get.items()}
+        gaps = [found[f"__gap{rounds[-1]}_{k}"] for k in range(len(margins))]
+        ended = next(
+            (
+                r
+                for r in rounds
+                if all(found[f"__{what}{r}_{k}"] <= tol for what in ("moved", "gap") for k in range(len(margins)))
+            ),
+            None,
+        )
+        last = rounds[-1] if ended is None else ended
+        fitted = kept.select(*dims, "__base", *controls, F.col(f"__fit{last}").alias("__fit"))
+        done += len(rounds)
+    if ended is None:
+        worst = max(range(len(gaps)), key=gaps.__getitem__)
+        raise _not_converged(max_iter, margins[worst].cols, gaps[worst])
+    rows = df.withColumn("__w", weight(df, w)).alias("l")
+    joined = rows.join(F.broadcast(fitted.alias("r")), same_keys(dims, "l", "r"), "left")
+    return joined.select(
+        *[F.col(f"l.`{c}`") for c in df.columns],
+        (F.col("l.__w") * F.col("r.__fit") / F.col("r.__base")).alias(out),
+    )
+
+
 def _fitted_cells(cells: DataFrame, margins: Sequence[Margin]) -> DataFrame:
     """The cells with every margin's control and factor, and the fitted weight ``__fit``."""
     message = F.concat(
@@ -222,8 +301,8 @@ def _fitted_cells(cells: DataFrame, margins: Sequence[Margin]) -> DataFrame:
     return _attached(cells, margins).withColumn("__fit", fit)
 
 
-def _gap() -> Column:
-    control, total = F.col("__control"), F.col("__total")
+def _gap(name: str = "__control") -> Column:
+    control, total = F.col(name), F.col("__total")
     return F.coalesce(ratio(F.abs(total - control), control), total)
 
 

@@ -80,7 +80,7 @@ def test_several_files(spark, tmp_path):
 
 def test_values_that_would_be_rounded_or_cut_are_malformed(spark, tmp_path):
     layout = [Field("n", 1, 4, "int"), Field("x", 5, 8, "decimal(8,2)"), Field("t", 13, 4)]
-    lines = ["   1  12.567abcd", "   2 12.5000abcd", "   3 1.25e1 abcd", "   41.2551e1abcd", "   5    99.00ab", "000", "   6  99"]
+    lines = ["   1  12.567abcd", "   2 12.5000abcd", "   3 1.25e1 abcd", "   41.2551e1abcd", "   5   99.00ab", "000", "   6  99"]
     path = tmp_path / "odd.txt"
     path.write_text("\n".join(lines) + "\n")
     found = [tuple(r) for r in read_fixed_width(spark, str(path), layout).collect()]

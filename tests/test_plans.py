@@ -103,3 +103,39 @@ def test_records_without_a_key_are_found_by_the_scan(spark):
     )
     plan = panel_flows(df, "user_id", "p", "s", "w")._jdf.queryExecution().executedPlan()
     assert "PushedFilters: [IsNull(user_id)]" in plan.toString()
+
+
+def test_raking_reuses_its_tables_and_leaves_the_setting(spark, tmp_path):
+    before = spark.conf.get(scratch.SETTING, None)
+    rows = table(spark, FOLDER, "customer").selectExpr("c_custkey", "c_mktsegment", "c_nationkey", "1.0D + c_custkey % 3 as w")
+    margins = [rows.groupBy(c).count().withColumnRenamed("count", "control") for c in ("c_mktsegment", "c_nationkey")]
+    made = len(scratch._made)
+    fitted = rake(rows, "w", margins, tol=1e-10)
+    assert len(scratch._made) - made <= 7  # names, of which those in use hold a table
+    assert fitted.count() == 150
+    assert spark.conf.get(scratch.SETTING, None) == before
+    assert scratch.release(spark) > 0
+    assert scratch._made == []
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster():
+    class Session:
+        conf = {"spark.master": "yarn", scratch.SETTING: "file:/tmp/x"}
+
+    with pytest.raises(RuntimeError, match="one machine"):
+        scratch.shared_folder(Session)
+
+
+def test_joins_grow_with_the_margins(spark, monkeypatch):
+    """Large cells: one margin to a job, with a join for each margin."""
+    from tallyframe.operators import calibration
+
+    seen = []
+    monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 0)
+    real = calibration.written
+    monkeypatch.setattr(calibration, "written", lambda df, path=None: (seen.append(df), real(df, path))[1])
+    df = spark.range(300).selectExpr("1.0D AS w", *[f"id % {k + 2} AS m{k}" for k in range(4)])
+    margins = [df.groupBy(f"m{k}").count().withColumnRenamed("count", "control") for k in range(4)]
+    rake(df, "w", margins, max_iter=3, tol=1.0)
+    joins = {d._jdf.queryExecution().optimizedPlan().toString().count("Join ") for d in seen}
+    assert max(joins) == 4
