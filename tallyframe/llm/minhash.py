@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import NO_ID, Hashes, keyed
@@ -135,8 +135,9 @@ def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 
 
 def _linked(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the members of two blocks of a bucket, as many as it takes to connect them."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    """Links between two blocks of a bucket, as many as it takes to connect their members."""
+    kind, i, j = (table.column(name)[0].as_py() for name in ("kind", "i", "j"))
+    major = table.column("major").to_numpy()
     cid = table.column("cid").to_numpy()
     component = table.column("component").to_numpy()
     block = table.column("block").to_numpy()
@@ -144,7 +145,8 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
     value, doc = shingles(data, bounds)
     cut = np.searchsorted(doc, np.arange(len(cid) + 1))
     sets = [value[cut[k] : cut[k + 1]] for k in range(len(cid))]
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    left = np.flatnonzero(major if kind == 0 else block == i)
+    right = np.flatnonzero(~major if kind == 0 else block == j)
     parent = {c: c for c in component.tolist()}
 
     def root(c: int) -> int:
@@ -170,35 +172,52 @@ def _linked(table: pa.Table, percent: int) -> pa.Table:
 def _open_buckets(entries: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets of three and more whose members are not yet all connected.
 
-    In a bucket of two, the pair has been compared. Buckets with the same members
-    and components are one.
+    In a bucket of two, the pair has been compared. Buckets with the same members are
+    one. ``major`` says who belongs to the bucket's largest component.
     """
     known = entries.join(found, F.col("cid") == F.col("node"), "left").select(
         "bk", "cid", F.coalesce("component", "cid").alias("component")
     )
-    sizes = known.groupBy("bk").agg(
-        F.count("*").alias("size"),
-        F.min("component").alias("x"),
-        F.max("component").alias("y"),
-        F.bit_xor(F.xxhash64("cid")).alias("members"),
-        F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("members_too"),
+    members = [F.xxhash64("cid"), F.xxhash64("cid", F.lit(1))]
+    parts = known.groupBy("bk", "component").agg(
+        F.count("*").alias("n"), *[F.bit_xor(m).alias(f"m{k}") for k, m in enumerate(members)]
     )
-    chosen = sizes.where("size > 2 AND x != y").groupBy("members", "members_too", "size").agg(F.min("bk").alias("bk"))
-    return known.join(chosen.select("bk", "size"), "bk")
+    sizes = parts.groupBy("bk").agg(
+        F.sum("n").alias("size"),
+        F.count("*").alias("n_components"),
+        F.max(F.struct("n", "component")).alias("most"),
+        *[F.bit_xor(f"m{k}").alias(f"m{k}") for k in range(2)],
+    )
+    chosen = sizes.where("size > 2 AND n_components > 1").groupBy("m0", "m1", "size").agg(F.min(F.struct("bk", "most")).alias("one"))
+    chosen = chosen.select("one.bk", "size", F.col("one.most.n").alias("n_major"), F.col("one.most.component").alias("_major"))
+    return known.join(chosen, "bk").withColumn("major", F.col("component") == F.col("_major")).drop("_major")
 
 
 def _compared(entries: DataFrame, found: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """Links of open buckets: block by block, all members with all others."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = _open_buckets(entries, found).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), blocks).cast("int"))
-    placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select(
-        "bk", "cid", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    """Links of open buckets: all members outside the largest component with all others.
+
+    Both are dealt to blocks. A block of the largest component meets each block of the rest
+    (kind 0), and the blocks of the rest meet one another (kind 1). So a member of a bucket that
+    is nearly connected is sent once.
+    """
+    n_major, n_rest = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_major"), F.col("size") - F.col("n_major")))
+    own = F.when(F.col("major"), n_major).otherwise(n_rest)
+    members = _open_buckets(entries, found).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), own).cast("int"))
+    block = F.col("block")
+
+    def tasks(kind: int, i, j) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    rest = F.sequence(F.lit(0), n_rest - 1)
+    to_rest = F.transform(rest, lambda j: tasks(0, block, j))
+    to_major = F.transform(F.sequence(F.lit(0), n_major - 1), lambda i: tasks(0, i, block))
+    among = F.transform(rest, lambda j: tasks(1, F.least(block, j), F.greatest(block, j)))
+    placed = members.withColumn("task", F.explode(F.when(F.col("major"), to_rest).otherwise(F.concat(to_major, among))))
     return (
-        placed.join(contents, "cid")
-        .select("bk", "i", "j", "cid", "component", "block", "text")
-        .groupBy("bk", "i", "j")
+        placed.select("bk", "cid", "component", "major", "block", "task.*")
+        .join(contents, "cid")
+        .select("bk", "kind", "i", "j", "cid", "component", "major", "block", "text")
+        .groupBy("bk", "kind", "i", "j")
         .applyInArrow(lambda t: _linked(t, percent), "a long, b long")
     )
 
@@ -210,8 +229,8 @@ def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     candidates if a band of their circulant MinHash signatures is equal. Every member of a
     bucket is first compared with one of them, on full sets; links make components. Only
     buckets whose members are still not all connected are then compared as a whole, in
-    blocks of members, first those of a few bands and then the rest; a task returns no more
-    links than connect its members. So a large group of copies costs one comparison for each,
+    blocks of members, first those of a few bands and then the rest; what is connected
+    already is not compared again, and a task returns no more links than connect its members. So a large group of copies costs one comparison for each,
     and no link between different texts is lost once a band has found it.
 
     Result: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id connected, itself
