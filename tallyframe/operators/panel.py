@@ -24,7 +24,8 @@ def period_change(
     compare with is missing.
 
     The frames look up the period by its value, not by its position, so gaps
-    need no filling and one shuffle serves every comparison.
+    need no filling and one shuffle serves every comparison. A group is in one task, and
+    all rows are if there is no ``by``: they are as many as there are periods.
     """
     by = names(by)
     periods = Window.partitionBy(*by).orderBy(p)
