@@ -133,7 +133,8 @@ def _judged(rows: DataFrame) -> DataFrame:
     first = F.min(place)
     segs = rows.groupBy("h", "seg").agg(F.sum("weight").alias("n_seg"), first.alias("first"))
     grams = segs.groupBy("h").agg(F.sum("n_seg").alias("n_h"), F.min("n_seg").alias("least"))
-    known = segs.join(grams.where("n_h > 1"), "h")
+    # Written, so that the join below has two plain shuffles, whose large partitions Spark can split.
+    known = segs.join(written(grams.where("n_h > 1").drop("n_h"), "array-grams"), "h")
     return rows.join(known, ["h", "seg"]).select(
         "key",
         "fp",

@@ -137,7 +137,8 @@ def _judged(rows: DataFrame) -> DataFrame:
     """
     segs = rows.groupBy("h", "seg").agg(F.min("key").alias("least"))
     grams = segs.groupBy("h").agg(F.min("least").alias("h_least"), F.max("least").alias("h_most"))
-    known = segs.join(grams, "h")
+    # Written, so that the join below has two plain shuffles, whose large partitions Spark can split.
+    known = segs.join(written(grams, "tree-grams"), "h")
     judged = rows.join(known, ["h", "seg"]).withColumn(
         "w",
         F.when(F.col("key") > F.col("least"), F.lit(0))
