@@ -18,9 +18,9 @@ from .text import BYTE_CODE, IS_SPACE, LOWER, mixed, run_hashes, utf8, word_runs
 COUNTED, WEIGHED, SCORED = 0, 1, 2
 
 #: Bytes of text in a block; a block's distinct n-grams are looked up once for all its texts.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens for each partition of the n-gram counts.
-PARTITION_TOKENS = 3_000_000
+PARTITION_TOKENS = 2_000_000
 #: Contexts are put into buckets by the binary logarithm of their count.
 BUCKETS = 41
 #: Steps for one halving of a probability, and their largest number, in the held-out counts.
