@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 #: Words of a template window; shorter items are one window.
 WINDOW = 12
-#: Items with fewer words say too little to be looked for.
-FEWEST_WORDS = 5
-#: Words of a window that must not be placeholders.
+#: Windows with fewer words that are no placeholders, and items with fewer words, must be equal
+#: word for word, values included: their templates say too little.
 FEWEST_LITERALS = 4
-#: Benchmark windows that are sent to every executor at once (about 500 bytes each); more are
+FEWEST_WORDS = 5
+#: Words by which a window is found.
+ANCHORS = 2
+#: Anchors that are sent to every executor at once (about 200 bytes each); more are
 #: sent in turns, each of which reads the documents.
-BROADCAST_WINDOWS = 100_000
+BROADCAST_ANCHORS = 250_000
 #: Share of an item's windows that a document must hold, at one distance.
 COVERAGE = 0.3
 
@@ -24,8 +26,25 @@ UNITS = (
     "percent degrees dollars euros pounds cents usd eur gbp meters metres kilometers kilometres miles feet inches "
     "grams kilograms liters litres"
 ).split()
-#: What words are made of, in lower case: ASCII letters and digits, and all beyond but the blocks of punctuation.
-WORD = "a-z0-9\\u00c0-\\u1fff\\u2070-\\u2fff\\u3040-\\x{10ffff}"
+#: What words are made of, in lower case: ASCII letters and digits, and all beyond but the blocks of punctuation
+#: and what is punctuation among the wide and small forms.
+WORD = (
+    "a-z0-9\\u00c0-\\u1fff\\u2070-\\u2fff\\u3040-\\ufe0f\\ufe20-\\ufe2f\\ufe70-\\ufefe"
+    "\\uff10-\\uff19\\uff21-\\uff3a\\uff41-\\uff5a\\uff66-\\x{10ffff}"
+)
+
+
+def _numbered(named: Column) -> Column:
+    """The text with a mark before each number, and numbers apart from letters."""
+    pointed = F.regexp_replace(named, "([0-9])[.,](?=[0-9])", "$1" + POINT)
+    numbered = F.regexp_replace(pointed, f"([0-9][0-9{POINT}]*)", f" {NUMBER}$1 ")
+    return F.regexp_replace(numbered, f"({NUMBER}[0-9{POINT}]+ ) ?%", "$1percent ")
+
+
+def _plain(text: Column) -> Column:
+    """The text without the characters that serve as marks."""
+    marks = NUMBER + NAME + UNIT + POINT
+    return F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def _marked(text: Column) -> Column:
@@ -35,28 +54,36 @@ def _marked(text: Column) -> Column:
     and a blank, so that the first word of a sentence is none. Texts without digits skip
     the steps for numbers.
     """
-    marks = NUMBER + NAME + UNIT + POINT
-    plain = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "")).otherwise(F.coalesce(text, F.lit("")))
-    named = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{Ll},;] .)", NAME + "$1")
-    pointed = F.regexp_replace(named, "([0-9])[.,](?=[0-9])", "$1" + POINT)
-    numbered = F.regexp_replace(pointed, f"([0-9][0-9{POINT}]*)", f" {NUMBER}$1 ")
-    whole = F.regexp_replace(numbered, f"({NUMBER}[0-9{POINT}]+ ) ?%", "$1percent ")
+    named = F.regexp_replace(_plain(text), r"(\p{Lu})(?<=[\p{Ll},;] .)", NAME + "$1")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    measured = F.regexp_replace(whole, f"({NUMBER}[0-9{POINT}]+ ) ?{NAME}?((?:{units}))(?![\\p{{L}}])", f"$1 {UNIT}$2")
+    measured = F.regexp_replace(
+        _numbered(named), f"({NUMBER}[0-9{POINT}]+ ) ?{NAME}?((?:{units}))(?![\\p{{L}}])", f"$1 {UNIT}$2"
+    )
     return F.lower(F.when(text.rlike("[0-9]"), measured).otherwise(named))
 
 
+def _split(marked: Column) -> Column:
+    return F.array_remove(F.split(marked, f"[^{WORD}]+"), "")
+
+
 def tokens(text: Column) -> Column:
     """Words, and placeholders that still hold their values."""
-    return F.array_remove(F.split(_marked(text), f"[^{WORD}]+"), "")
+    return _split(_marked(text))
+
+
+def plain_words(text: Column) -> Column:
+    """The same words at the same places, without the marks of names and units."""
+    plain = _plain(text)
+    return _split(F.lower(F.when(text.rlike("[0-9]"), _numbered(plain)).otherwise(plain)))
 
 
 def _is_slot(token: Column) -> Column:
     return token.rlike(f"^[{NUMBER}{NAME}{UNIT}]")
 
 
-def _template(words: Column) -> Column:
-    return F.transform(words, lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
+def _word(token: Column) -> Column:
+    """The token as :func:`plain_words` has it."""
+    return F.regexp_replace(token, f"^[{NAME}{UNIT}]", "")
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -65,51 +92,72 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The items' words and templates. Different texts under one id are ``variant`` s of the item."""
+    """The items' words. Different texts under one id are ``variant`` s of the item.
+
+    ``by_template`` says of each window whether it may be found with other values.
+    """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("words"))
     items = _once(items.where(F.col("item_id").isNotNull()), "words", tokens(F.col("words")))
-    items = items.where(F.size("words") >= FEWEST_WORDS).dropDuplicates()
-    length = F.least(F.size("words"), F.lit(WINDOW))
-    return items.select(
+    items = items.where(F.size("words") > 0).dropDuplicates()
+    items = items.select(
         F.xxhash64("item_id", "words").alias("variant"),
         "item_id",
         F.col("words").alias("item_words"),
-        _template(F.col("words")).alias("item_template"),
-        length.alias("length"),
-        (F.size("words") - length + 1).alias("n_item"),
-    )
+        F.least(F.size("words"), F.lit(WINDOW)).alias("length"),
+    ).withColumn("n_item", F.size("item_words") - F.col("length") + 1)
+    literals = lambda k: F.size(F.filter(F.slice("item_words", k + 1, F.col("length")), lambda t: ~_is_slot(t)))
+    enough = lambda k: (F.size("item_words") >= FEWEST_WORDS) & (literals(k) >= FEWEST_LITERALS)
+    return items.withColumn("by_template", F.transform(F.sequence(F.lit(0), F.col("n_item") - 1), enough))
 
 
 def anchors(items: DataFrame) -> DataFrame:
-    """For each window of an item the word to find it by, and that word's place in the item.
+    """The words to find the windows of an item by, and their places in the item.
 
-    It is the longest word of the window that is no placeholder, because long words are rare;
-    of equally long ones the first in the alphabet.
+    They are the longest words of each window, because long words are rare; of equally long
+    ones the first in the alphabet. A window that is found by its template has its
+    anchors among the words that are no placeholders, any other among all its words.
     """
-    placed = items.select("variant", "n_item", "item_template", "length", F.explode(F.sequence(F.lit(0), F.col("n_item") - 1)).alias("at"))
-    window = F.slice("item_template", F.col("at") + 1, F.col("length"))
-    literals = F.filter(window, lambda t: ~_is_slot(t))
-    ranked = F.array_sort(F.transform(literals, lambda t: F.struct((-F.length(t)).alias("rank"), t.alias("word"))))
-    found = placed.where(F.size(literals) >= FEWEST_LITERALS).select("variant", "n_item", "at", window.alias("window"), ranked[0]["word"].alias("anchor"))
-    place = F.col("at") + F.array_position("window", F.col("anchor")).cast("int") - 1
-    return found.select("variant", "n_item", "anchor", place.alias("anchor_place"))
+    placed = items.select("variant", "item_words", "length", F.posexplode("by_template").alias("at", "free"))
+    places = F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)
+    fixed = F.filter(places, lambda k: ~F.col("free") | ~_is_slot(F.get("item_words", k)))
+    word = lambda k: _word(F.get("item_words", k))
+    ranked = F.array_sort(
+        F.transform(fixed, lambda k: F.struct((-F.length(word(k))).alias("rank"), word(k).alias("word"), k.alias("place")))
+    )
+    found = placed.select("variant", "length", F.explode(F.slice(ranked, 1, ANCHORS)).alias("a"))
+    return found.select("variant", "length", F.col("a.word").alias("anchor"), F.col("a.place").alias("anchor_place")).distinct()
 
 
-def _candidates(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
-    """(document, item, distance) with the anchors of enough windows where they should be."""
+def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(document, item, distance) where two anchors of the item are where they should be.
+
+    An equal window always has its two; an item of one word has one.
+    """
     wanted = anchors(items)
-    turns = 1 + wanted.count() // BROADCAST_WINDOWS
-    words = docs.select("doc_id", "fp", F.posexplode(tokens(F.col("text"))).alias("place", "word"))
+    turns = 1 + wanted.count() // BROADCAST_ANCHORS
+    words = docs.select("doc_id", "fp", F.posexplode(plain_words(F.col("text"))).alias("place", "word"))
     counted = None
     for turn in range(turns):
         own = wanted if turns == 1 else wanted.where(F.pmod(F.col("variant"), F.lit(turns)) == turn)
         found = words.join(F.broadcast(own), F.xxhash64("word") == F.xxhash64("anchor"))
         found = found.groupBy("doc_id", "fp", "variant", (F.col("place") - F.col("anchor_place")).alias("distance")).agg(
-            F.count("*").alias("n"), F.first("n_item").alias("n_item")
+            F.min("anchor_place").alias("low"), F.max("anchor_place").alias("high"), F.first("length").alias("length")
         )
         counted = found if counted is None else counted.unionByName(found)
-    enough = counted.where(F.col("n") >= F.lit(coverage) * F.col("n_item"))
-    return enough.select("doc_id", "fp", "variant", "distance")
+    enough = counted.where((F.col("low") < F.col("high")) | (F.col("length") == 1))
+    # Anchors are all words of an item of one or two: its first place is as good as all.
+    apart = F.when(F.col("length") > ANCHORS, F.col("distance"))
+    return enough.groupBy("doc_id", "fp", "variant", apart.alias("apart")).agg(F.min("distance").alias("distance")).drop("apart")
+
+
+#: How two words match.
+DIFFERENT, ALIKE, SAME = 0, 1, 2
+
+
+def _match(item: Column, word: Column) -> Column:
+    """Whether the words are the same, or placeholders of one type; no word is different."""
+    alike = _is_slot(item) & (F.substring(item, 1, 1) == F.substring(word, 1, 1))
+    return F.when(item == word, SAME).when(alike, ALIKE).otherwise(DIFFERENT)
 
 
 def find_leaks(
@@ -124,41 +172,43 @@ def find_leaks(
     """Benchmark items that documents hold, also with other numbers, names or units.
 
     Numbers, names and units become placeholders of their type. Each window of an item's
-    template is looked for by its longest word: the documents' words are joined by hash with
-    these, and counted for each item and distance, the place of the item's start in the
-    document. Where enough are found, the words there are compared with the item's
-    template, window by window. The slots of equal windows must be consistent:
+    template is looked for by its two longest words: the documents' words are joined by hash with
+    these, and grouped by item and distance, the place of the item's start in the
+    document. Where two are found, the words there are compared with the item's
+    template, window by window. Windows with fewer than four words that are no placeholders, and
+    items of fewer than five words, are found only word for word, values included: a template of
+    little else than placeholders fits anything. The slots of equal windows must be consistent:
     equal values of the item stand for equal values of the document, and the other way
     round. A leak is an item of which a share of ``coverage`` of the windows is found so.
     ``reparameterised`` says that some value was replaced.
 
     Result: ``doc_id``, ``fp`` (a hash of the text, which tells rows of one id apart),
     ``item_id``, ``n_windows``, ``n_item`` (the item's windows), ``reparameterised`` and ``first_word``.
-    A document that repeats an item has one row for it. Items of fewer than five words are not looked
-    for; a null text holds nothing; a null document id stays null; items without an id are left out;
+    A document that repeats an item has one row for it. An item of one word is in each document that
+    has this word. An item without words is not looked for; a null text holds nothing; a null document id stays null; items without an id are left out;
     texts that share an item's id are variants of the item. Empty tables give no rows. Only the named
     columns are read.
 
-    The anchors of the benchmark are broadcast, at most about ``BROADCAST_WINDOWS`` at once. Words
+    The anchors of the benchmark are broadcast, at most about ``BROADCAST_ANCHORS`` at once. Words
     are exploded without their document; the texts are shuffled once, to the candidates.
     """
     items = benchmark_items(benchmark, item_id, item_text)
     value = F.col(text).cast("string")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(value).alias("fp"), value.alias("text"))
-    candidates = _candidates(docs, items, coverage)
+    candidates = _candidates(docs, items)
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.fp") == F.col("c.fp"))
     met = docs.alias("d").join(candidates.alias("c"), same).select("d.*", "c.variant", "c.distance")
     met = met.join(items, "variant")
-    kept = ["doc_id", "fp", "item_id", "distance", "length", "n_item", "item_words", "item_template"]
+    kept = ["doc_id", "fp", "item_id", "distance", "length", "n_item", "item_words", "by_template"]
     # Only the words at the item's place go on, not the document's.
     there = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), lambda k: F.get("words", F.col("distance") + k))
     at_item = _once(met.select(*kept, tokens(F.col("text")).alias("words")), "words", F.col("words"))
     at_item = _once(at_item, "words", there)
-    template = F.transform("words", lambda t: F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t))
-    at_item = _once(at_item.withColumn("template", F.lit(None)), "template", template)
+    at_item = _once(at_item.withColumn("match", F.lit(None)), "match", F.zip_with("item_words", "words", _match))
+    worst = lambda k: F.array_min(F.slice("match", k + 1, F.col("length")))
     equal = F.filter(
         F.sequence(F.lit(0), F.col("n_item") - 1),
-        lambda k: F.slice("template", k + 1, F.col("length")) == F.slice("item_template", k + 1, F.col("length")),
+        lambda k: (worst(k) == SAME) | ((worst(k) == ALIKE) & F.get("by_template", k)),
     )
     at_item = _once(at_item.withColumn("equal", F.lit(None)), "equal", equal)
     in_window = lambda k: F.exists("equal", lambda e: (e <= k) & (k < e + F.col("length")))
@@ -171,7 +221,8 @@ def find_leaks(
     found = at_item.select("doc_id", "fp", "item_id", "distance", "n_item", "equal", pairs.alias("pairs"))
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     consistent = (values("a") == F.size("pairs")) & (values("b") == F.size("pairs"))
-    leaks = found.where(consistent & (F.size("equal") >= F.lit(coverage) * F.col("n_item")))
+    held = (F.size("equal") > 0) & (F.size("equal") >= F.lit(coverage) * F.col("n_item"))
+    leaks = found.where(consistent & held)
     return leaks.groupBy("doc_id", "fp", "item_id").agg(
         F.max(F.size("equal")).alias("n_windows"),
         F.max("n_item").alias("n_item"),

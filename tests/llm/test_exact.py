@@ -232,6 +232,29 @@ def test_reparameterised_questions(spark, rows):
     assert found == {1: True, 3: False}
 
 
+def leaks(rows, items, *texts):
+    """(document, item) of the texts, numbered from 1, and of the items."""
+    found = decontamination.find_leaks(
+        rows(TEXTS, *enumerate(texts, 1)), rows("item_id long, text string", *enumerate(items, 1))
+    )
+    return {(r.doc_id, r.item_id) for r in found.collect()}
+
+
+def test_items_of_few_literals_are_found_word_for_word(spark, rows):
+    numbers = "so " + " ".join(f"{k} {k + 100} {k + 200} and" for k in range(101, 111)) + " nothing"
+    items = ["What is 12 times 15?", "法国的首都是哪里？", "Name Paris.", numbers]
+    found = leaks(
+        rows,
+        items,
+        "Read on. What is 12 times 15? Yes.",
+        "请回答。法国的首都是哪里？谢谢。",
+        "Now name Paris, please.",
+        "Well. So " + numbers[3:],
+        "What is 12 times 16? Name Rome. 法国的首都是巴黎。 Paris name. " + numbers.replace("1", "2"),
+    )
+    assert found == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     found = queries.QUERIES[name](spark, FOLDER).toPandas()
