@@ -16,8 +16,10 @@ ANCHORS = 2
 #: Anchors that are sent to every executor at once (about 200 bytes each); more are
 #: sent in turns, each of which reads the documents.
 BROADCAST_ANCHORS = 250_000
-#: Share of an item's windows that a document must hold, at one distance.
-COVERAGE = 0.3
+#: Windows of an item that a document must hold if values differ; one is enough word for word.
+FEWEST_WINDOWS = 2
+#: Share of an item's windows that a document must hold besides, at all distances together.
+COVERAGE = 0.0
 
 #: The placeholders' marks and a decimal point's, of a private area, and units that may follow a number.
 NUMBER, NAME, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -179,8 +181,10 @@ def find_leaks(
     items of fewer than five words, are found only word for word, values included: a template of
     little else than placeholders fits anything. The slots of equal windows must be consistent:
     equal values of the item stand for equal values of the document, and the other way
-    round. A leak is an item of which a share of ``coverage`` of the windows is found so.
-    ``reparameterised`` says that some value was replaced.
+    round. A leak is an item of which one window is found word for word, or two windows (all, if it
+    has one) with other values; a share ``coverage`` of its windows may be asked for besides.
+    Windows at several distances add up, so words may be put in or left out between them.
+    ``reparameterised`` says that values were replaced wherever windows were found.
 
     Result: ``doc_id``, ``fp`` (a hash of the text, which tells rows of one id apart),
     ``item_id``, ``n_windows``, ``n_item`` (the item's windows), ``reparameterised`` and ``first_word``.
@@ -199,17 +203,17 @@ def find_leaks(
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.fp") == F.col("c.fp"))
     met = docs.alias("d").join(candidates.alias("c"), same).select("d.*", "c.variant", "c.distance")
     met = met.join(items, "variant")
-    kept = ["doc_id", "fp", "item_id", "distance", "length", "n_item", "item_words", "by_template"]
+    kept = ["doc_id", "fp", "item_id", "variant", "distance", "length", "n_item", "item_words", "by_template"]
     # Only the words at the item's place go on, not the document's.
     there = F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), lambda k: F.get("words", F.col("distance") + k))
     at_item = _once(met.select(*kept, tokens(F.col("text")).alias("words")), "words", F.col("words"))
     at_item = _once(at_item, "words", there)
     at_item = _once(at_item.withColumn("match", F.lit(None)), "match", F.zip_with("item_words", "words", _match))
     worst = lambda k: F.array_min(F.slice("match", k + 1, F.col("length")))
-    equal = F.filter(
-        F.sequence(F.lit(0), F.col("n_item") - 1),
-        lambda k: (worst(k) == SAME) | ((worst(k) == ALIKE) & F.get("by_template", k)),
-    )
+    windows = F.sequence(F.lit(0), F.col("n_item") - 1)
+    verbatim = F.filter(windows, lambda k: worst(k) == SAME)
+    equal = F.filter(windows, lambda k: (worst(k) == SAME) | ((worst(k) == ALIKE) & F.get("by_template", k)))
+    at_item = _once(at_item.withColumn("verbatim", F.lit(None)), "verbatim", verbatim)
     at_item = _once(at_item.withColumn("equal", F.lit(None)), "equal", equal)
     in_window = lambda k: F.exists("equal", lambda e: (e <= k) & (k < e + F.col("length")))
     slots = F.filter(
@@ -218,16 +222,25 @@ def find_leaks(
     pairs = F.array_distinct(
         F.transform(slots, lambda k: F.struct(F.get("item_words", k).alias("a"), F.get("words", k).alias("b")))
     )
-    found = at_item.select("doc_id", "fp", "item_id", "distance", "n_item", "equal", pairs.alias("pairs"))
+    found = at_item.select(
+        "doc_id", "fp", "item_id", "variant", "distance", "n_item", "equal", "verbatim", pairs.alias("pairs")
+    )
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     consistent = (values("a") == F.size("pairs")) & (values("b") == F.size("pairs"))
-    held = (F.size("equal") > 0) & (F.size("equal") >= F.lit(coverage) * F.col("n_item"))
-    leaks = found.where(consistent & held)
+    # Words put in or left out shift the rest: the windows of all distances add up.
+    variants = found.where(consistent & (F.size("equal") > 0)).groupBy("doc_id", "fp", "item_id", "variant", "n_item").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("equal")))).alias("n_windows"),
+        F.max(F.size("verbatim") > 0).alias("verbatim"),
+        F.min(F.size("verbatim") < F.size("equal")).alias("reparameterised"),
+        F.min(F.col("distance") + F.get("equal", F.lit(0))).alias("first_word"),
+    )
+    enough = F.col("verbatim") | (F.col("n_windows") >= F.least(F.lit(FEWEST_WINDOWS), F.col("n_item")))
+    leaks = variants.where(enough & (F.col("n_windows") >= F.lit(coverage) * F.col("n_item")))
     return leaks.groupBy("doc_id", "fp", "item_id").agg(
-        F.max(F.size("equal")).alias("n_windows"),
+        F.max("n_windows").alias("n_windows"),
         F.max("n_item").alias("n_item"),
-        F.min(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("reparameterised"),
-        F.min(F.col("distance") + F.get("equal", F.lit(0))).alias("first_word"),
+        F.min("reparameterised").alias("reparameterised"),
+        F.min("first_word").alias("first_word"),
     )
 
 

@@ -255,6 +255,21 @@ def test_items_of_few_literals_are_found_word_for_word(spark, rows):
     assert found == {(1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_passages_of_items_are_found(spark, rows):
+    words = lambda name, n: [f"{name}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)]
+    short, long, broken = words("short", 59), words("long", 400), words("broken", 90)
+    pieces = " well ".join(" ".join(broken[k : k + 15]) for k in range(0, 90, 15))
+    found = leaks(
+        rows,
+        [" ".join(short), " ".join(long), " ".join(broken)],
+        "He said: " + " ".join(short[20:45]) + " and left.",
+        "He said: " + " ".join(long[200:300]) + " and left.",
+        pieces,
+        " ".join(short[:11]) + " and " + " ".join(long[:11]),
+    )
+    assert found == {(1, 1), (2, 2), (3, 3)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     found = queries.QUERIES[name](spark, FOLDER).toPandas()
