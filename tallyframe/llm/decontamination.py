@@ -179,10 +179,11 @@ def find_leaks(
     document. Where two are found, the words there are compared with the item's
     template, window by window. Windows with fewer than four words that are no placeholders, and
     items of fewer than five words, are found only word for word, values included: a template of
-    little else than placeholders fits anything. The slots of equal windows must be consistent:
-    equal values of the item stand for equal values of the document, and the other way
-    round. A leak is an item of which one window is found word for word, or two windows (all, if it
-    has one) with other values; a share ``coverage`` of its windows may be asked for besides.
+    little else than placeholders fits anything. A window with other values must be consistent with
+    the equal windows that overlap it: there, a value of the item stands for one value of the
+    document. Two values of the item may stand for one. A leak is an item of which one window
+    is found word for word, or two windows (all, if it has one) with other values; a share
+    ``coverage`` of its windows may be asked for besides.
     Windows at several distances add up, so words may be put in or left out between them.
     ``reparameterised`` says that values were replaced wherever windows were found.
 
@@ -216,19 +217,22 @@ def find_leaks(
     at_item = _once(at_item.withColumn("verbatim", F.lit(None)), "verbatim", verbatim)
     at_item = _once(at_item.withColumn("equal", F.lit(None)), "equal", equal)
     in_window = lambda k: F.exists("equal", lambda e: (e <= k) & (k < e + F.col("length")))
-    slots = F.filter(
-        F.sequence(F.lit(0), F.size("item_words") - 1), lambda k: _is_slot(F.get("item_words", k)) & in_window(k)
+    pair = lambda k: F.struct(F.get("item_words", k).alias("a"), F.get("words", k).alias("b"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size("item_words") - 1),
+        lambda k: F.when(_is_slot(F.get("item_words", k)) & in_window(k), pair(k)),
     )
-    pairs = F.array_distinct(
-        F.transform(slots, lambda k: F.struct(F.get("item_words", k).alias("a"), F.get("words", k).alias("b")))
+    at_item = _once(at_item.withColumn("pairs", F.lit(None)), "pairs", pairs)
+    # The values in a window and as many words on either side.
+    low = lambda k: F.greatest(k - F.col("length") + 1, F.lit(0))
+    around = lambda k: F.array_distinct(
+        F.array_compact(F.slice("pairs", low(k) + 1, k + 2 * F.col("length") - 1 - low(k)))
     )
-    found = at_item.select(
-        "doc_id", "fp", "item_id", "variant", "distance", "n_item", "equal", "verbatim", pairs.alias("pairs")
-    )
-    values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
-    consistent = (values("a") == F.size("pairs")) & (values("b") == F.size("pairs"))
+    one_each = lambda p: F.size(F.array_distinct(F.transform(p, lambda x: x["a"]))) == F.size(p)
+    counted = F.filter("equal", lambda k: F.array_contains("verbatim", k) | one_each(around(k)))
+    found = _once(at_item, "equal", counted)
     # Words put in or left out shift the rest: the windows of all distances add up.
-    variants = found.where(consistent & (F.size("equal") > 0)).groupBy("doc_id", "fp", "item_id", "variant", "n_item").agg(
+    variants = found.where(F.size("equal") > 0).groupBy("doc_id", "fp", "item_id", "variant", "n_item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("equal")))).alias("n_windows"),
         F.max(F.size("verbatim") > 0).alias("verbatim"),
         F.min(F.size("verbatim") < F.size("equal")).alias("reparameterised"),

@@ -270,6 +270,22 @@ def test_passages_of_items_are_found(spark, rows):
     assert found == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_one_edited_value_does_not_hide_a_copy(spark, rows):
+    item = (
+        "A shop sells 12 pens to each of its first customers on every monday morning of the year and the owner "
+        "then orders another 12 pens from the factory which lies behind the old town hall near the river"
+    )
+    values = "If Anna has 12 apples and eats 3 of them then how many apples does Anna keep for today?"
+    found = leaks(
+        rows,
+        [item, values],
+        item.replace("another 12", "another 15"),
+        values.replace("12", "20").replace("3", "20"),
+        values.replace("Anna keep", "Bob keep").replace("Anna has 12", "Carl has 20"),
+    )
+    assert found == {(1, 1), (2, 2)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     found = queries.QUERIES[name](spark, FOLDER).toPandas()
