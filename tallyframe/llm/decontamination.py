@@ -53,10 +53,10 @@ def _marked(text: Column) -> Column:
     """The text with a mark before each number, unit and name, then in lower case.
 
     A unit follows a number. A name is a word with a capital after a small letter or a comma
-    and a blank, so that the first word of a sentence is none. Texts without digits skip
+    and white space, so that the first word of a sentence is none. Texts without digits skip
     the steps for numbers.
     """
-    named = F.regexp_replace(_plain(text), r"(\p{Lu})(?<=[\p{Ll},;] .)", NAME + "$1")
+    named = F.regexp_replace(_plain(text), r"([\p{Ll},;][\s\p{Z}]+)(\p{Lu})", f"$1{NAME}$2")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     measured = F.regexp_replace(
         _numbered(named), f"({NUMBER}[0-9{POINT}]+ ) ?{NAME}?((?:{units}))(?![\\p{{L}}])", f"$1 {UNIT}$2"
@@ -157,9 +157,9 @@ DIFFERENT, ALIKE, SAME = 0, 1, 2
 
 
 def _match(item: Column, word: Column) -> Column:
-    """Whether the words are the same, or placeholders of one type; no word is different."""
+    """Whether the words are the same but for case, or placeholders of one type; no word is different."""
     alike = _is_slot(item) & (F.substring(item, 1, 1) == F.substring(word, 1, 1))
-    return F.when(item == word, SAME).when(alike, ALIKE).otherwise(DIFFERENT)
+    return F.when(_word(item) == _word(word), SAME).when(alike, ALIKE).otherwise(DIFFERENT)
 
 
 def find_leaks(
@@ -173,7 +173,8 @@ def find_leaks(
 ) -> DataFrame:
     """Benchmark items that documents hold, also with other numbers, names or units.
 
-    Numbers, names and units become placeholders of their type. Each window of an item's
+    Numbers, names and units become placeholders of their type; words that are the same but for
+    case are equal even if only one of the texts shows them as names or units. Each window of an item's
     template is looked for by its two longest words: the documents' words are joined by hash with
     these, and grouped by item and distance, the place of the item's start in the
     document. Where two are found, the words there are compared with the item's
@@ -217,7 +218,7 @@ def find_leaks(
     at_item = _once(at_item.withColumn("verbatim", F.lit(None)), "verbatim", verbatim)
     at_item = _once(at_item.withColumn("equal", F.lit(None)), "equal", equal)
     in_window = lambda k: F.exists("equal", lambda e: (e <= k) & (k < e + F.col("length")))
-    pair = lambda k: F.struct(F.get("item_words", k).alias("a"), F.get("words", k).alias("b"))
+    pair = lambda k: F.struct(_word(F.get("item_words", k)).alias("a"), _word(F.get("words", k)).alias("b"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("item_words") - 1),
         lambda k: F.when(_is_slot(F.get("item_words", k)) & in_window(k), pair(k)),

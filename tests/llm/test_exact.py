@@ -286,6 +286,16 @@ def test_one_edited_value_does_not_hide_a_copy(spark, rows):
     assert found == {(1, 1), (2, 2)}
 
 
+def test_case_and_line_ends_do_not_hide_a_copy(spark, rows):
+    item = (
+        "Wenn der Bauer auf dem Markt 5 Kilo von den Äpfeln an die Nachbarn gibt und der Rest im Keller "
+        "bei den Kisten bleibt, wie viele Kilo hat der Bauer dann im Winter?"
+    )
+    other = item.replace("Bauer", "Koch").replace("Keller", "Schuppen").replace("Markt", "Platz")
+    texts = [item.lower(), item.upper(), item.replace(" ", "\n"), item.replace(" ", "  "), other.replace(" ", "\n")]
+    assert leaks(rows, [item], *texts) == {(k, 1) for k in range(1, 6)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     found = queries.QUERIES[name](spark, FOLDER).toPandas()
