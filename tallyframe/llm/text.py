@@ -122,15 +122,20 @@ def labelled_sample(
     """(text, label) of at most ``per_label`` rows of each label, the same on every run.
 
     ``labels`` holds ``doc_id`` and the label. Ids are chosen from it by their hash, before
-    any text is read; at most 64 labels, the most frequent ones, are learned. So what is
-    broadcast and what comes to the driver is bounded by ``64 * per_label`` rows.
+    any text is read. What is broadcast and what comes to the driver is bounded by
+    ``64 * per_label`` rows: more than 64 labels share them evenly, and more labels than
+    these rows are an error.
     """
     given = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("_id"), F.col(label).alias("_label")
     )
-    frequent = given.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(64).collect()
+    most = 64 * per_label
+    found_labels = given.select("_label").distinct().limit(most + 1).collect()
+    if len(found_labels) > most:
+        raise ValueError(f"more than {most} labels: {label}")
+    per_label = min(per_label, most // max(1, len(found_labels)))
     out: list[tuple[str, object]] = []
-    for value in sorted(r[0] for r in frequent):
+    for value in sorted(r[0] for r in found_labels):
         chosen = given.where(F.col("_label") == F.lit(value)).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
         found = (
             df.where(F.col(text).isNotNull())

@@ -1,8 +1,11 @@
 """Held-out accuracy of the trained operators."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import language, queries, toxicity
+from tallyframe.llm.text import labelled_sample
 from tests.compare import TESTDATA
 
 FOLDER = str(TESTDATA / "sf0.01")
@@ -70,3 +73,12 @@ def test_gradients_are_those_of_the_loss():
         down = loss()
         array[at] = was
         assert abs((up - down) / 2e-2 - grad[at]) < 0.02 * max(1, abs(grad[at]))
+
+
+def test_no_label_is_left_out_of_the_sample(spark):
+    df = spark.range(195).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labelled = df.withColumn("lang", F.expr("'l' || doc_id % 65"))
+    given = labelled_sample(df, labelled, "lang", 2)
+    assert {label for _, label in given} == {f"l{k}" for k in range(65)} and len(given) <= 128
+    with pytest.raises(ValueError, match="more than 64 labels"):
+        labelled_sample(df, labelled, "lang", 1)
