@@ -249,8 +249,13 @@ def _raked_in_memory(
             for k, (control, total) in enumerate(zip(controls, totals)):
                 table = table.withColumn("__total", total)
                 table = table.withColumn(f"__moved{r}_{k}", _gap(control))
-                scaled = F.when(F.col("__total") == 0, 0.0).otherwise(
-                    F.col("__fit") * F.col(control) / F.col("__total")
+                key = label({c: F.col(c) for c in margins[k].cols})
+                message = F.concat(F.lit("control without sample: "), key)
+                empty = F.col("__total") == 0
+                scaled = (
+                    F.when(empty & (F.col(control) > 0), F.raise_error(message))
+                    .when(empty, 0.0)
+                    .otherwise(F.col("__fit") * F.col(control) / F.col("__total"))
                 )
                 table = table.withColumn("__fit", scaled)
             for k, (control, total) in enumerate(zip(controls, totals)):

@@ -141,6 +141,21 @@ def test_margins_that_do_not_fit(df, rows, controls, message):
         rake(df, "w", [rows("a string, control double", *controls)])
 
 
+@pytest.mark.parametrize("one_task", [True, False])
+def test_a_total_that_falls_to_zero_is_an_error_on_both_paths(rows, one_task, monkeypatch):
+    from tallyframe.sources import scratch
+
+    if not one_task:
+        monkeypatch.setattr(scratch, "BROADCAST_LIMIT_BYTES", 0)
+    df = rows("a string, b string, w double", ("x", "p", 1.0), ("y", "p", 1.0), ("y", "q", 1.0))
+    margins = [
+        rows("a string, control double", ("x", 10.0), ("y", 40.0)),
+        rows("b string, control double", ("p", 0.0), ("q", 50.0)),
+    ]
+    with pytest.raises(Exception, match="control without sample: a=x"):
+        rake(df, "w", margins)
+
+
 def test_zero_control_empties_its_category(df, rows):
     margins = [
         rows("a string, control double", ("x", 0.0), ("y", 40.0)),
