@@ -100,4 +100,39 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged
 """
 
-ORACLE_SQL = {"op2_substring_dedup": OP2, "op5_minhash": OP5, "op8_quality_rules": OP8}
+OP11 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words
+  FROM (SELECT lang, doc_id, unnest(parts) AS piece, unnest(range(len(parts))) AS p
+        FROM (SELECT lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]') AS parts FROM documents))
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+), grams AS (
+  SELECT lang, m, array_to_string(words[s:s + m - 1], ' ') AS phrase
+  FROM (SELECT lang, m, words, unnest(range(1, len(words) - m + 2)) AS s FROM pieces, range(1, 4) r(m) WHERE len(words) >= m)
+), counted AS (
+  SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY lang, phrase, m HAVING count(*) >= 10
+), cuts AS (
+  SELECT lang, phrase, f AS a, m, k, array_to_string(w[1:k], ' ') AS lft, array_to_string(w[k + 1:], ' ') AS rgt
+  FROM (SELECT *, string_split(phrase, ' ') AS w FROM counted), range(1, 3) r(k) WHERE k < m
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, c.k,
+         ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.lft JOIN counted y ON y.lang = c.lang AND y.phrase = c.rgt
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, part, max(f) AS longer
+  FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part
+        FROM (SELECT lang, f, string_split(phrase, ' ') AS w FROM counted WHERE m = 3))
+  GROUP BY lang, part
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.part = b.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a
+)
+SELECT k.lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) k
+JOIN totals t ON t.lang = k.lang WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op2_substring_dedup": OP2, "op5_minhash": OP5, "op8_quality_rules": OP8, "op11_collocations": OP11}

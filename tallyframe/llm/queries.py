@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, language_model, minhash, packing, quality, rules, suffix_array, suffix_tree, toxicity
+from . import (
+    conversations,
+    decontamination,
+    language,
+    language_model,
+    minhash,
+    packing,
+    phrases,
+    quality,
+    rules,
+    sharding,
+    suffix_array,
+    suffix_tree,
+    toxicity,
+)
 from .oracle import ORACLE_SQL  # noqa: F401
 from .text import fold
 
@@ -109,6 +123,26 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "n_windows", "n_item", "reparameterised", "first_word")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    counted, words = phrases.frequent_phrases(table(spark, folder, "documents"), longest=3, least=10)
+    return phrases.collocations(counted, words, top=2000)
+
+
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = sharding.shuffle_and_shard(table(spark, folder, "documents"), shards=24)
+    return dealt.select(
+        *("doc_id", "size", "text_crc32"),
+        F.lit("rows").alias("law"),
+        *("shard", "slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, folder, "conversations"))
+    return conversations.repair(rows, lost="lost")
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_substring_dedup": op2_substring_dedup,
@@ -120,4 +154,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
+    "op12_sharding": op12_sharding,
+    "op13_conversation_repair": op13_conversation_repair,
 }

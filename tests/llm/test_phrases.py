@@ -1,0 +1,92 @@
+"""Phrases against counting in plain Python."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tallyframe.llm import phrases
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def brute(rows, longest=3, least=10, top=2000):
+    counts, words = {}, Counter()
+    for _, text, lang in rows:
+        own = counts.setdefault(lang or "und", Counter())
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\n-\r]", lower):
+            w = re.findall("[^ \t]+", piece)
+            words[lang or "und"] += len(w)
+            for m in range(1, longest + 1):
+                own.update(tuple(w[k : k + m]) for k in range(len(w) - m + 1))
+    out = []
+    for lang, own in counts.items():
+        frequent = {p: a for p, a in own.items() if len(p) > 1 and a >= least}
+        found = []
+        for p, a in frequent.items():
+            score, k = min((10**6 * a * a // (own[p[:k]] * own[p[k:]]), k) for k in range(1, len(p)))
+            inside = any(
+                100 * b >= 50 * a and any(q[s : s + len(p)] == p for s in range(len(q) - len(p) + 1))
+                for q, b in frequent.items()
+                if len(q) > len(p)
+            )
+            if not inside:
+                found.append((-score, -a, " ".join(p).encode(), own[p[:k]], own[p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, words[lang], -score))
+    return sorted(out)
+
+
+def texts(seed, n=80):
+    rng = random.Random(seed)
+    vocabulary = ["Été", "a", "b", "c-d", "über", "日本", "x'y", "ΩΣ", "q" * 300]
+    sep = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "!", "\x0b"]
+    for i in range(n):
+        text = "".join(rng.choice(vocabulary) + rng.choice(sep) for _ in range(rng.randrange(0, 60)))
+        yield i, text, rng.choice(["en", "en", "de", None])
+    yield None, None, "en"
+    yield n, "", "fr"
+    yield n, " . , ", "es"
+    yield n, "a b c " * 3000, "en"
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4])
+def test_collocations_equal_brute_force(spark, rows, longest, monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)
+    given = list(texts(longest))
+    counted, words = phrases.frequent_phrases(rows(SCHEMA, *given), longest=longest)
+    found = phrases.collocations(counted, words, top=25)
+    assert sorted(map(tuple, found.collect())) == brute(given, longest, top=25)
+
+
+def test_equal_hashes_do_not_merge_words_or_phrases(spark, rows, monkeypatch):
+    """All fingerprints equal, and all words of one hash: the texts still tell phrases apart."""
+    monkeypatch.setattr(phrases.Block, "fingerprints", lambda self, first, length: np.zeros(len(first), np.uint64))
+    monkeypatch.setattr(phrases, "run_hashes", lambda codes, starts, ends: (ends - starts).astype(np.uint64))
+    given = list(texts(7, 30))
+    block = phrases.Block(b"ab cd ab. cd ef", "en")
+    assert block.words[0] == block.words[2] and len(set(block.words.tolist())) == 3
+    blocks = [phrases.Block((t or "").encode(), "en") for _, t, _ in given]
+    for block, (_, text, _) in zip(blocks, given, strict=True):
+        own = Counter()
+        raw = (text or "").encode()
+        for length, _, count, first in block.ngrams(3, None, 0):
+            for c, f in zip(count.tolist(), first.tolist(), strict=True):
+                own[tuple(raw[block.starts[k] : block.ends[k]] for k in range(f, f + length))] += c
+        want = Counter()
+        for piece in re.split(b"[.,;:!?\n-\r]", raw):
+            w = re.findall(b"[^ \t]+", piece)
+            for m in range(1, 4):
+                want.update(tuple(w[k : k + m]) for k in range(len(w) - m + 1))
+        assert own == want
+
+
+def test_odd_columns_and_empty_tables(spark, rows):
+    given = list(texts(3, 20))
+    df = rows(SCHEMA, *given).selectExpr("*", "1 AS print", "2 AS block", "3 AS f", "4 AS `a.b`", "5 AS phrase")
+    found = phrases.collocations(*phrases.frequent_phrases(df)).collect()
+    assert sorted(map(tuple, found)) == brute(given)
+    assert phrases.collocations(*phrases.frequent_phrases(df.where("false"))).count() == 0
