@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: What a bucket may hold, so that it can be shuffled in memory: bytes of text and records.
-BUCKET_BYTES, BUCKET_ROWS = 32 << 20, 4096
+BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 2048
 #: Buckets that one task gathers.
-TASK_BUCKETS = 32
+TASK_BUCKETS = 16
+#: Classes of rows, by a hash of id and text, that are looked up for copies.
+COPY_CLASSES = 1 << 20
 #: Buckets whose sizes are added up in one window.
 RUN = 4096
 
@@ -62,8 +64,10 @@ def shuffle_and_shard(
     Result: ``doc_id``, ``size`` (UTF-8 bytes of the text, and 8), ``text_crc32``, ``shard``, ``slot`` (the
     place in the shard, from 0) and ``record`` (a struct of all columns given, so that no names
     clash). A null text counts as empty; rows with a null id take part by their text. Rows that
-    are equal in id and text are told apart by their place in the input, so a third of all rows
-    may be copies and still spreads evenly; which of them goes where has no meaning. Fewer rows
+    are equal in id and text (and the few that share one of ``COPY_CLASSES`` hash values with such) are
+    told apart by their place in the input, so a third of all rows
+    may be copies and still spreads evenly; the order of all other rows does not depend on how the input is cut into tasks,
+    but for the numbers of copies before them. Fewer rows
     than shards leave shards empty; no rows give no rows.
 
     What is written is read by later steps, so a lost executor never draws anew.
@@ -81,10 +85,11 @@ def shuffle_and_shard(
     groups = written(groups, "shards-groups")
     rows, total = (x or 0 for x in groups.agg(F.sum("n"), F.sum("size")).first())
     n_buckets = max(1, -(-rows // bucket_rows), -(-total // bucket_bytes))
-    copies = groups.where("n > 1").select("doc_id", "fp", F.lit(True).alias("copied"))
-    same = F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.fp") == F.col("c.fp"))
-    marked = records.alias("r").join(copies.alias("c"), same, "left")
-    marked = marked.select("r.*", F.when(F.col("c.copied"), F.col("r.place")).alias("copy"))
+    # At most COPY_CLASSES numbers are broadcast, however many rows are copies.
+    of_class = F.pmod(F.xxhash64("doc_id", "fp"), F.lit(COPY_CLASSES)).alias("class")
+    copies = groups.where("n > 1").select(of_class, F.lit(True).alias("copied")).distinct()
+    marked = records.withColumn("class", of_class).join(F.broadcast(copies), "class", "left")
+    marked = marked.withColumn("copy", F.when(F.col("copied"), F.col("place")))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "fp", "copy"), F.lit(n_buckets))
     order = F.struct(F.xxhash64(F.lit(seed + 1), "doc_id", "fp", "copy").alias("order"), "doc_id", "fp", "place")
     payload = F.struct("doc_id", "size", "text_crc32", "record")
@@ -101,14 +106,16 @@ def shuffle_and_shard(
     permuted = fisher_yates(F.col("n"), seed, F.col("bucket"))
     shuffled = gathered.select("bucket", F.size("found").alias("n"), ordered.alias("found")).withColumn("permuted", permuted)
     buckets = written(shuffled, "shards-buckets")
-    placed = buckets.select("bucket", "found", F.posexplode("permuted").alias("at", "own"))
-    placed = placed.select("bucket", "at", F.get("found", F.col("own")).alias("row"))
+    # Each field is taken out of its own array, so that a field that nobody asks for is not read.
+    fields = ("doc_id", "size", "text_crc32", "record")
+    placed = buckets.select("bucket", *[F.col(f"found.{c}").alias(c) for c in fields], F.posexplode("permuted").alias("at", "own"))
+    placed = placed.select("bucket", "at", *[F.get(c, F.col("own")).alias(c) for c in fields])
     rank = F.col("before") + F.col("at")
     dealt = placed.join(_offsets(buckets), "bucket").withColumn("rank", rank)
     # Shard k begins at the rank floor(k * rows / shards).
     dealt = dealt.withColumn("shard", F.expr(f"cast(((rank + 1) * {shards} - 1) div {max(rows, 1)} as int)"))
     slot = F.expr(f"rank - (cast(shard as bigint) * {rows}) div {shards}")
-    return dealt.select("row.doc_id", "row.size", "row.text_crc32", "shard", slot.alias("slot"), "row.record")
+    return dealt.select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"), "record")
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 24, seed: int = 17, **named: str) -> None:
