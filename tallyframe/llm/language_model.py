@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packed import squeeze, unsqueeze
 from .shared import written
 from .text import BYTE_CODE, IS_SPACE, LOWER, mixed, run_hashes, utf8, word_runs
 
@@ -37,18 +38,6 @@ ANSWERS = "block long, p int, counts binary, v long"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Compressed numbers, byte plane by byte plane, because high bytes are mostly zero."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unsqueeze(raw: bytes, kind: type) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gather texts of one use into blocks; a block's number is its task's and its place there."""
     schema = pa.schema(
@@ -127,7 +116,7 @@ def _grams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
                 own = keys[cut[p] : cut[p + 1]]
                 mark = (counts[cut[p] : cut[p + 1]].astype(np.uint32) << np.uint32(1)) | is_word[cut[p] : cut[p + 1]]
                 gaps = np.diff(own, prepend=np.uint64(0))
-                out.append((p, row["block"], row["part"], len(own), _squeeze(gaps), _squeeze(mark)))
+                out.append((p, row["block"], row["part"], len(own), squeeze(gaps), squeeze(mark)))
             columns = zip(*out, strict=True)
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -142,8 +131,8 @@ def _answered(table: pa.Table) -> pa.Table:
     A block that weights are learned from gets its share of the counts, too.
     """
     rows = table.to_pylist()
-    keys = [np.cumsum(_unsqueeze(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-    marks = [_unsqueeze(r["counts"], np.uint32) for r in rows]
+    keys = [np.cumsum(unsqueeze(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+    marks = [unsqueeze(r["counts"], np.uint32) for r in rows]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([m >> np.uint32(1) for m in marks]).astype(np.float64)
     use = np.repeat([r["part"] for r in rows], [len(k) for k in keys])
@@ -156,7 +145,7 @@ def _answered(table: pa.Table) -> pa.Table:
     for i, r in enumerate(rows):
         at = place[upto[i] : upto[i + 1]]
         both = [learned[at], weighed[at]] if r["part"] == WEIGHED else [learned[at]]
-        out.append({"block": r["block"], "p": r["p"], "counts": _squeeze(np.concatenate(both).astype(np.uint64)), "v": 0})
+        out.append({"block": r["block"], "p": r["p"], "counts": squeeze(np.concatenate(both).astype(np.uint64)), "v": 0})
     schema = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("counts", pa.binary()), ("v", pa.int64())])
     return pa.Table.from_pylist(out, schema=schema)
 
@@ -170,7 +159,7 @@ def _looked_up(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     own = np.zeros((len(keys), 2))
     at = 0
     for answer in sorted(row["answers"], key=lambda a: a["p"]):
-        got = _unsqueeze(answer["counts"], np.uint64)
+        got = unsqueeze(answer["counts"], np.uint64)
         got = got.reshape(2, -1).T if row["part"] == WEIGHED else got.reshape(1, -1).T
         own[at : at + len(got), : got.shape[1]] = got
         at += len(got)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import Hashes
+from .packed import squeeze, unsqueeze
 from .shared import dropped, written
 from .text import BYTE_CODE, LOWER, mixed, run_hashes, utf8, word_runs
 
@@ -22,6 +23,12 @@ BLOCK_BYTES = 4 << 20
 HELD_BYTES = 64 << 20
 #: Bits of the broadcast table that says which fingerprints may be frequent: 16 MB.
 TABLE_BITS = 27
+#: Bits of a fingerprint that are counted; counts of n-grams that share one add up, and some rare ones are read for nothing.
+PRINT_BITS = 44
+#: Fingerprints that a task adds up before it passes them on.
+HELD_PRINTS = 3_000_000
+#: Fingerprints that are counted at once; their number of parts follows the number of words.
+PART_PRINTS = 1 << 19
 
 #: Bytes that end a piece: . , ; : ! ? and line feed to carriage return; words end at these, blanks and tabs.
 CUTS = np.zeros(256, dtype=bool)
@@ -144,59 +151,74 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
             yield row, zstandard.ZstdDecompressor().decompress(row["text"])
 
 
-def _pieces(columns: list[np.ndarray], names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    for low in range(0, len(columns[0]), rows):
-        yield pa.RecordBatch.from_arrays([pa.array(c[low : low + rows]) for c in columns], names=names)
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
+    """Added counts as a row for each value of the first ``bits`` bits of the fingerprints."""
+    prints, place = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+    count = np.bincount(place, np.concatenate([c for _, c in held]), len(prints)).astype(np.uint32)
+    part = (prints >> np.uint64(PRINT_BITS - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    runs = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(part[first]),
+            pa.array([squeeze(np.diff(prints[a:b], prepend=np.uint64(0))) for a, b in runs], pa.binary()),
+            pa.array([squeeze(count[a:b]) for a, b in runs], pa.binary()),
+        ],
+        names=["part", "prints", "counts"],
+    )
 
 
-def _counted(batches: Iterator[pa.RecordBatch], lengths: list[int], table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the n-grams of the given lengths, with their counts."""
+def _counted(
+    batches: Iterator[pa.RecordBatch], lengths: list[int], table: np.ndarray | None, bits: int
+) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of the n-grams of the given lengths with their counts, added up over several blocks."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for row, raw in _opened(batches):
         for length, prints, count, _ in Block(raw, row["lang"]).ngrams(max(lengths), table, min(lengths) - 1):
-            if length in lengths:
-                yield from _pieces([prints.view(np.int64), count], ["print", "count"])
-
-
-def _pointed(batches: Iterator[pa.RecordBatch], longest: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Fingerprints that may be frequent, with their counts and a pointer to an occurrence."""
+            if length in lengths and len(prints):
+                held.append((prints >> np.uint64(64 - PRINT_BITS), count))
+        if sum(len(p) for p, _ in held) > HELD_PRINTS:
+            yield _packed(held, bits)
+            held = []
+    if held:
+        yield _packed(held, bits)
+
+
+def _often(rows: pa.Table, least: int) -> pa.Table:
+    """The fingerprints of one part that reach ``least``."""
+    prints = [np.cumsum(unsqueeze(r, np.uint64), dtype=np.uint64) for r in rows.column("prints").to_pylist()]
+    counts = [unsqueeze(r, np.uint32) for r in rows.column("counts").to_pylist()]
+    every, place = np.unique(np.concatenate(prints), return_inverse=True)
+    often = np.bincount(place, np.concatenate(counts), len(every)) >= least
+    return pa.table({"print": pa.array(every[often].view(np.int64))})
+
+
+def _read(batches: Iterator[pa.RecordBatch], longest: int, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The n-grams that may be frequent as text, their words joined by blanks, from the place that points to each."""
     for row, raw in _opened(batches):
-        for length, prints, count, first in Block(raw, row["lang"]).ngrams(longest, table, longest - 1):
-            own = [np.full(len(prints), row["block"]), first, np.full(len(prints), length, np.int32)]
-            yield from _pieces([prints.view(np.int64), count, *own], ["print", "count", "block", "place", "length"])
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases at the pointers of each block, their words joined by blanks."""
-    for batch in batches:
-        yield from (part for i in range(batch.num_rows) for part in _phrases(batch.slice(i, 1)))
-
-
-def _phrases(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    lang, raw, found = (block.column(name)[0] for name in ("lang", "text", "found"))
-    words = zstandard.ZstdDecompressor().decompress(raw.as_py()).translate(_TO_BLANKS).split()
-    place, length, count = (found.values.field(name).to_numpy() for name in ("place", "length", "count"))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    text = b" ".join(words)
-    low, high = starts[place].tolist(), ends[place + length - 1].tolist()
-    phrases = pa.array([text[a:b] for a, b in zip(low, high, strict=True)], pa.binary())
-    n = len(phrases)
-    for k in range(0, n, 50_000):
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang.as_py()] * min(50_000, n - k), pa.string()),
-                phrases.slice(k, 50_000).cast(pa.string()),
-                pa.array(length[k : k + 50_000], pa.int32()),
-                pa.array(count[k : k + 50_000], pa.int64()),
-            ],
-            names=["lang", "phrase", "length", "f"],
-        )
+        words = raw.translate(_TO_BLANKS).split()
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = ends - lengths
+        text = b" ".join(words)
+        for length, _, count, first in Block(raw, row["lang"]).ngrams(longest, table, longest):
+            low, high = starts[first].tolist(), ends[first + length - 1].tolist()
+            for k in range(0, len(first), 50_000):
+                own = [text[a:b] for a, b in zip(low[k : k + 50_000], high[k : k + 50_000], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["lang"]] * len(own), pa.string()),
+                        pa.array(own, pa.binary()).cast(pa.string()),
+                        pa.array(np.full(len(own), length, np.int32)),
+                        pa.array(count[k : k + 50_000], pa.int64()),
+                    ],
+                    names=["lang", "phrase", "length", "f"],
+                )
 
 
 def _table(spark: SparkSession, prints: DataFrame) -> np.ndarray:
     """A bit for each value of the first bits of the fingerprints; at most 2^27 bits come to the driver."""
-    slot = F.shiftrightunsigned("print", 64 - TABLE_BITS)
+    slot = F.shiftrightunsigned("print", PRINT_BITS - TABLE_BITS)
     bits = prints.select((slot + 1).alias("slot"))
     bits = bits.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
@@ -213,12 +235,12 @@ def frequent_phrases(
 
     Texts are lower-cased in A-Z and cut into pieces at ``.,;:!?`` and line ends; a phrase is a run of words in
     one piece. Texts are gathered into blocks of one language. In a block equal words have equal
-    numbers, by their bytes, and so have equal n-grams, so each distinct n-gram of a block is one row: a
-    fingerprint, a count and a pointer to an occurrence. Fingerprints of shorter n-grams are
-    counted first; those that reach ``least`` mark a table of bits of fixed size, which the next
+    numbers, by their bytes, and so have equal n-grams; each distinct n-gram of a block is a
+    fingerprint, a count and a pointer to its first place. Fingerprints are counted, shorter n-grams
+    first, as sorted lists by their first bits, which a task adds up over its blocks before they are shuffled; those that reach ``least`` mark a table of bits of fixed size, which the next
     length is filtered by, since all parts of a frequent phrase are frequent. The table only leaves out what is rare:
-    phrases that share a bit with a frequent one are counted for nothing, no frequent one is missed.
-    Pointers whose fingerprint is frequent go back to their blocks and are read as text, and the
+    phrases that share a bit with a frequent one are read for nothing, no frequent one is missed.
+    In a last pass the blocks read the phrases that the table has by their pointers, and the
     texts are counted. So two phrases of one fingerprint are told apart, and the counts are exact.
 
     Result: (``lang``, ``phrase``, ``length``, ``f``) and (``lang``, ``n``). A null language is ``und``; a null or empty text has no
@@ -231,26 +253,20 @@ def frequent_phrases(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")
     )
     blocks = written(rows.where("text IS NOT NULL").mapInArrow(_blocks, BLOCKS), "phrases-blocks")
+    tokens = blocks.agg(F.sum("n_words")).first()[0] or 0
+    bits = min(max((2 * tokens // PART_PRINTS).bit_length(), 4), PRINT_BITS)
     table = None
-    for length in range(2, longest + (longest == 2)):
+    for length in range(2, longest + 1):
         lengths = [1, 2] if length == 2 else [length]
         sent = spark.sparkContext.broadcast(table)
-        prints = blocks.mapInArrow(lambda it, own=lengths, t=sent: _counted(it, own, t.value), "print long, count long")
-        # Exchanged before they are added up: a block's rows are distinct, and few rows meet within a task.
-        often = prints.repartition("print").groupBy("print").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+        counts = blocks.mapInArrow(
+            lambda it, own=lengths, t=sent: _counted(it, own, t.value, bits), "part long, prints binary, counts binary"
+        )
+        often = counts.groupBy("part").applyInArrow(lambda rows: _often(rows, least), "print long")
         new = _table(spark, often)
         table = new if table is None else table | new
     sent = spark.sparkContext.broadcast(table)
-    pointers = blocks.mapInArrow(
-        lambda it: _pointed(it, longest, sent.value), "print long, count long, block long, place long, length int"
-    )
-    # A fingerprint has one row for each block, however frequent it is.
-    total = F.sum("count").over(Window.partitionBy("print"))
-    often = pointers.withColumn("f", total).where(F.col("f") >= least)
-    found = often.groupBy("block").agg(F.collect_list(F.struct("place", "length", "count")).alias("found"))
-    read = blocks.join(found, "block").select("lang", "text", "found").mapInArrow(
-        _read, "lang string, phrase string, length int, f long"
-    )
+    read = blocks.mapInArrow(lambda it: _read(it, longest, sent.value), "lang string, phrase string, length int, f long")
     counted = read.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     counted = written(counted, "phrases-counted")
     words = written(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrases-words")
@@ -277,9 +293,9 @@ def collocations(
     def part(first, size):
         return F.array_join(F.slice("w", first, size), " ")
 
-    cut = split.select("lang", "phrase", "a", "length", "w", F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("k"))
+    cut = split.select("lang", "a", "length", "w", F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("k"))
     cut = cut.select(
-        "lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("length") - F.col("k")).alias("right")
+        "lang", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("length") - F.col("k")).alias("right")
     )
     left = counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
     right = counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
@@ -287,7 +303,7 @@ def collocations(
     cut = cut.join(left, ["lang", "left"]).join(right, ["lang", "right"])
     cut = cut.withColumns({"above": wide["a"] * wide["a"] * scale, "below": wide["l"] * wide["r"]})
     scored = cut.withColumn("score", F.expr("above div below"))
-    scored = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
+    scored = scored.groupBy("lang", F.concat_ws(" ", "left", "right").alias("phrase"), "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     spans = F.flatten(
         F.transform(
             F.sequence(F.lit(2), F.col("length") - 1),

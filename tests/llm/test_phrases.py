@@ -62,8 +62,8 @@ def test_collocations_equal_brute_force(spark, rows, longest, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute(given, longest, top=25)
 
 
-def test_equal_hashes_do_not_merge_words_or_phrases(spark, rows, monkeypatch):
-    """All fingerprints equal, and all words of one hash: the texts still tell phrases apart."""
+def test_equal_hashes_do_not_merge_words_or_phrases(monkeypatch):
+    """All fingerprints equal, and words of one length of one hash: a block still tells phrases apart."""
     monkeypatch.setattr(phrases.Block, "fingerprints", lambda self, first, length: np.zeros(len(first), np.uint64))
     monkeypatch.setattr(phrases, "run_hashes", lambda codes, starts, ends: (ends - starts).astype(np.uint64))
     given = list(texts(7, 30))
