@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import _DOWN, _MULTIPLIER, _UP, BYTE_CODE, IS_SPACE, mixed, powers, run_hashes, texts, word_runs
+from .shared import written
+from .text import _DOWN, _MULTIPLIER, _UP, BYTE_CODE, IS_SPACE, fingerprint, mixed, powers, quoted, run_hashes, texts, word_runs
 
-_PLACE_BITS = np.uint64(28)
+#: Symbols that a text may have; anchors keep a place in so many bits of a hash.
+PLACE_BITS = 28
+_PLACE_BITS = np.uint64(PLACE_BITS)
 
 
 class Hashes:
@@ -67,6 +70,8 @@ def stretches(hashes: Hashes, bounds: np.ndarray, window: int, gram: int = 0):
     ``bounds`` delimits the texts in the sequence. A stretch's hash covers all symbols of
     its windows.
     """
+    if len(hashes.total) > 1 << PLACE_BITS:
+        raise ValueError(f"a text has more than 2^{PLACE_BITS} symbols")
     gram = gram or window // 2
     width = window - gram + 1
     grams = hashes.all(gram)
@@ -85,18 +90,17 @@ def stretches(hashes: Hashes, bounds: np.ndarray, window: int, gram: int = 0):
     return of[new], first, count, grams[at[new]], hashes.of(first, first + count - 1 + window)
 
 
-SAMPLED = "h long, seg long, key long, fp int, s int, n int"
-NO_ID = -(1 << 63)
+SAMPLED = "h long, seg long, key long, fp long, s int, n int"
 
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The id, a key that is never null, a fingerprint that tells rows of one id apart, and the text."""
-    value = F.col(text).cast("string")
+    """The id, a key that is never null, a fingerprint that tells rows of one key apart, and the text.
+
+    The key of a null id is 0; its fingerprint is seeded otherwise, so it is no row with the id 0.
+    """
+    own, value = F.col(quoted(doc_id)).cast("long"), F.col(quoted(text)).cast("string")
     return df.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"),
-        F.hash(value).alias("fp"),
-        value.alias("text"),
+        own.alias("doc_id"), F.coalesce(own, F.lit(0)).alias("key"), fingerprint(own, value).alias("fp"), value.alias("text")
     )
 
 
@@ -127,20 +131,20 @@ def repeated_stretches(rows: DataFrame, window: int, words: bool, by_document: b
     """Stretches whose anchor's gram occurs twice, or in two documents if ``by_document``.
 
     The texts are read twice: once for the grams, which are counted with a partial
-    aggregate, and once for the stretches, which are joined with the repeated grams. A
-    gram that very many rows share is one group of the aggregate, and adaptive execution
-    splits its rows in the join.
+    aggregate, and once for the stretches, which are joined with the repeated grams. These
+    are written before, so that the join has two plain shuffles, and adaptive execution can
+    split the rows of a gram that very many share. With ``by_document``, rows without an id are left out.
     """
+    if by_document:
+        rows = rows.where(F.col("doc_id").isNotNull())
     grams = rows.select("key", "fp", "text").mapInArrow(lambda it: _sampled(it, window, words, True), "h long, key long")
     if by_document:
-        found = grams.where(F.col("key") != NO_ID).groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+        found = grams.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"))
         repeated = found.where("a < b").select("h")
     else:
         repeated = grams.groupBy("h").count().where("count > 1").select("h")
     every = rows.select("key", "fp", "text").mapInArrow(lambda it: _sampled(it, window, words, False), SAMPLED)
-    if by_document:
-        every = every.where(F.col("key") != NO_ID)
-    return every.join(repeated, "h")
+    return every.join(written(repeated, "anchors-repeated"), "h")
 
 
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[list[dict]]:

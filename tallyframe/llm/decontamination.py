@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import fingerprint, quoted
+
 #: Words of a template window; shorter items are one window.
 WINDOW = 12
 #: Windows with fewer words that are no placeholders, and items with fewer words, must be equal
@@ -98,7 +100,7 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
 
     ``by_template`` says of each window whether it may be found with other values.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("words"))
+    items = benchmark.select(F.col(quoted(item_id)).alias("item_id"), F.col(quoted(text)).cast("string").alias("words"))
     items = _once(items.where(F.col("item_id").isNotNull()), "words", tokens(F.col("words")))
     items = items.where(F.size("words") > 0).dropDuplicates()
     items = items.select(
@@ -135,13 +137,14 @@ def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     An equal window always has its two; an item of one word has one.
     """
-    wanted = anchors(items)
+    # Only hashes of the words are broadcast, so the bytes follow the number of anchors.
+    wanted = anchors(items).select("variant", "length", F.xxhash64("anchor").alias("anchor"), "anchor_place")
     turns = 1 + wanted.count() // BROADCAST_ANCHORS
     words = docs.select("doc_id", "fp", F.posexplode(plain_words(F.col("text"))).alias("place", "word"))
     counted = None
     for turn in range(turns):
         own = wanted if turns == 1 else wanted.where(F.pmod(F.col("variant"), F.lit(turns)) == turn)
-        found = words.join(F.broadcast(own), F.xxhash64("word") == F.xxhash64("anchor"))
+        found = words.join(F.broadcast(own), F.xxhash64("word") == F.col("anchor"))
         found = found.groupBy("doc_id", "fp", "variant", (F.col("place") - F.col("anchor_place")).alias("distance")).agg(
             F.min("anchor_place").alias("low"), F.max("anchor_place").alias("high"), F.first("length").alias("length")
         )
@@ -199,8 +202,8 @@ def find_leaks(
     are exploded without their document; the texts are shuffled once, to the candidates.
     """
     items = benchmark_items(benchmark, item_id, item_text)
-    value = F.col(text).cast("string")
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(value).alias("fp"), value.alias("text"))
+    own, value = F.col(quoted(doc_id)).cast("long"), F.col(quoted(text)).cast("string")
+    docs = documents.select(own.alias("doc_id"), fingerprint(own, value).alias("fp"), value.alias("text"))
     candidates = _candidates(docs, items)
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.fp") == F.col("c.fp"))
     met = docs.alias("d").join(candidates.alias("c"), same).select("d.*", "c.variant", "c.distance")
@@ -250,7 +253,15 @@ def find_leaks(
 
 
 def drop_leaks(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without a leak, with all their columns."""
-    found = leaks.select(F.col("doc_id").alias("_leak_id"), F.col("fp").alias("_leak_fp")).distinct()
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_leak_id")) & (F.hash(F.col(text).cast("string")) == F.col("_leak_fp"))
-    return documents.join(found, same, "left_anti")
+    """The documents without a leak, with all their columns, which may have any names.
+
+    Rows with a null id or text, and repeated rows, are judged as any others. No rows give no rows.
+    """
+    own, value = F.col(quoted(doc_id)).cast("long"), F.col(quoted(text)).cast("string")
+    rows = documents.select(
+        F.struct(*[F.col(quoted(c)) for c in documents.columns]).alias("row"), own.alias("id"), fingerprint(own, value).alias("fp")
+    )
+    found = leaks.select(F.col("doc_id").alias("leak_id"), F.col("fp").alias("leak_fp")).distinct()
+    same = F.col("id").eqNullSafe(F.col("leak_id")) & (F.col("fp") == F.col("leak_fp"))
+    kept = rows.join(found, same, "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])

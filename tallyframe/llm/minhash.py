@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID, Hashes, keyed
+from .anchors import Hashes, keyed
 from .components import components
 from .shared import dropped, written
-from .text import BYTE_CODE, IS_SPACE, LOWER, mixed, run_hashes, texts, utf8, word_runs
+from .text import BYTE_CODE, IS_SPACE, LOWER, fingerprint, mixed, quoted, run_hashes, texts, utf8, word_runs
 
 #: A pair at the threshold of 0.75 is missed by all bands with a chance of 5 in a million.
 BANDS, ROWS = 32, 4
@@ -242,9 +242,9 @@ def near_duplicates(df: DataFrame, percent: int = 75, doc_id: str = "doc_id", te
     """
     rows = keyed(df, doc_id, text)
     signed = written(
-        rows.mapInArrow(_signed, "doc_id long, key long, fp int, " + SETS), "minhash-signed"
+        rows.mapInArrow(_signed, "doc_id long, key long, fp long, " + SETS), "minhash-signed"
     )
-    linkable = signed.where((F.col("n") > 0) & (F.col("key") != NO_ID))
+    linkable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = written(
         linkable.groupBy("cid").agg(
             F.min(F.struct("key", "fp")).alias("first"), F.first("bands").alias("bands")
@@ -300,12 +300,18 @@ def keep_one(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str
 
     It is the row with the smallest id, and of rows that share the id the one with the
     smallest hash of its text. Rows with a null id or without words are linked with nothing, and stay.
+    Repeated rows are one row. Columns may have any names. No rows give no rows.
     """
-    value = F.col(text).cast("string")
-    linkable = F.col(doc_id).isNotNull() & F.coalesce(value.rlike("[^\\x09-\\x0d\\x20]"), F.lit(False))
-    kept = marked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("row"))
-    kept = kept.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.fp").alias("_kept_fp"))
-    named = df.where(linkable).withColumn("_fp", F.hash(value))
-    same = (F.col(doc_id).cast("long") == F.col("_kept_id")) & (F.col("_fp") == F.col("_kept_fp"))
-    one = named.join(kept, same, "left_semi").dropDuplicates([doc_id, "_fp"]).select(*df.columns)
-    return one.unionByName(df.where(~linkable))
+    own, value = F.col(quoted(doc_id)).cast("long"), F.col(quoted(text)).cast("string")
+    linkable = own.isNotNull() & F.coalesce(value.rlike("[^\\x09-\\x0d\\x20]"), F.lit(False))
+    kept = marked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("best"))
+    # The columns given go in one struct, so that they clash with no name used here.
+    rows = df.select(
+        F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"),
+        own.alias("id"),
+        fingerprint(own, value).alias("fp"),
+        linkable.alias("linkable"),
+    )
+    same = (F.col("id") == F.col("best.doc_id")) & (F.col("fp") == F.col("best.fp"))
+    one = rows.where("linkable").join(kept.select("best"), same, "left_semi").dropDuplicates(["id", "fp"])
+    return one.unionByName(rows.where("NOT linkable")).select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ from .text import BYTE_CODE
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 #: A document that has open windows is carried on with its text; the others are finished.
-CARRIED = RESULT + ", key long, fp int, text binary, open array<struct<s:int,n:int,w:int>>, hits array<struct<s:int,n:int>>"
+CARRIED = RESULT + ", row long, text binary, open array<struct<s:int,n:int,w:int>>, hits array<struct<s:int,n:int>>"
+_RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
+_RESULT += [("kept", pa.binary()), ("kept_sha256", pa.string())]
 
 
 def _finish(text: bytes, hits: list[tuple[int, int]], window: int, keep: bool) -> tuple:
@@ -30,14 +33,19 @@ def _windows(found: list | None) -> list[tuple[int, int]]:
     return [(x["s"], x["n"]) for x in found or ()]
 
 
+def _task() -> int:
+    task = TaskContext.get()
+    return task.partitionId() if task else 0
+
+
 def _divided(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    """Finish the documents without open windows; pass the others on."""
+    """Finish the documents without open windows; number the others and pass them on."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
-        + [("kept", pa.binary()), ("kept_sha256", pa.string()), ("key", pa.int64()), ("fp", pa.int32()), ("text", pa.binary())]
+        [*_RESULT, ("row", pa.int64()), ("text", pa.binary())]
         + [("open", pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("w", pa.int32())])))]
         + [("hits", pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))]
     )
+    number = _task() << 32
     for some in in_parts(batches):
         out = []
         for row in some:
@@ -45,10 +53,10 @@ def _divided(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iter
             found = row["found"] or ()
             hits = [x for x in found if x["w"] != 1]
             undecided = [x for x in found if x["w"]]
-            base = dict.fromkeys(schema.names)
-            base |= {"doc_id": row["doc_id"], "key": row["key"], "fp": row["fp"]}
+            base = dict.fromkeys(schema.names) | {"doc_id": row["doc_id"]}
             if undecided:
-                base |= {"text": text, "open": undecided, "hits": [{"s": x["s"], "n": x["n"]} for x in hits]}
+                number += 1
+                base |= {"row": number, "text": text, "open": undecided, "hits": [{"s": x["s"], "n": x["n"]} for x in hits]}
             else:
                 done = _finish(text, _windows(hits), window, keep)
                 base |= dict(zip(("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"), done, strict=True))
@@ -76,44 +84,176 @@ def _narrowed(batches: Iterator[pa.RecordBatch], window: int, length: int) -> It
                 out.append((gram[low:high], hashes.of(begin, end - 1 + window), begin, end - begin, np.full(high - low, w)))
             h, seg, begin, n, w = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h.view(np.int64)),
-                    pa.array(seg.view(np.int64)),
-                    pa.array(np.full(len(h), row["key"])),
-                    pa.array(np.full(len(h), row["fp"], np.int32)),
-                    *(pa.array(x.astype(np.int32)) for x in (begin, n, w)),
-                ],
-                names=["h", "seg", "key", "fp", "s", "n", "w"],
+                [pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(np.full(len(h), row["row"]))]
+                + [pa.array(x.astype(np.int32)) for x in (begin, n, w)],
+                names=["h", "seg", "row", "s", "n", "w"],
             )
 
 
-def _paired(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Each open position with the ranks of its first half and of the half that follows."""
-    half = window // 2
+PLACES = "row long, s int, a long, b long, w int, o int"
+
+
+def _table(row: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
+    columns = [row, s.astype(np.int32), a.astype(np.int64), b.astype(np.int64), w.astype(np.int32), o.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "s", "a", "b", "w", "o"])
+
+
+def _first_places(batches: Iterator[pa.RecordBatch], window: int, length: int) -> Iterator[pa.RecordBatch]:
+    """The places that open windows are made of, each with a name of the ``length`` bytes there.
+
+    ``o`` is the weight of the window that starts at a place, 0 if none does; ``w`` is the
+    largest weight of the windows that the place is part of.
+    """
     for some in in_parts(batches):
         for row in some:
             hashes = Hashes(BYTE_CODE[np.frombuffer(row["text"], np.uint8)])
-            at = [np.arange(s, s + n) for s, n, _ in _ranges(row["open"])]
-            weight = [np.full(n, w, np.int32) for _, n, w in _ranges(row["open"])]
-            s, w = np.concatenate(at), np.concatenate(weight)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hashes.of(s, s + half).view(np.int64)),
-                    pa.array(hashes.of(s + half, s + window).view(np.int64)),
-                    pa.array(np.full(len(s), row["key"])),
-                    pa.array(np.full(len(s), row["fp"], np.int32)),
-                    pa.array(s.astype(np.int32)),
-                    pa.array(w),
-                ],
-                names=["rank", "next", "key", "fp", "s", "w"],
-            )
+            weight = np.zeros(len(row["text"]) + 1, np.int32)
+            for s, n, w in _ranges(row["open"]):
+                weight[s : s + n] = np.maximum(weight[s : s + n], w)
+            own = weight.copy()
+            for k in range(length, window, length):
+                own[k:] = np.maximum(own[k:], weight[:-k])
+            s = np.flatnonzero(own)
+            names = hashes.of(s, s + length).view(np.int64)
+            yield _table(np.full(len(s), row["row"]), s, names, np.zeros(len(s)), own[s], weight[s])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks in a sorted partition: how many different strings stand before, and whether a string stands alone.
+
+    The last row tells the partition's number of strings, and its first and last string.
+    """
+    part, strings, begin = _task(), 0, None
+    carry = None  # the last row, whose successor is not known yet
+    names = ["part", "row", "s", "w", "o", "rank", "alone", "a", "b", "z_a", "z_b"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+
+    def sent(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def rows(x: dict, rank: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
+        n = len(rank)
+        empty = pa.nulls(n, pa.int64())
+        return sent([np.full(n, part, np.int32), x["row"], x["s"], x["w"], x["o"], rank, alone, empty, empty, empty, empty])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "s", "a", "b", "w", "o")}
+        if carry is not None:
+            x = {c: np.concatenate([carry[0][c], v]) for c, v in x.items()}
+        n = len(x["a"])
+        new = np.ones(n + 1, dtype=bool)
+        new[1:n] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
+        if carry is not None:
+            new[0] = carry[1]
+        else:
+            begin = int(x["a"][0]), int(x["b"][0])
+        rank = np.cumsum(new[:n]) - int(new[0]) + (0 if carry is None else carry[2])
+        alone = new[:n] & new[1:] & (x["w"] == 1)
+        strings = int(rank[-1]) + 1
+        if n > 1:
+            yield rows({c: v[: n - 1] for c, v in x.items()}, rank[: n - 1], alone[: n - 1])
+        carry = {c: v[n - 1 :] for c, v in x.items()}, bool(new[n - 1]), int(rank[-1])
+    if carry is not None:
+        x, new, rank = carry
+        yield rows(x, np.array([rank]), np.array([new]) & (x["w"] == 1))
+        yield sent([[part], [-1], [0], [0], [0], [strings], [False], [begin[0]], [begin[1]], x["a"], x["b"]])
+
+
+def ranked(places: DataFrame, name: str) -> DataFrame:
+    """(row, s, w, o, rank, alone): each place's rank among all strings (a, b), and whether no other place has its string.
+
+    The places are sorted by ranges, so that a range may end within the places of one string; each
+    range counts its strings, and the ranges' counts, one row for each, tell what to add to its ranks.
+    """
+    order = ("a", "b", "row", "s")
+    kinds = "part int, row long, s int, w int, o int, rank long, alone boolean, a long, b long, z_a long, z_b long"
+    local = places.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, kinds)
+    local = written(local, name)
+    ends = sorted(local.where("row = -1").select("part", "rank", "a", "b", "z_a", "z_b").collect())
+    moves, before = [], 0
+    for k, end in enumerate(ends):
+        joined = k > 0 and ends[k - 1][4:] == end[2:4]
+        before -= joined
+        goes_on = k + 1 < len(ends) and ends[k + 1][2:4] == end[4:]
+        moves.append((end.part, before, joined, end.rank - 1 if goes_on else -1))
+        before += end.rank
+    moves = places.sparkSession.createDataFrame(moves, "part int, before long, joined boolean, last long")
+    alone = F.col("alone") & ~(F.col("joined") & (F.col("rank") == 0)) & (F.col("rank") != F.col("last"))
+    # As many rows as there are ranges.
+    known = local.where("row != -1").join(F.broadcast(moves), "part")
+    return known.select("row", "s", "w", "o", (F.col("rank") + F.col("before")).alias("rank"), alone.alias("alone"))
+
+
+def _by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted batches cut where a document ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row = batch.column("row").to_numpy()
+        cut = int(np.searchsorted(row, row[-1], side="left"))
+        if held and held[-1].column("row")[-1].as_py() != row[0]:
+            yield _columns(held)
+            held = []
+        if cut:
+            yield _columns([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _columns(held)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def _doubled(batches: Iterator[pa.RecordBatch], window: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of the ranks of a place and of the place ``length`` bytes on, for strings twice as long.
+
+    Windows of which a place stands alone leave, and the places that only they needed.
+    """
+    for x in _by_rows(batches):
+        _, number = np.unique(x["row"], return_inverse=True)
+        at = (number.astype(np.int64) << 32) | x["s"]
+        starts = np.flatnonzero(x["o"] > 0)
+        open_ = np.ones(len(starts), dtype=bool)
+        for k in range(0, window, length):
+            open_ &= ~x["alone"][np.searchsorted(at, at[starts] + k)]
+        starts = starts[open_]
+        if not len(starts):
+            continue
+        wanted = np.unique(np.concatenate([at[starts] + k for k in range(0, window, 2 * length)]))
+        here, on = np.searchsorted(at, wanted), np.searchsorted(at, wanted + length)
+        own = np.zeros(len(at), np.int32)
+        own[starts] = x["o"][starts]
+        weight = own[here] if 2 * length == window else x["w"][here]
+        yield _table(x["row"][here], x["s"][here], x["rank"][here], x["rank"][on], weight, own[here])
+
+
+def repeated_windows(pending: DataFrame, window: int) -> DataFrame:
+    """The open windows whose strings start elsewhere, too: (row, s), by prefix doubling.
+
+    Places are ranked by a quarter of the length, then by the pairs of the ranks of their two
+    halves, which is twice the length, and so on to the whole. After each round windows leave
+    that have a place of which there is no second; weight 2 stands for a window that is known to repeat.
+    """
+    length = window // 4
+    first = pending.select("row", "text", "open").mapInArrow(lambda it: _first_places(it, window, length), PLACES)
+    ranks = ranked(first, f"array-rank-{length}")
+    while length < window:
+        sorted_rows = ranks.repartition("row").sortWithinPartitions("row", "s")
+        pairs = sorted_rows.mapInArrow(lambda it, n=length: _doubled(it, window, n), PLACES)
+        before, length = ranks, 2 * length
+        ranks = ranked(pairs, f"array-rank-{length}")
+        dropped(before)
+    return ranks.where("NOT alone").select("row", "s", "o")
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())]
-        + [("kept", pa.binary()), ("kept_sha256", pa.string())]
-    )
+    schema = pa.schema(_RESULT)
     for some in in_parts(batches):
         out = []
         for row in some:
@@ -122,31 +262,26 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iter
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def _judged(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, *row: str) -> DataFrame:
     """Stretches of repeated grams: repeated whole (w = 0 or 2), or to be looked at (w = 1).
 
     ``weight`` is what a stretch counts: 2 if its windows are known to repeat. Of a
     stretch that repeats, one is looked at again (w = 2) if other stretches share its
     gram, because their windows may be its windows.
     """
-    place = F.xxhash64("key", "fp", "s")
-    first = F.min(place)
-    segs = rows.groupBy("h", "seg").agg(F.sum("weight").alias("n_seg"), first.alias("first"))
+    place = F.xxhash64(*row, "s")
+    segs = rows.groupBy("h", "seg").agg(F.sum("weight").alias("n_seg"), F.min(place).alias("first"))
     grams = segs.groupBy("h").agg(F.sum("n_seg").alias("n_h"), F.min("n_seg").alias("least"))
-    # Written, so that the join below has two plain shuffles, whose large partitions Spark can split.
-    known = segs.join(written(grams.where("n_h > 1").drop("n_h"), "array-grams"), "h")
-    return rows.join(known, ["h", "seg"]).select(
-        "key",
-        "fp",
-        "s",
-        "n",
-        F.when(F.col("n_seg") == 1, F.lit(1)).when((F.col("least") == 1) & (place == F.col("first")), F.lit(2)).otherwise(F.lit(0)).alias("w"),
-    )
+    # Written, so that each join has two plain shuffles, whose large partitions Spark can split.
+    grams = written(grams.where("n_h > 1").drop("n_h"), "array-grams")
+    known = written(segs.join(grams, "h"), "array-known")
+    weight = F.when(F.col("n_seg") == 1, F.lit(1)).when((F.col("least") == 1) & (place == F.col("first")), F.lit(2))
+    return rows.join(known, ["h", "seg"]).select(*row, "s", "n", weight.otherwise(F.lit(0)).alias("w"))
 
 
-def _lists(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+def _lists(rows: DataFrame, name: str, row: list[str], *columns: str) -> DataFrame:
     """What was found of each document; its length is bounded by the document's."""
-    return rows.groupBy("key", "fp").agg(F.collect_set(F.struct(*columns)).alias(name))
+    return rows.groupBy(*row).agg(F.collect_set(F.struct(*columns)).alias(name))
 
 
 def remove_repeats(
@@ -154,52 +289,44 @@ def remove_repeats(
 ) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that starts anywhere else, too.
 
-    Positions are ranked over growing lengths, and leave as soon as their rank is unique:
-    first sampled positions by half the length, then by three quarters, and the rest by
-    the whole length, which is the pair of the ranks of its halves. A rank is a 64-bit hash
-    that names a string, so it needs no numbering; Spark sorts and counts the ranks.
-    Sampled positions stand for stretches of positions (see ``anchors``), and stretches
-    that repeat whole are settled without ranking each of their positions, which is what
-    becomes of large groups of copies.
+    Positions that cannot repeat are left out by sampled positions (see ``anchors``), whose grams of half
+    the length and then of three quarters must repeat; sampled positions stand for stretches, and
+    stretches that repeat whole are settled, which is what becomes of large groups of copies. The
+    windows that are left are ranked by prefix doubling (:func:`repeated_windows`): Spark sorts
+    pairs of ranks at growing offsets, and reranks until positions are unique or the length is reached.
 
     Result: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, the remaining bytes ``kept`` (null
     if not ``keep_text``) and their SHA-256. A null text is empty. Rows with a null id take part
     as any others. Repeated rows are strings that start elsewhere. Strings never cross
-    rows. No rows give no rows. Only the two named columns are read.
+    rows. No rows give no rows. Only the two named columns are read. A text of 2^28 bytes or more is an error.
     """
     if length % 4:
         raise ValueError("length must be a multiple of four")
     rows = keyed(df, doc_id, text)
     sampled = written(repeated_stretches(rows, length, False, False).withColumn("weight", F.lit(1)), "array-sampled")
-    found = _lists(_judged(sampled), "found", "s", "n", "w")
+    found = _lists(_judged(sampled, "key", "fp"), "found", ["key", "fp"], "s", "n", "w")
     divided = written(
         rows.join(found, ["key", "fp"], "left")
-        .select("doc_id", "key", "fp", "text", "found")
+        .select("doc_id", "text", "found")
         .mapInArrow(lambda it: _divided(it, length, keep_text), CARRIED),
         "array-divided",
     )
     dropped(sampled)
-    pending = divided.where("text IS NOT NULL")
-    names = "h long, seg long, key long, fp int, s int, n int, w int"
-    narrowed = pending.select("key", "fp", "text", "open").mapInArrow(lambda it: _narrowed(it, length, length * 3 // 4), names)
+    pending = divided.where("row IS NOT NULL")
+    names = "h long, seg long, row long, s int, n int, w int"
+    narrowed = pending.select("row", "text", "open").mapInArrow(lambda it: _narrowed(it, length, length * 3 // 4), names)
     narrowed = written(narrowed.withColumn("weight", F.col("w")), "array-narrowed")
-    judged = written(_judged(narrowed), "array-judged")
+    judged = written(_judged(narrowed, "row"), "array-judged")
     dropped(narrowed)
-    rest = _lists(judged.where("w > 0"), "open", "s", "n", "w")
-    pairs = (
-        pending.select("key", "fp", "text")
-        .join(rest, ["key", "fp"])
-        .mapInArrow(lambda it: _paired(it, length), "rank long, next long, key long, fp int, s int, w int")
-    )
-    pairs = written(pairs, "array-pairs")
-    repeated = pairs.groupBy("rank", "next").agg(F.sum("w").alias("count")).where("count > 1").select("rank", "next")
-    single = pairs.where("w = 1").join(repeated, ["rank", "next"], "left_semi").select("key", "fp", "s", F.lit(1).alias("n"))
-    settled = judged.where("w != 1").select("key", "fp", "s", "n")
-    more = _lists(settled.unionByName(single), "more", "s", "n")
+    rest = _lists(judged.where("w > 0"), "open", ["row"], "s", "n", "w")
+    single = repeated_windows(pending.select("row", "text").join(rest, "row"), length)
+    single = single.where("o = 1").select("row", "s", F.lit(1).alias("n"))
+    settled = judged.where("w != 1").select("row", "s", "n")
+    more = _lists(settled.unionByName(single), "more", ["row"], "s", "n")
     finished = (
-        pending.join(more, ["key", "fp"], "left")
+        pending.join(more, "row", "left")
         .select("doc_id", "text", "hits", "more")
         .mapInArrow(lambda it: _removed(it, length, keep_text), RESULT)
     )
-    done = divided.where("text IS NULL").select(*finished.columns)
+    done = divided.where("row IS NULL").select(*finished.columns)
     return done.unionByName(finished)

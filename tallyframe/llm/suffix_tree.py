@@ -11,59 +11,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import covered, in_parts, keyed, repeated_stretches, symbols
+from .anchors import Hashes, covered, in_parts, keyed, repeated_stretches
 from .shared import dropped, written
+from .text import BYTE_CODE, fingerprint, quoted, run_hashes
 
-#: Blocks that a suffix of ``length`` words is read in; a prefix is a number of blocks.
+#: Blocks that a suffix of ``length`` words is read in where a prefix is made longer.
 BLOCKS = 5
 #: Suffixes with a common prefix that are put into memory; groups with more get a longer prefix.
 SUBTREE_ROWS = 50_000
-RESULT = "doc_id long, fp int, n_words long, n_removed long, kept string, kept_sha256 string"
-CARRIED = RESULT + ", key long, text string, open array<struct<s:int,n:int,w:int>>, hits array<struct<s:int,n:int>>"
-_DONE = [("doc_id", pa.int64()), ("fp", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())]
-_PLACES = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())]))
-
-
-def _finish(text: str, hits: list[dict], window: int, keep: bool) -> tuple:
-    words = text.encode().split()
-    gone = covered(len(words), [(x["s"], x["n"]) for x in hits], window)
-    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if hits else words)
-    return len(words), int(gone.sum()), kept.decode("utf-8", "replace") if keep else None, hashlib.sha256(kept).hexdigest()
-
+RESULT = "doc_id long, fp long, n_words long, n_removed long, kept string, kept_sha256 string"
+_DONE = [("doc_id", pa.int64()), ("fp", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())]
+RESULT_NAMES = [name for name, _ in _DONE]
 
-def _divided(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    """Finish the documents without open windows; pass the others on."""
-    opened = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("w", pa.int32())]))
-    schema = pa.schema(
-        [*_DONE, ("key", pa.int64()), ("text", pa.string()), ("open", opened), ("hits", _PLACES)]
-    )
-    for some in in_parts(batches):
-        out = []
-        for row in some:
-            text, found = row["text"] or "", row["found"] or ()
-            hits = [{"s": x["s"], "n": x["n"]} for x in found if x["w"] == 0]
-            undecided = [x for x in found if x["w"]]
-            base = dict.fromkeys(schema.names) | {k: row[k] for k in ("doc_id", "key", "fp")}
-            if undecided:
-                base |= {"text": text, "open": undecided, "hits": hits}
-            else:
-                base |= dict(zip(schema.names[2:6], _finish(text, hits, window, keep), strict=True))
-            out.append(base)
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
+def maximal_repeats(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, shortest: int):
+    """The internal nodes of a suffix tree that are at least ``shortest`` symbols deep, and maximal to the left.
 
-def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The open suffixes: a hash of each of their blocks, up to the window's length."""
-    size = window // BLOCKS
-    names = [*(f"b{k}" for k in range(BLOCKS)), "key", "fp", "s"]
-    for some in in_parts(batches):
-        for row in some:
-            raw = np.frombuffer(row["text"].encode(), np.uint8)
-            hashes, _ = symbols(raw, np.array([0, len(raw)]), True)
-            s = np.unique(np.concatenate([np.arange(x["s"], x["s"] + x["n"]) for x in row["open"]]))
-            blocks = [hashes.of(s + k * size, s + (k + 1) * size).view(np.int64) for k in range(BLOCKS)]
-            own = [np.full(len(s), row["key"]), np.full(len(s), row["fp"], np.int32), s.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*blocks, *own)], names=names)
+    The suffixes ``codes[starts:ends]`` are sorted; the common prefixes of neighbours make the tree: a node of depth
+    d is a largest run of neighbours that share d symbols, and two of them no more. A node whose suffixes all come
+    after the same symbol is part of a longer repeat and is left out. A suffix that begins its string
+    (``starts`` as before it, another ``ends``) comes after no symbol. Yields (depth, suffixes, node of each).
+    """
+    deepest = int((ends - starts).max()) if len(starts) else 0
+    if deepest < shortest:
+        return
+    at = starts[:, None] + np.arange(deepest)
+    inside = at < ends[:, None]
+    table = np.where(inside, codes[np.minimum(at, len(codes) - 1)] + 1, 0).astype(">u4")
+    order = np.argsort(np.ascontiguousarray(table).view(f"S{4 * deepest}").ravel(), kind="stable")
+    table = table[order]
+    same = (table[1:] == table[:-1]) & (table[1:] > 0)
+    common = np.where(same.all(axis=1), deepest, same.argmin(axis=1))
+    first = np.concatenate([[True], ends[1:] != ends[:-1]])  # of its string
+    before = np.where(first, -1 - np.arange(len(starts)), codes[starts - 1])[order]
+    for depth in range(shortest, deepest + 1):
+        joined = common >= depth
+        if not joined.any():
+            return
+        run = np.concatenate([[0], np.cumsum(~joined)])
+        begin = np.flatnonzero(np.concatenate([[True], ~joined]))
+        exact = np.zeros(len(begin), dtype=bool)
+        exact[run[1:][common == depth]] = True
+        diverse = np.minimum.reduceat(before, begin) != np.maximum.reduceat(before, begin)
+        member = (exact & diverse)[run]
+        if member.any():
+            yield depth, order[member], run[member]
+
+
+def earlier_windows(strings: list[list[bytes]], keys: np.ndarray, shortest: int) -> np.ndarray:
+    """Which windows of ``shortest`` words of the strings are also in a string with a smaller key, one after another."""
+    number: dict[bytes, int] = {}
+    codes = np.array([number.setdefault(w, len(number)) for words in strings for w in words], np.int64)
+    size = np.array([len(words) for words in strings], np.int64)
+    windows = size - shortest + 1
+    string = np.repeat(np.arange(len(strings)), windows)
+    own = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    end = np.cumsum(size)
+    starts, ends = (end - size)[string] + own, end[string]
+    key = keys[string]
+    edge = np.zeros(len(string) + 1, np.int64)
+    for depth, suffix, node in maximal_repeats(codes, starts, ends, shortest):
+        _, node = np.unique(node, return_inverse=True)
+        least = np.full(node.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, key[suffix])
+        hit = suffix[key[suffix] > least[node]]  # the whole stretch from here on is in an earlier string
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + depth - shortest + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def subtree_repeats(blocks: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -113,7 +127,7 @@ def grow_subtrees(suffixes: DataFrame, rows: int = SUBTREE_ROWS) -> DataFrame:
         fits = sizes.where((F.col("size") <= rows) & (F.col("least") < F.col("most"))).select(*prefix)
         buckets = 1 + left.count() // rows
         group = left.join(fits, prefix, "left_semi").withColumn("bucket", F.pmod(F.xxhash64(*prefix), F.lit(buckets)))
-        out.append(group.groupBy("bucket").applyInPandas(_grown, "key long, fp int, s int"))
+        out.append(group.groupBy("bucket").applyInPandas(_grown, "key long, fp long, s int"))
         large = sizes.where((F.col("size") > rows) & (F.col("least") < F.col("most"))).select(*prefix)
         left = written(left.join(large, prefix, "left_semi"), "tree-large")
         if left.isEmpty():
@@ -128,100 +142,165 @@ def grow_subtrees(suffixes: DataFrame, rows: int = SUBTREE_ROWS) -> DataFrame:
     return found
 
 
-def _judged(rows: DataFrame) -> DataFrame:
-    """Stretches that start in a smaller document as a whole (w = 0), and those to be looked at.
+PIECES = "h long, seg long, least long, size long, n int, text binary"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The words of the stretches that a document stands for."""
+    names = ["h", "seg", "least", "size", "n", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for some in in_parts(batches):
+        for row in some:
+            words = row["text"].encode().split()
+            found = row["found"]
+            text = [b" ".join(words[x["s"] : x["s"] + x["n"] - 1 + window]) for x in found]
+            columns = [[x[c] for x in found] for c in names[:5]] + [text]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _tree(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """The windows of each string that an earlier string has, as runs; the strings are those of whole groups."""
+    strings = [bytes(t).split(b" ") for t in pdf["text"]]
+    hit = earlier_windows(strings, pdf["least"].to_numpy(np.int64), window)
+    n = pdf["n"].to_numpy(np.int64)
+    string = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (string[1:] != string[:-1])])) if len(hit) else np.zeros(0, int)
+    last = np.flatnonzero(hit & np.concatenate([~hit[1:] | (string[1:] != string[:-1]), [True]])) if len(hit) else begin
+    seg = pdf["seg"].to_numpy(np.int64)[string[begin]]
+    return pd.DataFrame({"seg": seg, "from": place[begin].astype(np.int32), "n": (last - begin + 1).astype(np.int32)})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The suffixes of strings, as a hash of each of their blocks, up to the window's length."""
+    size = window // BLOCKS
+    names = [*(f"b{k}" for k in range(BLOCKS)), "key", "fp", "s"]
+    for some in in_parts(batches):
+        for row in some:
+            raw = np.frombuffer(row["text"] + b" ", np.uint8)
+            ends = np.flatnonzero(raw == 0x20)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            hashes = Hashes(run_hashes(BYTE_CODE[raw], starts, ends))
+            s = np.arange(row["n"])
+            blocks = [hashes.of(s + k * size, s + (k + 1) * size).view(np.int64) for k in range(BLOCKS)]
+            own = [np.full(len(s), row["least"]), np.full(len(s), row["seg"]), s.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*blocks, *own)], names=names)
+
+
+def earlier_stretches(pieces: DataFrame, window: int, rows: int = SUBTREE_ROWS) -> DataFrame:
+    """(seg, from, n): runs of windows of the strings that also stand in a string with a smaller key.
 
-    Only stretches of the smallest document that has them are left; they are looked at if
-    another stretch of the same gram lies in a smaller document (w = 1), or as what the
-    others may repeat (w = 2).
+    Strings are grouped by the gram that their anchors begin with, the prefix that these suffixes share;
+    equal windows are in one group. Groups of up to ``rows`` suffixes are dealt to buckets that fit in memory, and
+    a suffix tree over each bucket's strings gives the repeats. Larger groups get longer prefixes
+    (:func:`grow_subtrees`).
     """
-    segs = rows.groupBy("h", "seg").agg(F.min("key").alias("least"))
-    grams = segs.groupBy("h").agg(F.min("least").alias("h_least"), F.max("least").alias("h_most"))
-    # Written, so that the join below has two plain shuffles, whose large partitions Spark can split.
-    known = segs.join(written(grams, "tree-grams"), "h")
-    judged = rows.join(known, ["h", "seg"]).withColumn(
-        "w",
-        F.when(F.col("key") > F.col("least"), F.lit(0))
-        .when(F.col("h_least") < F.col("key"), F.lit(1))
-        .when(F.col("h_least") < F.col("h_most"), F.lit(2)),
-    )
-    return judged.where("w IS NOT NULL").select("key", "fp", "s", "n", "w")
+    small, large = pieces.where(F.col("size") <= rows), pieces.where(F.col("size") > rows)
+    buckets = 1 + (small.agg(F.sum("n")).first()[0] or 0) // rows
+    dealt = small.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).select("bucket", "seg", "least", "n", "text")
+    found = dealt.groupBy("bucket").applyInPandas(lambda pdf: _tree(pdf, window), "seg long, from int, n int")
+    if large.isEmpty():
+        return found
+    schema = ", ".join([*(f"b{k} long" for k in range(BLOCKS)), "key long, fp long, s int"])
+    suffixes = written(large.select("seg", "least", "n", "text").mapInArrow(lambda it: _blocks(it, window), schema), "tree-suffixes")
+    more = grow_subtrees(suffixes, rows).select(F.col("fp").alias("seg"), F.col("s").alias("from"), F.lit(1).alias("n"))
+    return found.unionByName(more)
+
+
+def _finished(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(_DONE)
+    for some in in_parts(batches):
+        out = []
+        for row in some:
+            words = (row["text"] or "").encode().split()
+            hits = [(x["s"], x["n"]) for x in row["found"] or ()]
+            gone = covered(len(words), hits, window).tolist()
+            kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g] if hits else words)
+            text = kept.decode("utf-8", "replace") if keep else None
+            done = (row["doc_id"], row["fp"], len(words), sum(gone), text, hashlib.sha256(kept).hexdigest())
+            out.append(dict(zip(RESULT_NAMES, done, strict=True)))
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def remove_passages(
-    df: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True
+    df: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True, rows: int = SUBTREE_ROWS
 ) -> DataFrame:
     """Remove each word covered by ``length`` words that also start in a document with a smaller id.
 
     Words are runs of bytes other than blank, tab, line feed, vertical tab, form feed and
-    carriage return, unchanged. A suffix is the word sequence from any place on, as far
-    as ``length`` words. Suffixes whose anchor (see ``anchors``) occurs in one document only
-    cannot repeat and are left out, as are stretches of suffixes that repeat as a whole.
-    The others are grouped by prefixes of as many blocks as it takes for a group to fit in
-    memory, and a suffix tree over each group finds the repeats (:func:`grow_subtrees`).
+    carriage return, unchanged. Windows whose anchor (see ``anchors``) occurs in one document only
+    cannot repeat and are left out. Stretches of windows with one anchor that are equal word for word are one string, which
+    belongs to the smallest of its documents; the others lose it. The strings are grouped by the words at their
+    anchors, the prefix of a suffix of each, and by longer prefixes where a group does not fit in memory;
+    a suffix tree over each group gives the maximal repeats of ``length`` words and more, which say what
+    the smallest documents lose to smaller ones (:func:`earlier_stretches`).
 
     Result: ``doc_id``, ``fp`` (a hash of the text), ``n_words``, ``n_removed``, the kept words joined by blanks ``kept`` (null
     if not ``keep_text``) and their SHA-256. A null text has no words. A row with a null id
     keeps all its words and is no source, because it has no place in the order; rows of
     the same id are one document. No rows give no rows. Only the two named columns are read.
+    A text of 2^28 words or more is an error.
     """
     if length % BLOCKS:
         raise ValueError(f"length must be a multiple of {BLOCKS}")
-    rows = keyed(df, doc_id, text)
-    sampled = written(repeated_stretches(rows, length, True, True), "tree-sampled")
-    found = _judged(sampled).groupBy("key", "fp").agg(F.collect_set(F.struct("s", "n", "w")).alias("found"))
-    divided = written(
-        rows.join(found, ["key", "fp"], "left")
-        .select("doc_id", "key", "fp", "text", "found")
-        .mapInArrow(lambda it: _divided(it, length, keep_text), CARRIED),
-        "tree-divided",
+    given = keyed(df, doc_id, text)
+    sampled = written(repeated_stretches(given, length, True, True), "tree-sampled")
+    segs = sampled.groupBy("h", "seg").agg(F.min("key").alias("least"), F.min(F.struct("key", "fp", "s", "n")).alias("one"))
+    segs = written(segs, "tree-segs")
+    grams = segs.groupBy("h").agg(F.min("least").alias("low"), F.max("least").alias("high"), F.sum("one.n").alias("size"))
+    grams = written(grams.where("low < high").select("h", "size"), "tree-grams")
+    standing = segs.join(grams, "h").select("one.key", "one.fp", F.struct("h", "seg", "least", "size", "one.s", "one.n").alias("x"))
+    standing = standing.groupBy("key", "fp").agg(F.collect_list("x").alias("found"))
+    pieces = (
+        given.where(F.col("doc_id").isNotNull())
+        .select("key", "fp", "text")
+        .dropDuplicates(["key", "fp"])
+        .join(standing, ["key", "fp"])
+        .select("text", "found")
+        .mapInArrow(lambda it: _pieces(it, length), PIECES)
     )
+    pieces = written(pieces, "tree-pieces")
+    runs = earlier_stretches(pieces, length, rows).withColumnsRenamed({"seg": "of", "n": "count"})
+    known = segs.select("h", "seg", "least")
+    members = written(sampled.join(known, ["h", "seg"]).select("key", "fp", "s", "n", "seg", (F.col("key") > F.col("least")).alias("later")), "tree-members")
     dropped(sampled)
-    pending = divided.where("text IS NOT NULL")
-    schema = ", ".join([*(f"b{k} long" for k in range(BLOCKS)), "key long", "fp int", "s int"])
-    suffixes = written(
-        pending.select("key", "fp", "text", "open").mapInArrow(lambda it: _suffixes(it, length), schema), "tree-suffixes"
+    first = members.where("NOT later").join(runs, F.col("seg") == F.col("of"))
+    hits = members.where("later").select("key", "fp", "s", "n").unionByName(
+        first.select("key", "fp", (F.col("s") + F.col("from")).alias("s"), F.col("count").alias("n"))
+    )
+    found = hits.groupBy("key", "fp").agg(F.collect_set(F.struct("s", "n")).alias("found"))
+    return (
+        given.join(found, ["key", "fp"], "left")
+        .select("doc_id", "fp", "text", "found")
+        .mapInArrow(lambda it: _finished(it, length, keep_text), RESULT)
     )
-    hits = grow_subtrees(suffixes).groupBy("key", "fp").agg(F.collect_set("s").alias("more"))
-
-    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in in_parts(batches):
-            out = [
-                (r["doc_id"], r["fp"], *_finish(r["text"], r["hits"] + [{"s": s, "n": 1} for s in r["more"] or ()], length, keep_text))
-                for r in some
-            ]
-            yield pa.RecordBatch.from_pylist([dict(zip(RESULT_NAMES, x, strict=True)) for x in out], schema=pa.schema(_DONE))
-
-    finished = pending.join(hits, ["key", "fp"], "left").select("doc_id", "fp", "text", "hits", "more").mapInArrow(removed, RESULT)
-    return divided.where("text IS NULL").select(*RESULT_NAMES).unionByName(finished)
-
-
-RESULT_NAMES = [name for name, _ in _DONE]
 
 
 def cut_passages(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, with all their columns, without what :func:`remove_passages` removes.
 
-    A text that loses nothing stays as it is; of the others the kept words are joined by
+    A text that loses nothing stays as it is, as does that of a row with a null id; of the others the kept words are joined by
     blanks. Rows of which nothing is left are dropped, unless they had no words before. An
-    ``n_chars`` column follows the new text.
+    ``n_chars`` column follows the new text. Repeated rows are cut each. Columns may have any names. No rows give no rows.
     """
-    value = F.col(text).cast("string")
-    cut = remove_passages(df, length, doc_id, text)
+    own, value = F.col(quoted(doc_id)).cast("long"), F.col(quoted(text)).cast("string")
+    rows = df.select(
+        F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"),
+        own.alias("id"),
+        fingerprint(own, value).alias("fp"),
+    )
     # Rows without removed words are not joined: only the others' new texts are.
-    names = {"doc_id": "_cut_id", "fp": "_cut_fp", "kept": "_cut_text", "n_words": "_cut_words", "n_removed": "_cut_removed"}
-    changed = written(cut.where("n_removed > 0").select(*names).withColumnsRenamed(names), "tree-cut")
-    changed = changed.dropDuplicates(["_cut_id", "_cut_fp"])
-    same = (F.col(doc_id).cast("long") == F.col("_cut_id")) & (F.hash(value) == F.col("_cut_fp"))
-    joined = df.join(changed, same, "left").where("_cut_removed IS NULL OR _cut_removed < _cut_words")
-    new = F.coalesce(F.col("_cut_text"), value)
+    cut = remove_passages(df, length, doc_id, text).where("n_removed > 0").dropDuplicates(["doc_id", "fp"])
+    cut = written(cut.select(F.col("doc_id").alias("cut_id"), F.col("fp").alias("cut_fp"), "kept", "n_words", "n_removed"), "tree-cut")
+    same = (F.col("id") == F.col("cut_id")) & (F.col("fp") == F.col("cut_fp"))
+    joined = rows.join(cut, same, "left").where("n_removed IS NULL OR n_removed < n_words")
     out = []
     for name in df.columns:
+        old = F.col("row").getField(name)
         if name == text:
-            out.append(new.alias(name))
+            old = F.coalesce(F.col("kept"), old.cast("string"))
         elif name == "n_chars":
-            kind = df.schema[name].dataType
-            out.append(F.when(F.col("_cut_text").isNotNull(), F.length("_cut_text").cast(kind)).otherwise(F.col(name)).alias(name))
-        else:
-            out.append(df[name])
+            kind = df.select(quoted(name)).schema[0].dataType
+            old = F.when(F.col("kept").isNotNull(), F.length("kept").cast(kind)).otherwise(old)
+        out.append(old.alias(name))
     return joined.select(*out)

@@ -111,6 +111,16 @@ def word_runs(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray):
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
+def quoted(name: str) -> str:
+    """A column's name, which may hold dots, as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fingerprint(doc_id: Column, text: Column) -> Column:
+    """64 bits that tell the texts of rows of one id apart, and rows without an id from those with one."""
+    return F.xxhash64(text, doc_id.isNull())
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """The remainder of crc32 of an id written as text; null for a null id."""
     return F.crc32(doc_id.cast("string")) % parts

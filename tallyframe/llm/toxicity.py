@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BYTE_CODE, IS_LETTER, LOWER, labelled_sample, run_hashes, slices, texts, utf8, word_runs
+from .text import BYTE_CODE, IS_LETTER, LOWER, labelled_sample, quoted, run_hashes, slices, texts, utf8, word_runs
 
 #: Rows of one label that are brought to the driver to learn from.
 SAMPLE_PER_LABEL = 2_000
@@ -153,7 +154,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: NoisyOr, spans: float | No
 
 
 def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return df.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
 
 
 def score_documents(df: DataFrame, model: NoisyOr, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,7 +170,7 @@ def score_documents(df: DataFrame, model: NoisyOr, doc_id: str = "doc_id", text:
 
 def _clean(batches: Iterator[pa.RecordBatch], model: NoisyOr, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, bounds = utf8(batch.column(at))
+        data, bounds = utf8(pc.struct_field(batch.column(0), [at]))
         keep = []
         for low, high in slices(bounds):
             own = bounds[low : high + 1] - bounds[low]
@@ -182,11 +183,16 @@ def _clean(batches: Iterator[pa.RecordBatch], model: NoisyOr, at: int, threshold
 def keep_clean(df: DataFrame, model: NoisyOr, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is below ``threshold``.
 
-    The rows are filtered where they are read; texts that are null or have no letters stay.
+    The rows are filtered where they are read; texts that are null or have no letters stay, as do
+    rows with a null id, and repeated rows are judged each. Columns may have any names. No rows give no rows.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text)
-    return df.mapInArrow(lambda it: _clean(it, sent.value, at, threshold), df.schema)
+    # One struct holds the columns given, because names with dots are not passed to Python otherwise.
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"))
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    at = [c if exact else c.lower() for c in df.columns].index(text if exact else text.lower())
+    kept = rows.mapInArrow(lambda it: _clean(it, sent.value, at, threshold), rows.schema)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def offending_sentences(

@@ -37,13 +37,13 @@ CASES = [
     (8, "other words under one id"),
 ]
 #: Columns that operators name themselves.
-CLASHING = ["score", "key", "fp", "h", "s", "n", "cid", "words", "kept", "n_words", "failed", "component", "part"]
+CLASHING = ["_fp", "_cut_text", "_kept_id", "a.b", "row", "id", "record", "score", "key", "fp", "h", "s", "n", "cid", "words", "kept", "n_words", "failed", "component", "part"]
 
 
 @pytest.fixture
 def cases(spark):
     df = spark.createDataFrame(CASES, "doc_id long, text string")
-    return df.withColumns({c: F.lit("own") for c in CLASHING})
+    return df.withColumns({c: F.lit("own") for c in CLASHING})  # quoted where they hold dots
 
 
 def models():

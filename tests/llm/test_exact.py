@@ -308,3 +308,60 @@ def test_hashes_follow_the_codes_alone():
     starts = np.array([0, 70_000, 99_990])
     ends = starts + 10
     assert (run_hashes(codes, starts, ends) == run_hashes(again, starts + 100_000, ends + 100_000)).all()
+
+
+def test_maximal_repeats_are_the_deep_nodes():
+    """A repeat longer than the window is one node, not one for each window; its parts are not maximal."""
+    strings = [[f"w{k}".encode() for k in range(70)], [b"x", *(f"w{k}".encode() for k in range(4, 64)), b"y"]]
+    number = {}
+    codes = np.array([number.setdefault(w, len(number)) for s in strings for w in s])
+    starts = np.concatenate([np.arange(21), 70 + np.arange(13)])
+    ends = np.concatenate([np.full(21, 70), np.full(13, 132)])
+    found = [(d, sorted(suffix.tolist()), len(set(node.tolist()))) for d, suffix, node in suffix_tree.maximal_repeats(codes, starts, ends, 50)]
+    assert found == [(60, [4, 22], 1)]
+    hit = suffix_tree.earlier_windows(strings, np.array([5, 3]), 50)
+    assert np.flatnonzero(hit).tolist() == list(range(4, 15))
+    hit = suffix_tree.earlier_windows(strings, np.array([3, 5]), 50)
+    assert np.flatnonzero(hit).tolist() == list(range(22, 33))
+
+
+@pytest.mark.parametrize("rows_in_memory", [1, 300])
+def test_passages_with_longer_prefixes(spark, rows, rows_in_memory):
+    """Groups that do not fit in memory give the same passages."""
+    given = mixed_texts(3)
+    found = suffix_tree.remove_passages(rows(TEXTS, *given), rows=rows_in_memory).collect()
+    want, text = brute.passages(given), dict(given)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept.encode()) for r in found} == {i: want[i, text[i]] for i in text}
+
+
+def test_ranks_number_the_sorted_strings(spark, rows):
+    """Ranks over many ranges are those of one sorted list, also where a string goes over the end of a range."""
+    rng = random.Random(6)
+    given = [(k, k % 7, rng.choice([1, 2, 5, rng.randrange(10**6)]), rng.choice([0, 0, 9]), 1, 1) for k in range(3000)]
+    df = rows(suffix_array.PLACES, *given)
+    found = suffix_array.ranked(df, "test-rank").collect()
+    strings = sorted({g[2:4] for g in given})
+    place = {x: k for k, x in enumerate(strings)}
+    count = {}
+    for g in given:
+        count[g[2:4]] = count.get(g[2:4], 0) + 1
+    want = {g[0]: (place[g[2:4]], count[g[2:4]] == 1) for g in given}
+    assert {r.row: (r["rank"], r.alone) for r in found} == want
+
+
+def test_rows_without_an_id_are_told_apart(spark, rows):
+    """Many rows of one key, and the ids 0 and the smallest, beside rows without an id."""
+    least = -(1 << 63)
+    copy = " ".join(f"word{i}" for i in range(80))
+    given = [(None, f"{k} {copy}") for k in range(40)] + [(0, copy), (least, copy), (5, copy), (5, f"other {copy}")]
+    found = suffix_array.remove_repeats(rows(TEXTS, *given)).collect()
+    want = brute.repeats(given)
+    assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in found) == sorted(
+        (want[g][0], want[g][1], want[g][3]) for g in given
+    )
+    cut = suffix_tree.remove_passages(rows(TEXTS, *given)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in cut if r.doc_id is not None) == [(least, 0), (0, 80), (5, 80), (5, 80)]
+    assert {r.n_removed for r in cut if r.doc_id is None} == {0}
+    near = minhash.near_duplicates(rows(TEXTS, *given)).collect()
+    assert {(r.doc_id, r.component_id) for r in near if r.doc_id is not None} == {(0, least), (least, least), (5, least)}
+    assert {r.component_id for r in near if r.doc_id is None} == {None}
