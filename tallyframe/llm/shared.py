@@ -8,17 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Tables that have been written and not deleted.
+_PATHS: dict[str, None] = {}
 
 
 def folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; in a local session without it, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="llm-"))
@@ -29,13 +29,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once and read them again, so that no lost executor repeats the work."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[path] = None
+    table._written_path = path
+    return table
+
+
+def read_from(table: DataFrame, df: DataFrame) -> DataFrame:
+    """The rows ``df``, which are made of a written table alone, so that dropping them deletes it."""
+    df._written_path = table._written_path
+    return df
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    if _PATHS.pop(path, path) is None:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of :func:`written` that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(df.sparkSession, df._written_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that the operators wrote in this process; their results cannot be read afterwards."""
+    for path in list(_PATHS):
+        _deleted(spark, path)

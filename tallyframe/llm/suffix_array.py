@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Hashes, covered, in_parts, keyed, repeated_stretches, stretches
-from .shared import dropped, written
+from .shared import dropped, read_from, written
 from .text import BYTE_CODE
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -169,8 +169,11 @@ def ranked(places: DataFrame, name: str) -> DataFrame:
     """
     order = ("a", "b", "row", "s")
     kinds = "part int, row long, s int, w int, o int, rank long, alone boolean, a long, b long, z_a long, z_b long"
-    local = places.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, kinds)
+    # Written first, because the ranges are found by a job of its own over the places.
+    given = written(places, name)
+    local = given.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, kinds)
     local = written(local, name)
+    dropped(given)
     ends = sorted(local.where("row = -1").select("part", "rank", "a", "b", "z_a", "z_b").collect())
     moves, before = [], 0
     for k, end in enumerate(ends):
@@ -183,7 +186,8 @@ def ranked(places: DataFrame, name: str) -> DataFrame:
     alone = F.col("alone") & ~(F.col("joined") & (F.col("rank") == 0)) & (F.col("rank") != F.col("last"))
     # As many rows as there are ranges.
     known = local.where("row != -1").join(F.broadcast(moves), "part")
-    return known.select("row", "s", "w", "o", (F.col("rank") + F.col("before")).alias("rank"), alone.alias("alone"))
+    out = known.select("row", "s", "w", "o", (F.col("rank") + F.col("before")).alias("rank"), alone.alias("alone"))
+    return read_from(local, out)
 
 
 def _by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -290,7 +294,7 @@ def remove_repeats(
     """Remove each byte covered by a string of ``length`` bytes that starts anywhere else, too.
 
     Positions that cannot repeat are left out by sampled positions (see ``anchors``), whose grams of half
-    the length and then of three quarters must repeat; sampled positions stand for stretches, and
+    the length and then of nineteen twentieths must repeat; sampled positions stand for stretches, and
     stretches that repeat whole are settled, which is what becomes of large groups of copies. The
     windows that are left are ranked by prefix doubling (:func:`repeated_windows`): Spark sorts
     pairs of ranks at growing offsets, and reranks until positions are unique or the length is reached.
@@ -314,7 +318,7 @@ def remove_repeats(
     dropped(sampled)
     pending = divided.where("row IS NOT NULL")
     names = "h long, seg long, row long, s int, n int, w int"
-    narrowed = pending.select("row", "text", "open").mapInArrow(lambda it: _narrowed(it, length, length * 3 // 4), names)
+    narrowed = pending.select("row", "text", "open").mapInArrow(lambda it: _narrowed(it, length, length * 19 // 20), names)
     narrowed = written(narrowed.withColumn("weight", F.col("w")), "array-narrowed")
     judged = written(_judged(narrowed, "row"), "array-judged")
     dropped(narrowed)

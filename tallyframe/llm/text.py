@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a single longer text is taken alone.
@@ -132,27 +132,31 @@ def labelled_sample(
     """(text, label) of at most ``per_label`` rows of each label, the same on every run.
 
     ``labels`` holds ``doc_id`` and the label. Ids are chosen from it by their hash, before
-    any text is read. What is broadcast and what comes to the driver is bounded by
+    any text is read: for each label the smallest hashes, which a partial aggregate keeps within each task.
+    So the labels are read twice and the texts once, for any number of labels. What is broadcast and what comes to the driver is bounded by
     ``64 * per_label`` rows: more than 64 labels share them evenly, and more labels than
-    these rows are an error.
+    these rows are an error. Of several texts under one chosen id, all are read, and the smallest hashes stay.
     """
-    given = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).alias("_id"), F.col(label).alias("_label")
+    given = labels.where(F.col(quoted(label)).isNotNull() & F.col(quoted(doc_id)).isNotNull()).select(
+        F.col(quoted(doc_id)).alias("_id"), F.col(quoted(label)).alias("_label")
     )
     most = 64 * per_label
     found_labels = given.select("_label").distinct().limit(most + 1).collect()
     if len(found_labels) > most:
         raise ValueError(f"more than {most} labels: {label}")
     per_label = min(per_label, most // max(1, len(found_labels)))
-    out: list[tuple[str, object]] = []
-    for value in sorted(r[0] for r in found_labels):
-        chosen = given.where(F.col("_label") == F.lit(value)).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
-        found = (
-            df.where(F.col(text).isNotNull())
-            .select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-            .join(F.broadcast(chosen), "_id", "left_semi")
-            .orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"))
-            .limit(per_label)
-        )
-        out += [(r["_text"], value) for r in found.collect()]
-    return out
+
+    def smallest(rows: DataFrame, *by: Column) -> DataFrame:
+        order = Window.partitionBy("_label").orderBy(*by)
+        return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+
+    chosen = smallest(given.distinct(), F.xxhash64("_id"), F.col("_id"))
+    value = F.col(quoted(text)).cast("string")
+    read = df.where(value.isNotNull()).select(F.col(quoted(doc_id)).alias("_id"), value.alias("_text"))
+    met = read.join(F.broadcast(chosen), "_id")
+    hashed = smallest(met, F.xxhash64("_id"), F.col("_id"), F.xxhash64("_text"), F.col("_text"))
+    rows = hashed.collect()
+    order = {r["_label"]: [] for r in rows}
+    for r in rows:
+        order[r["_label"]].append((r["_id"], r["_text"]))
+    return [(value, key) for key in sorted(order) for _, value in sorted(order[key])]
