@@ -75,14 +75,14 @@ def _narrowed(batches: Iterator[pa.RecordBatch], window: int, length: int) -> It
             text = np.frombuffer(row["text"], np.uint8)
             hashes = Hashes(BYTE_CODE[text])
             _, first, count, gram, _ = stretches(hashes, np.array([0, len(text)]), window, length)
-            out = []
-            for s, n, w in _ranges(row["open"]):
-                low = np.searchsorted(first, s, side="right") - 1
-                high = np.searchsorted(first, s + n, side="left")
-                begin = np.maximum(first[low:high], s)
-                end = np.minimum(first[low:high] + count[low:high], s + n)
-                out.append((gram[low:high], hashes.of(begin, end - 1 + window), begin, end - begin, np.full(high - low, w)))
-            h, seg, begin, n, w = (np.concatenate(x) for x in zip(*out, strict=True))
+            s, n, w = _ranges(row["open"]).T
+            low = np.searchsorted(first, s, side="right") - 1
+            each = np.searchsorted(first, s + n, side="left") - low
+            of = np.repeat(np.arange(len(s)), each)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + low[of]
+            begin = np.maximum(first[at], s[of])
+            end = np.minimum(first[at] + count[at], (s + n)[of])
+            h, seg, n, w = gram[at], hashes.of(begin, end - 1 + window), end - begin, w[of]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(np.full(len(h), row["row"]))]
                 + [pa.array(x.astype(np.int32)) for x in (begin, n, w)],
@@ -90,20 +90,18 @@ def _narrowed(batches: Iterator[pa.RecordBatch], window: int, length: int) -> It
             )
 
 
-PLACES = "row long, s int, a long, b long, w int, o int"
+#: ``mark`` is 4 * w + o. ``o`` is the weight of the open window that starts at the place, 0 if none does; ``w`` is the
+#: largest weight of the windows that the place is part of.
+PLACES = "row long, s int, a long, b long, mark int"
 
 
 def _table(row: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, o: np.ndarray) -> pa.RecordBatch:
-    columns = [row, s.astype(np.int32), a.astype(np.int64), b.astype(np.int64), w.astype(np.int32), o.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "s", "a", "b", "w", "o"])
+    columns = [row, s.astype(np.int32), a.astype(np.int64), b.astype(np.int64), (4 * w + o).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "s", "a", "b", "mark"])
 
 
 def _first_places(batches: Iterator[pa.RecordBatch], window: int, length: int) -> Iterator[pa.RecordBatch]:
-    """The places that open windows are made of, each with a name of the ``length`` bytes there.
-
-    ``o`` is the weight of the window that starts at a place, 0 if none does; ``w`` is the
-    largest weight of the windows that the place is part of.
-    """
+    """The places that open windows are made of, each with a name of the ``length`` bytes there."""
     for some in in_parts(batches):
         for row in some:
             hashes = Hashes(BYTE_CODE[np.frombuffer(row["text"], np.uint8)])
@@ -118,76 +116,76 @@ def _first_places(batches: Iterator[pa.RecordBatch], window: int, length: int) -
             yield _table(np.full(len(s), row["row"]), s, names, np.zeros(len(s)), own[s], weight[s])
 
 
+#: What a range tells of itself: its number of strings, and its first and last string.
+ENDS = (-1, -2, -3, -4, -5)
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks in a sorted partition: how many different strings stand before, and whether a string stands alone.
+    """Ranks in a sorted partition: how many different strings stand before; ``mark`` is doubled, and one more if a string stands alone.
 
-    The last row tells the partition's number of strings, and its first and last string.
+    The last rows, with the numbers of ``ENDS``, have in ``rank`` what the partition tells of itself.
     """
-    part, strings, begin = _task(), 0, None
-    carry = None  # the last row, whose successor is not known yet
-    names = ["part", "row", "s", "w", "o", "rank", "alone", "a", "b", "z_a", "z_b"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
-
-    def sent(columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    part, begin = _task(), None
+    carry = None  # the last row, whose successor is not known yet; whether its string is new; its rank
+    names = ["part", "row", "s", "mark", "rank"]
 
     def rows(x: dict, rank: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
-        n = len(rank)
-        empty = pa.nulls(n, pa.int64())
-        return sent([np.full(n, part, np.int32), x["row"], x["s"], x["w"], x["o"], rank, alone, empty, empty, empty, empty])
+        columns = [np.full(len(rank), part, np.int32), x["row"], x["s"], 2 * x["mark"] + alone.astype(np.int32), rank]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "s", "a", "b", "w", "o")}
-        if carry is not None:
+        x = {c: batch.column(c).to_numpy() for c in ("row", "s", "a", "b", "mark")}
+        if carry is None:
+            begin = int(x["a"][0]), int(x["b"][0])
+        else:
             x = {c: np.concatenate([carry[0][c], v]) for c, v in x.items()}
         n = len(x["a"])
         new = np.ones(n + 1, dtype=bool)
         new[1:n] = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
-        if carry is not None:
-            new[0] = carry[1]
-        else:
-            begin = int(x["a"][0]), int(x["b"][0])
+        new[0] = carry is None or carry[1]
         rank = np.cumsum(new[:n]) - int(new[0]) + (0 if carry is None else carry[2])
-        alone = new[:n] & new[1:] & (x["w"] == 1)
-        strings = int(rank[-1]) + 1
         if n > 1:
+            alone = new[:n] & new[1:] & (x["mark"] >> 2 == 1)
             yield rows({c: v[: n - 1] for c, v in x.items()}, rank[: n - 1], alone[: n - 1])
         carry = {c: v[n - 1 :] for c, v in x.items()}, bool(new[n - 1]), int(rank[-1])
     if carry is not None:
         x, new, rank = carry
-        yield rows(x, np.array([rank]), np.array([new]) & (x["w"] == 1))
-        yield sent([[part], [-1], [0], [0], [0], [strings], [False], [begin[0]], [begin[1]], x["a"], x["b"]])
+        yield rows(x, np.array([rank]), np.array([new]) & (x["mark"] >> 2 == 1))
+        none = {"row": np.array(ENDS, np.int64), "s": np.zeros(5, np.int32), "mark": np.zeros(5, np.int32)}
+        yield rows(none, np.array([rank + 1, *begin, int(x["a"][0]), int(x["b"][0])]), np.zeros(5, dtype=bool))
 
 
 def ranked(places: DataFrame, name: str) -> DataFrame:
-    """(row, s, w, o, rank, alone): each place's rank among all strings (a, b), and whether no other place has its string.
+    """(row, s, mark, rank) of each place: its rank among all strings (a, b); ``mark`` is doubled, and odd if no other place has its string.
 
     The places are sorted by ranges, so that a range may end within the places of one string; each
-    range counts its strings, and the ranges' counts, one row for each, tell what to add to its ranks.
+    range counts its strings, and the ranges' counts, five rows for each, tell what to add to its ranks.
     """
     order = ("a", "b", "row", "s")
-    kinds = "part int, row long, s int, w int, o int, rank long, alone boolean, a long, b long, z_a long, z_b long"
     # Written first, because the ranges are found by a job of its own over the places.
     given = written(places, name)
-    local = given.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, kinds)
-    local = written(local, name)
+    local = given.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = written(local.mapInArrow(_numbered, "part int, row long, s int, mark int, rank long"), name)
     dropped(given)
-    ends = sorted(local.where("row = -1").select("part", "rank", "a", "b", "z_a", "z_b").collect())
+    told: dict[int, dict[int, int]] = {}
+    for r in local.where("row < 0").select("part", "row", "rank").collect():
+        told.setdefault(r["part"], {})[r["row"]] = r["rank"]
+    ends = [(part, *(told[part][k] for k in ENDS)) for part in sorted(told)]
     moves, before = [], 0
-    for k, end in enumerate(ends):
-        joined = k > 0 and ends[k - 1][4:] == end[2:4]
+    for k, (part, strings, *ab) in enumerate(ends):
+        joined = k > 0 and list(ends[k - 1][4:]) == ab[:2]
+        goes_on = k + 1 < len(ends) and list(ends[k + 1][2:4]) == ab[2:]
         before -= joined
-        goes_on = k + 1 < len(ends) and ends[k + 1][2:4] == end[4:]
-        moves.append((end.part, before, joined, end.rank - 1 if goes_on else -1))
-        before += end.rank
-    moves = places.sparkSession.createDataFrame(moves, "part int, before long, joined boolean, last long")
-    alone = F.col("alone") & ~(F.col("joined") & (F.col("rank") == 0)) & (F.col("rank") != F.col("last"))
+        moves.append((part, before, 0 if joined else -1, strings - 1 if goes_on else -1))
+        before += strings
+    moves = places.sparkSession.createDataFrame(moves, "part int, before long, first long, last long")
     # As many rows as there are ranges.
-    known = local.where("row != -1").join(F.broadcast(moves), "part")
-    out = known.select("row", "s", "w", "o", (F.col("rank") + F.col("before")).alias("rank"), alone.alias("alone"))
-    return read_from(local, out)
+    known = local.where("row >= 0").join(F.broadcast(moves), "part")
+    alone = (F.col("mark") % 2 == 1) & (F.col("rank") != F.col("first")) & (F.col("rank") != F.col("last"))
+    mark = F.col("mark") - F.col("mark") % 2 + alone.cast("int")
+    return read_from(local, known.select("row", "s", mark.alias("mark"), (F.col("rank") + F.col("before")).alias("rank")))
 
 
 def _by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -220,20 +218,21 @@ def _doubled(batches: Iterator[pa.RecordBatch], window: int, length: int) -> Ite
     Windows of which a place stands alone leave, and the places that only they needed.
     """
     for x in _by_rows(batches):
-        _, number = np.unique(x["row"], return_inverse=True)
+        number = np.cumsum(np.concatenate([[False], x["row"][1:] != x["row"][:-1]]))
+        alone, o, w = x["mark"] & 1 == 1, x["mark"] >> 1 & 3, x["mark"] >> 3
         at = (number.astype(np.int64) << 32) | x["s"]
-        starts = np.flatnonzero(x["o"] > 0)
+        starts = np.flatnonzero(o > 0)
         open_ = np.ones(len(starts), dtype=bool)
         for k in range(0, window, length):
-            open_ &= ~x["alone"][np.searchsorted(at, at[starts] + k)]
+            open_ &= ~alone[np.searchsorted(at, at[starts] + k)]
         starts = starts[open_]
         if not len(starts):
             continue
         wanted = np.unique(np.concatenate([at[starts] + k for k in range(0, window, 2 * length)]))
         here, on = np.searchsorted(at, wanted), np.searchsorted(at, wanted + length)
         own = np.zeros(len(at), np.int32)
-        own[starts] = x["o"][starts]
-        weight = own[here] if 2 * length == window else x["w"][here]
+        own[starts] = o[starts]
+        weight = own[here] if 2 * length == window else w[here]
         yield _table(x["row"][here], x["s"][here], x["rank"][here], x["rank"][on], weight, own[here])
 
 
@@ -253,7 +252,7 @@ def repeated_windows(pending: DataFrame, window: int) -> DataFrame:
         before, length = ranks, 2 * length
         ranks = ranked(pairs, f"array-rank-{length}")
         dropped(before)
-    return ranks.where("NOT alone").select("row", "s", "o")
+    return ranks.where("mark % 2 = 0").select("row", "s", F.expr("mark div 2 % 4").alias("o"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iterator[pa.RecordBatch]:

@@ -337,7 +337,7 @@ def test_passages_with_longer_prefixes(spark, rows, rows_in_memory):
 def test_ranks_number_the_sorted_strings(spark, rows):
     """Ranks over many ranges are those of one sorted list, also where a string goes over the end of a range."""
     rng = random.Random(6)
-    given = [(k, k % 7, rng.choice([1, 2, 5, rng.randrange(10**6)]), rng.choice([0, 0, 9]), 1, 1) for k in range(3000)]
+    given = [(k, k % 7, rng.choice([1, 2, 5, rng.randrange(10**6)]), rng.choice([0, 0, 9]), 5) for k in range(3000)]
     df = rows(suffix_array.PLACES, *given)
     found = suffix_array.ranked(df, "test-rank").collect()
     strings = sorted({g[2:4] for g in given})
@@ -345,8 +345,8 @@ def test_ranks_number_the_sorted_strings(spark, rows):
     count = {}
     for g in given:
         count[g[2:4]] = count.get(g[2:4], 0) + 1
-    want = {g[0]: (place[g[2:4]], count[g[2:4]] == 1) for g in given}
-    assert {r.row: (r["rank"], r.alone) for r in found} == want
+    want = {g[0]: (place[g[2:4]], 10 + (count[g[2:4]] == 1)) for g in given}
+    assert {r.row: (r["rank"], r.mark) for r in found} == want
 
 
 def test_rows_without_an_id_are_told_apart(spark, rows):
