@@ -200,19 +200,14 @@ def _read(batches: Iterator[pa.RecordBatch], longest: int, table: np.ndarray) ->
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
-        text = b" ".join(words)
+        text, lang = b" ".join(words), row["lang"].encode() + b"\n"  # which is in no phrase
         for length, _, count, first in Block(raw, row["lang"]).ngrams(longest, table, longest):
             low, high = starts[first].tolist(), ends[first + length - 1].tolist()
             for k in range(0, len(first), 50_000):
-                own = [text[a:b] for a, b in zip(low[k : k + 50_000], high[k : k + 50_000], strict=True)]
+                own = [lang + text[a:b] for a, b in zip(low[k : k + 50_000], high[k : k + 50_000], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["lang"]] * len(own), pa.string()),
-                        pa.array(own, pa.binary()).cast(pa.string()),
-                        pa.array(np.full(len(own), length, np.int32)),
-                        pa.array(count[k : k + 50_000], pa.int64()),
-                    ],
-                    names=["lang", "phrase", "length", "f"],
+                    [pa.array(own, pa.binary()).cast(pa.string()), pa.array(count[k : k + 50_000], pa.int64())],
+                    names=["phrase", "f"],
                 )
 
 
@@ -256,8 +251,8 @@ def frequent_phrases(
     tokens = blocks.agg(F.sum("n_words")).first()[0] or 0
     bits = min(max((2 * tokens // PART_PRINTS).bit_length(), 4), PRINT_BITS)
     table = None
-    for length in range(2, longest + 1):
-        lengths = [1, 2] if length == 2 else [length]
+    for size in range(2, longest + 1):
+        lengths = [1, 2] if size == 2 else [size]
         sent = spark.sparkContext.broadcast(table)
         counts = blocks.mapInArrow(
             lambda it, own=lengths, t=sent: _counted(it, own, t.value, bits), "part long, prints binary, counts binary"
@@ -266,8 +261,12 @@ def frequent_phrases(
         new = _table(spark, often)
         table = new if table is None else table | new
     sent = spark.sparkContext.broadcast(table)
-    read = blocks.mapInArrow(lambda it: _read(it, longest, sent.value), "lang string, phrase string, length int, f long")
-    counted = read.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    read = blocks.mapInArrow(lambda it: _read(it, longest, sent.value), "phrase string, f long")
+    counted = read.groupBy("phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    phrase = F.substring_index("phrase", "\n", -1)
+    lang_of = F.expr("left(phrase, length(phrase) - length(substring_index(phrase, '\n', -1)) - 1)")
+    length = F.size(F.split(phrase, " "))
+    counted = counted.select(lang_of.alias("lang"), phrase.alias("phrase"), length.alias("length"), "f")
     counted = written(counted, "phrases-counted")
     words = written(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrases-words")
     dropped(blocks)
