@@ -258,7 +258,11 @@ def frequent_phrases(
             lambda it, own=lengths, t=sent: _counted(it, own, t.value, bits), "part long, prints binary, counts binary"
         )
         often = counts.groupBy("part").applyInArrow(lambda rows: _often(rows, least), "print long")
+        # Written, so that nothing keeps the shuffled lists while the next length is counted.
+        often = written(often, "phrases-often")
         new = _table(spark, often)
+        dropped(often)
+        del counts, often
         table = new if table is None else table | new
     sent = spark.sparkContext.broadcast(table)
     read = blocks.mapInArrow(lambda it: _read(it, longest, sent.value), "phrase string, f long")
