@@ -18,7 +18,7 @@ from .shared import dropped, written
 from .text import BYTE_CODE, LOWER, mixed, run_hashes, utf8, word_runs
 
 #: Bytes of text in a block; an n-gram is one row for each block that has it.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Texts that a task holds while it gathers blocks of several languages.
 HELD_BYTES = 64 << 20
 #: Bits of the broadcast table that says which fingerprints may be frequent: 16 MB.
@@ -26,7 +26,7 @@ TABLE_BITS = 27
 #: Bits of a fingerprint that are counted; counts of n-grams that share one add up, and some rare ones are read for nothing.
 PRINT_BITS = 44
 #: Fingerprints that a task adds up before it passes them on.
-HELD_PRINTS = 3_000_000
+HELD_PRINTS = 1_500_000
 #: Fingerprints that are counted at once; their number of parts follows the number of words.
 PART_PRINTS = 1 << 19
 
