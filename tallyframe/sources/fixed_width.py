@@ -14,6 +14,8 @@ MALFORMED = "malformed"
 # Encodings of one byte for each character that Spark's decode knows.
 SINGLE_BYTE = ("US-ASCII", "ISO-8859-1")
 
+# Characters that a cast skips at the end of a number.
+BLANKS = "".join(map(chr, range(33)))
 
 DECIMAL = re.compile(r"(?:decimal|dec|numeric)(?:\s*\(\s*\d+\s*(?:,\s*(\d+)\s*)?\))?")
 
@@ -71,7 +73,8 @@ def read_fixed_width(
         kept = ~F.col(f"`__cut_{field.name}`")
         if decimal := DECIMAL.fullmatch(field.type.strip().lower()):
             # Plain digits are compared as text; with an exponent the values are.
-            decimals = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*$", 1))
+            after = F.rtrim(F.substring_index(text, ".", -1), F.lit(BLANKS))
+            decimals = F.when(F.contains(text, F.lit(".")), F.length(F.rtrim(after, F.lit("0")))).otherwise(0)
             kept = kept & F.when(
                 F.lower(text).contains("e"), value.cast("double") == text.try_cast("double")
             ).otherwise(decimals <= int(decimal[1] or 0))
