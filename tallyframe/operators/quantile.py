@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +68,11 @@ def weighted_quantile(
     slots = rows.groupBy(*group, "__slot").agg(
         F.sum("__w").alias("__part"), F.count("*").alias("__rows")
     )
-    hits, few = written_and_measured(_holding(_running(slots, group, "__slot"), targets()))
+    seen = Observation()
+    held = F.sum(F.when(~F.col("__empty"), F.col("__rows"))).alias("rows")
+    hits, few = written_and_measured(
+        _holding(_running(slots, group, "__slot"), targets()).observe(seen, held)
+    )
     found = F.broadcast(hits) if few else hits
     values = (
         rows.alias("r")
@@ -76,8 +80,7 @@ def weighted_quantile(
         .groupBy(*group, "__slot", "__y")
         .agg(F.sum("__w").alias("__w"))
     )
-    held = hits.agg(F.sum(F.when(~F.col("__empty"), F.col("__rows")))).first()[0]
-    ranges = _ranges(values, by, 1 + (held or 0) // RANGE_ROWS)
+    ranges = _ranges(values, by, 1 + (seen.get["rows"] or 0) // RANGE_ROWS)
     parts = ranges.groupBy(*group, "__slot", "__range").agg(F.sum("__w").alias("__part"))
     # The sums start over in each slot; put what came before the slot in front.
     start = F.coalesce("h.__before", F.lit(0))
