@@ -86,6 +86,7 @@ def rake(
     max_iter: int = 50,
     control: str = "control",
     out: str = "w_raked",
+    one_task_bytes: int | None = None,
 ) -> DataFrame:
     """Scale the weights until every margin sums to its known totals.
 
@@ -99,8 +100,9 @@ def rake(
     rounds work on the cells and change only one factor per category, written to
     the shared folder each time, in a job of its own per margin, whose plan has one join per
     margin. Cells that were measured to be few enough to broadcast are fitted in one task
-    instead, several rounds to a job. A margin whose measured size allows it is
-    broadcast, and then neither cells nor rows are shuffled by it.
+    instead, several rounds to a job; ``one_task_bytes`` lowers that size, and 0 keeps all cells
+    distributed. A margin whose measured size allows it is broadcast, and then neither cells nor
+    rows are shuffled by it.
     """
     columns = [[c for c in m.columns if c != control] for m in margins]
     if not all(columns) or not columns:
@@ -110,7 +112,8 @@ def rake(
         df.select(*dims, weight(df, w).alias("__w"))
         .groupBy(*dims)
         .agg(F.sum("__w").cast("double").alias("__base"))
-        .where(F.col("__base").isNotNull())
+        .where(F.col("__base").isNotNull()),
+        limit=one_task_bytes,
     )
     # Two tables for each margin take turns: the next factors are written while these are read.
     paths = [[new_path(df.sparkSession) for _ in range(2)] for _ in margins]

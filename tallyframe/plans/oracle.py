@@ -282,6 +282,7 @@ SELECT c_custkey, c_mktsegment, c_nationkey, CAST(1 + c_custkey % 3 AS DOUBLE) A
 FROM customer JOIN c USING (c_mktsegment, c_nationkey)
 """,
     "svy_rake": _rake("c_mktsegment", "c_nationkey"),
+    "svy_rake_distributed": _rake("c_mktsegment", "c_nationkey"),
     "svy_rake_four_margins": _rake("c_mktsegment", "c_nationkey", "floor(c_acctbal / 2500)", "c_custkey % 3"),
     "svy_weighted_estimates_int": _ESTIMATES_INT,
     "svy_design_variance_unstratified": _UNSTRATIFIED,

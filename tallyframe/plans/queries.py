@@ -227,6 +227,17 @@ def rake_customers(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(fitted.select("c_custkey", "w", "w_raked"), w_raked=5)
 
 
+def rake_distributed(spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`rake_customers`, with cells that stay distributed however few they are."""
+    customers = _customers(spark, folder)
+    margins = [
+        customers.groupBy(c).agg(F.count("*").alias("control"))
+        for c in ("c_mktsegment", "c_nationkey")
+    ]
+    fitted = rake(customers, "w", margins, tol=1e-10, one_task_bytes=0)
+    return _rounded(fitted.select("c_custkey", "w", "w_raked"), w_raked=5)
+
+
 def weighted_estimates_int(spark: SparkSession, folder: str) -> DataFrame:
     """Whole numbers whose product does not fit the type of either."""
     lines = _lines(spark, folder).select(
@@ -362,6 +373,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "svy_design_variance_unstratified": design_variance_unstratified,
     "svy_replicate_variance_200": replicate_variance_200,
     "svy_rake_four_margins": rake_four_margins,
+    "svy_rake_distributed": rake_distributed,
     "svy_period_change": period_change_orders,
     "svy_panel_flows": panel_flows_customers,
     "svy_panel_flows_users": panel_flows_users,

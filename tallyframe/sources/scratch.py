@@ -67,15 +67,18 @@ def release(spark: SparkSession) -> int:
     return count
 
 
-def written_and_measured(df: DataFrame, path: str | None = None) -> tuple[DataFrame, bool]:
+def written_and_measured(
+    df: DataFrame, path: str | None = None, limit: int | None = None
+) -> tuple[DataFrame, bool]:
     """As :func:`written`; also whether the rows are few enough to broadcast.
 
     Beyond the limit a join is left to Spark, which shuffles both sides and splits
-    skewed partitions.
+    skewed partitions. ``limit`` may lower it.
     """
+    most = BROADCAST_LIMIT_BYTES if limit is None else min(limit, BROADCAST_LIMIT_BYTES)
     seen = Observation()
     table = written(df.observe(seen, _total_bytes(df).alias("bytes")), path)
-    return table, (seen.get["bytes"] or 0) <= BROADCAST_LIMIT_BYTES
+    return table, (seen.get["bytes"] or 0) <= most
 
 
 def _total_bytes(df: DataFrame) -> Column:

@@ -105,6 +105,20 @@ def test_raking_is_the_same_when_margins_are_not_small(spark, df, rows, monkeypa
         assert large[i]["w_raked"] == pytest.approx(row["w_raked"], rel=1e-12)
 
 
+def test_cells_above_the_size_for_one_task_stay_distributed(df, rows, monkeypatch):
+    from tallyframe.operators import calibration
+
+    margins = [
+        rows("a string, control double", ("x", 20.0), ("y", 40.0)),
+        rows("b string, control double", ("p", 25.0), ("q", 30.0), (None, 5.0)),
+    ]
+    together = keyed(rake(df, "w", margins).select("id", "w_raked"), "id")
+    monkeypatch.setattr(calibration, "_raked_in_memory", None)
+    apart = keyed(rake(df, "w", margins, one_task_bytes=0).select("id", "w_raked"), "id")
+    for i, row in together.items():
+        assert apart[i]["w_raked"] == pytest.approx(row["w_raked"], rel=1e-12)
+
+
 def test_margins_on_several_columns_and_more_margins_than_one_job_fits(spark, rows):
     df = spark.range(4000).select(
         *[((F.hash("id", F.lit(i)) % 3 + 3) % 3).alias(f"m{i}") for i in range(5)],
