@@ -95,6 +95,21 @@ def test_values_that_would_be_rounded_or_cut_are_malformed(spark, tmp_path):
     ]
 
 
+def test_zeros_and_blanks_after_the_digits_are_no_decimals(spark, tmp_path):
+    layout = [Field("x", 1, 8, "decimal(8,2)"), Field("n", 9, 5, "decimal(5,0)")]
+    lines = ["12.5000\t  7.0", "12.567\t   7.5", "     12.    .", "  -0.250   00", "  1.2.3     9"]
+    path = tmp_path / "zeros.txt"
+    path.write_text("\n".join(lines) + "\n")
+    found = [tuple(r) for r in read_fixed_width(spark, str(path), layout).collect()]
+    assert found == [
+        (Decimal("12.50"), Decimal(7), []),
+        (None, None, ["x", "n"]),
+        (Decimal("12.00"), None, ["n"]),
+        (Decimal("-0.25"), Decimal(0), []),
+        (None, Decimal(9), ["x"]),
+    ]
+
+
 def test_unknown_encodings_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="windows-1252"):
         read_fixed_width(spark, str(tmp_path), LAYOUT, encoding="windows-1252")
