@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import squeeze, unsqueeze
-from .shared import written
+from .shared import dropped, written
 from .text import BYTE_CODE, IS_SPACE, LOWER, mixed, run_hashes, utf8, word_runs
 
 #: What a text is used for: counted, counted and used to learn the weights, or scored only.
@@ -20,8 +20,10 @@ COUNTED, WEIGHED, SCORED = 0, 1, 2
 
 #: Bytes of text in a block; a block's distinct n-grams are looked up once for all its texts.
 BLOCK_BYTES = 4 << 20
-#: Tokens for each partition of the n-gram counts.
+#: Tokens for each range of n-grams whose counts are added up at once, at most.
 PARTITION_TOKENS = 2_000_000
+#: Lists of n-grams are merged, and cut into narrower ranges, by 2^FAN_BITS at a time.
+FAN_BITS = 5
 #: Contexts are put into buckets by the binary logarithm of their count.
 BUCKETS = 41
 #: Steps for one halving of a probability, and their largest number, in the held-out counts.
@@ -33,12 +35,13 @@ KEY_BITS = 56
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 BLOCKS = "block long, part int, n_docs long, n_tokens long, ids array<long>, lengths array<long>, text binary"
-GRAMS = "p int, block long, part int, n long, keys binary, counts binary"
-ANSWERS = "block long, p int, counts binary, v long"
+GRAMS = "w boolean, r long, member long, keys binary, marks binary"
+UNITS = "w boolean, r long, g long, keys binary, marks binary, members array<long>, places array<binary>"
+ANSWERS = "w boolean, r long, g long, p long, counts binary, v long"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Gather texts of one use into blocks; a block's number is its task's and its place there."""
     schema = pa.schema(
         [("block", pa.int64()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
@@ -62,7 +65,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = bounds.tolist()
         for i, part in enumerate(parts):
             raw = LOWER[data[cut[i] : cut[i + 1]]].tobytes()
-            if part in held and held[part][4] + len(raw) > BLOCK_BYTES:
+            if part in held and held[part][4] + len(raw) > block_bytes:
                 yield flushed(part)
             own = held.setdefault(part, [[], [], [], 0, 0])
             own[0].append(ids[i])
@@ -97,57 +100,144 @@ def _distinct(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     return keys, counts, place, (words, before, text)
 
 
-def _edges(parts: int) -> np.ndarray:
-    """The first key of each partition but the first."""
-    return np.array([(k << KEY_BITS) // parts for k in range(1, parts)], np.uint64)
+def _pieces(keys: np.ndarray, marks: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """A sorted list cut by the first ``bits`` bits of its keys."""
+    part = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(first, [*first[1:], len(part)], strict=True):
+        yield int(part[a]), squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), squeeze(marks[a:b])
 
 
-def _grams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    edges = _edges(parts)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_GRAMS = pa.schema([("w", pa.bool_()), ("r", pa.int64()), ("member", pa.int64()), ("keys", pa.binary()), ("marks", pa.binary())])
+_ANSWERS = pa.schema(
+    [("w", pa.bool_()), ("r", pa.int64()), ("g", pa.int64()), ("p", pa.int64()), ("counts", pa.binary()), ("v", pa.int64())]
+)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each block, in ranges; a mark is twice the count, and one more for a word."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             keys, counts, place, (words, _, _) = _distinct(row)
-            cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-            is_word = np.zeros(len(keys), np.uint32)
+            is_word = np.zeros(len(keys), np.uint64)
             is_word[place[: len(words)]] = 1
-            out = []
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                own = keys[cut[p] : cut[p + 1]]
-                mark = (counts[cut[p] : cut[p + 1]].astype(np.uint32) << np.uint32(1)) | is_word[cut[p] : cut[p + 1]]
-                gaps = np.diff(own, prepend=np.uint64(0))
-                out.append((p, row["block"], row["part"], len(own), squeeze(gaps), squeeze(mark)))
-            columns = zip(*out, strict=True)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["p", "block", "part", "n", "keys", "counts"],
-            )
+            marks = (counts.astype(np.uint64) << np.uint64(1)) * np.uint64(row["part"] != SCORED) | is_word
+            yield _batch([(row["part"] == WEIGHED, r, row["block"], k, m) for r, k, m in _pieces(keys, marks, bits)], _GRAMS)
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """Corpus counts of the n-grams of one partition, for each block in its own order.
-
-    A block that weights are learned from gets its share of the counts, too.
-    """
-    rows = table.to_pylist()
+def _added(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Distinct keys of several lists, the place of each list's keys among them, which are words, and each list's counts."""
     keys = [np.cumsum(unsqueeze(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-    marks = [unsqueeze(r["counts"], np.uint32) for r in rows]
+    marks = [unsqueeze(r["marks"], np.uint64) for r in rows]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([m >> np.uint32(1) for m in marks]).astype(np.float64)
-    use = np.repeat([r["part"] for r in rows], [len(k) for k in keys])
-    learned = np.bincount(place, counts * (use != SCORED), len(every))
-    weighed = np.bincount(place, counts * (use == WEIGHED), len(every))
     is_word = np.zeros(len(every), dtype=bool)
-    is_word[place[(np.concatenate(marks) & np.uint32(1)) == 1]] = True
-    out = [{"block": -1, "p": rows[0]["p"], "counts": None, "v": int((is_word & (learned > 0)).sum())}]
-    upto = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    for i, r in enumerate(rows):
-        at = place[upto[i] : upto[i + 1]]
-        both = [learned[at], weighed[at]] if r["part"] == WEIGHED else [learned[at]]
-        out.append({"block": r["block"], "p": r["p"], "counts": squeeze(np.concatenate(both).astype(np.uint64)), "v": 0})
-    schema = pa.schema([("block", pa.int64()), ("p", pa.int32()), ("counts", pa.binary()), ("v", pa.int64())])
-    return pa.Table.from_pylist(out, schema=schema)
+    is_word[place[(np.concatenate(marks) & np.uint64(1)) == 1]] = True
+    places = np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    return every, places, is_word, [(m >> np.uint64(1)).astype(np.float64) for m in marks]
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """One list in place of the lists of a group of members, and where the members' n-grams are in it."""
+    rows = table.to_pylist()
+    every, places, is_word, counts = _added(rows)
+    total = np.bincount(np.concatenate(places), np.concatenate(counts), len(every)).astype(np.uint64)
+    out = {c: [rows[0][c]] for c in ("w", "r", "g")}
+    out["keys"] = [squeeze(np.diff(every, prepend=np.uint64(0)))]
+    out["marks"] = [squeeze(total << np.uint64(1) | is_word.astype(np.uint64))]
+    out["members"] = [[r["member"] for r in rows]]
+    out["places"] = [[squeeze(np.diff(at, prepend=0).astype(np.uint32)) for at in places]]
+    return pa.table(out)
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Merged lists cut into the ranges of the next level."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            keys = np.cumsum(unsqueeze(row["keys"], np.uint64), dtype=np.uint64)
+            pieces = _pieces(keys, unsqueeze(row["marks"], np.uint64), bits)
+            yield _batch([(row["w"], r, row["g"], k, m) for r, k, m in pieces], _GRAMS)
+
+
+def _answered(table: pa.Table, step: int) -> pa.Table:
+    """Corpus counts of the n-grams of one range, for each list in its own order, and the range's number of words.
+
+    A list of texts that weights are learned from gets the counts of all such texts, too.
+    """
+    rows = table.to_pylist()
+    every, places, is_word, counts = _added(rows)
+    learned, weighed = np.zeros(len(every)), np.zeros(len(every))
+    for r, at, count in zip(rows, places, counts, strict=True):
+        learned[at] += count
+        if r["w"]:
+            weighed[at] += count
+    here = rows[0]["r"]
+    out = [(None, 0, 0, here, None, int((is_word & (learned > 0)).sum()))]
+    for r, at in zip(rows, places, strict=True):
+        both = [learned[at], weighed[at]] if r["w"] else [learned[at]]
+        out.append((r["w"], here >> step, r["member"], here, squeeze(np.concatenate(both).astype(np.uint64)), 0))
+    return pa.Table.from_batches([_batch(out, _ANSWERS)])
+
+
+def _counts(row: dict, weighed: bool) -> np.ndarray:
+    """The answers to a list, put together again; a second row has the counts of the weights' texts."""
+    answers = sorted(row["answers"], key=lambda a: a["p"])
+    return np.concatenate([unsqueeze(a["counts"], np.uint64).reshape(1 + weighed, -1) for a in answers], axis=1)
+
+
+def _passed_on(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """The answers to a merged list, for each of its members."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            counts = _counts(row, row["w"])
+            out = []
+            for member, gaps in zip(row["members"], row["places"], strict=True):
+                own = counts[:, np.cumsum(unsqueeze(gaps, np.uint32), dtype=np.int64)]
+                out.append((row["w"], row["r"] >> step, member, row["r"], squeeze(own.ravel()), 0))
+            yield _batch(out, _ANSWERS)
+
+
+def _gathered(answers: DataFrame) -> DataFrame:
+    return answers.where("w IS NOT NULL").groupBy("w", "r", "g").agg(F.collect_list(F.struct("p", "counts")).alias("answers"))
+
+
+def _corpus_counts(blocks: DataFrame, n_blocks: tuple[int, int], parts: int) -> tuple[DataFrame, int]:
+    """Answers to the blocks (``g`` is the block), and the number of distinct counted words.
+
+    A tree: the lists of 2^FAN_BITS blocks are merged range by range, the merged lists are cut into
+    ranges 2^FAN_BITS times as narrow and merged by as many again, and so on to ``parts`` ranges,
+    each of which is added up at once. Each level exchanges at most 2^FAN_BITS rows for each block. The counts go back by the same way.
+    """
+    fan = 1 << FAN_BITS
+    last = max(FAN_BITS, (parts - 1).bit_length())
+    levels = max(2, -(-last // FAN_BITS))
+    bits = [*(FAN_BITS * k for k in range(1, levels)), last]
+    groups = F.when(F.col("w"), 1 + n_blocks[1] // fan).otherwise(1 + n_blocks[0] // fan)
+    lists = blocks.mapInArrow(lambda it: _asked(it, bits[0]), GRAMS)
+    lists = lists.withColumn("g", F.pmod(F.xxhash64("member"), groups.cast("long")))
+    units = []
+    for k in range(1, levels):
+        units.append(written(lists.groupBy("w", "r", "g").applyInArrow(_merged, UNITS), f"model-units-{k}"))
+        lists = units[-1].select("w", "g", "keys", "marks").mapInArrow(lambda it, own=bits[k]: _narrowed(it, own), GRAMS)
+        lists = lists.withColumn("g", F.expr(f"member div {fan}"))
+    step = bits[-1] - bits[-2]
+    answers = written(lists.groupBy("r").applyInArrow(lambda t: _answered(t, step), ANSWERS), "model-counts")
+    v = answers.where("w IS NULL").agg(F.sum("v")).first()[0] or 0
+    for k in range(levels - 2, -1, -1):
+        # A unit of the first level has blocks as members, which have all ranges.
+        up = bits[k] - bits[k - 1] if k else bits[0]
+        asked = units[k].select("w", "r", "g", "members", "places").join(_gathered(answers), ["w", "r", "g"])
+        found = written(asked.mapInArrow(lambda it, own=up: _passed_on(it, own), ANSWERS), "model-answers")
+        dropped(answers, units[k])
+        answers = found
+    return answers, v
 
 
 def _looked_up(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,12 +247,8 @@ def _looked_up(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     """
     keys, _, place, (words, before, text) = _distinct(row)
     own = np.zeros((len(keys), 2))
-    at = 0
-    for answer in sorted(row["answers"], key=lambda a: a["p"]):
-        got = unsqueeze(answer["counts"], np.uint64)
-        got = got.reshape(2, -1).T if row["part"] == WEIGHED else got.reshape(1, -1).T
-        own[at : at + len(got), : got.shape[1]] = got
-        at += len(got)
+    got = _counts(row, row["part"] == WEIGHED)
+    own[:, : len(got)] = got.T
     word, pair = own[place[: len(words)]], own[place[len(words) :]]
     # A word is a context as often as it occurs, and the start as often as the end.
     context = np.concatenate([word[:1], word[:-1]])
@@ -234,7 +320,14 @@ def _scores(batches: Iterator[pa.RecordBatch], weights: np.ndarray, n: int, v: i
             )
 
 
-def interpolated_scores(df: DataFrame, part: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def interpolated_scores(
+    df: DataFrame,
+    part: Column,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    partition_tokens: int = PARTITION_TOKENS,
+) -> DataFrame:
     """Log10 probabilities of every whole text: ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Tokens are words, lower-cased in A-Z, and an end. ``part`` says of each row whether it is
@@ -245,10 +338,10 @@ def interpolated_scores(df: DataFrame, part: Column, doc_id: str = "doc_id", tex
     all counts. ``base_score`` is that of single words with one added to each count.
 
     How it is spread: texts are gathered into blocks, and each distinct n-gram of a block
-    is one entry of a sorted list. Lists are cut by ranges of hashes, so a partition of
-    n-grams adds up what all blocks sent and answers each block in its own order; a
-    frequent n-gram is one entry for each block, not one for each occurrence. The number of
-    partitions follows the number of tokens. The blocks then meet their answers.
+    is one entry of a sorted list. Lists are cut by ranges of hashes and merged in a tree, 32 blocks
+    and 32 ranges at a time, so that the rows exchanged grow with the blocks and their levels, and a frequent n-gram is one
+    entry for 32 blocks, then for 1,024. The narrowest ranges, of which there is one for every ``partition_tokens``
+    tokens, add up what the whole corpus sent; the counts go back through the tree, and the blocks, of ``block_bytes`` of text, meet their answers.
 
     A null text is empty, with the end as its only token; a null id stays null; repeated
     rows count each time; no rows give no rows. Other columns than ``doc_id``, ``text`` and
@@ -260,19 +353,13 @@ def interpolated_scores(df: DataFrame, part: Column, doc_id: str = "doc_id", tex
         F.coalesce(part.cast("int"), F.lit(SCORED)).alias("part"),
         F.col(text).cast("string").alias("text"),
     )
-    blocks = written(rows.mapInArrow(_blocks, BLOCKS), "model-blocks")
+    blocks = written(rows.mapInArrow(lambda it: _blocks(it, block_bytes), BLOCKS), "model-blocks")
     learned = F.when(F.col("part") != SCORED, F.col("n_tokens")).otherwise(0)
     weighed = F.when(F.col("part") == WEIGHED, F.col("n_tokens")).otherwise(0)
-    total, n, n_weighed = (
-        x or 0 for x in blocks.agg(F.sum("n_tokens"), F.sum(learned), F.sum(weighed)).first()
-    )
-    parts = 1 + total // PARTITION_TOKENS
-    grams = blocks.mapInArrow(lambda it: _grams(it, parts), GRAMS)
-    answers = written(grams.groupBy("p").applyInArrow(_answered, ANSWERS), "model-answers")
-    v = answers.where("block < 0").agg(F.sum("v")).first()[0] or 0
-    by_block = (
-        answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("p", "counts")).alias("answers"))
-    )
+    sizes = [F.sum("n_tokens"), F.sum(learned), F.sum(weighed), F.count_if(F.col("part") != WEIGHED), F.count_if(F.col("part") == WEIGHED)]
+    total, n, n_weighed, *n_blocks = (x or 0 for x in blocks.agg(*sizes).first())
+    answers, v = _corpus_counts(blocks, tuple(n_blocks), 1 + total // partition_tokens)
+    by_block = _gathered(answers).select(F.col("g").alias("block"), "answers")
     counts = (
         blocks.where(F.col("part") == WEIGHED)
         .join(by_block, "block")

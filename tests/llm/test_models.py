@@ -186,8 +186,12 @@ def test_language_model_equals_plain_python(spark, rows):
     model = Interpolated(counted, weighed)
     given = [(t, p) for p, own in enumerate((counted, weighed, scored)) for t in own]
     df = rows(TEXTS + ", part int", *[(i, t, p) for i, (t, p) in enumerate(given)])
-    found = {r.doc_id: r.score for r in language_model.interpolated_scores(df, F.col("part")).collect()}
-    assert found == pytest.approx({i: model.score(t) for i, (t, _) in enumerate(given)}, rel=1e-9)
+    want = pytest.approx({i: model.score(t) for i, (t, _) in enumerate(given)}, rel=1e-9)
+    assert sum(len(model.steps(t)) for t, _ in given) > 1 << 2 * language_model.FAN_BITS
+    # One block of each use; then a block for nearly each text, in a tree of two levels, and in one of three, for ranges of one token.
+    for sizes in ({}, {"block_bytes": 1}, {"block_bytes": 1, "partition_tokens": 1}):
+        found = {r.doc_id: r.score for r in language_model.interpolated_scores(df, F.col("part"), **sizes).collect()}
+        assert found == want
     # After each context that was counted, the known words and the unknown one have all of the probability.
     for before in model.words:
         own = [model.probability(before, w) for w in model.words]
