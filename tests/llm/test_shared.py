@@ -45,3 +45,18 @@ def test_the_texts_are_read_once(spark, rows, tmp_path):
     jobs = len(status.getJobIdsForGroup("sample"))
     spark.sparkContext.setJobGroup("", "")
     assert jobs <= 12  # not one for each label
+
+
+def test_a_written_table_frees_its_shuffle_and_puts_the_setting_back(spark, rows):
+    before = spark.conf.get(shared._CLEANUP)
+    grouped = rows("k long, x long", *[(i % 7, i) for i in range(100)]).groupBy("k").agg(F.sum("x").alias("x"))
+    first = shared.written(grouped, "freed")
+    # What made the table can be used again, and the table does not depend on it.
+    again = shared.written(grouped.join(first.withColumnRenamed("x", "y"), "k"), "freed")
+    assert sorted(map(tuple, again.collect())) == sorted((k, x, x) for k, x in map(tuple, grouped.collect()))
+    shared.dropped(first, again)
+    try:
+        shared.written(grouped.select(F.raise_error(F.lit("no")).alias("x")), "freed")
+    except Exception as e:
+        assert "no" in str(e)
+    assert spark.conf.get(shared._CLEANUP) == before
