@@ -39,8 +39,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences whose lengths are powers of two, with their token ids."""
-    return packing.pack_powers_of_two(docs, queries.tokenizer_path())
+    """Sequences whose lengths are powers of two, with their token ids.
+
+    The Python workers also run the other stages, so they keep no words between tasks.
+    """
+    return packing.pack_powers_of_two(docs, queries.tokenizer_path(), keep_words=False)
 
 
 STAGES = [

@@ -39,6 +39,12 @@ class _Slots(dict):
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([-.,;:!?()#*$%&|<>+=/_]*)")
 
 
+def _cut(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids' bytes from each start to its end."""
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 class WordEncoder:
     """Token ids of texts, from ids of their distinct words.
 
@@ -60,7 +66,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.joins = self._joins()
-        self._clear()
+        self.clear()
 
     def _joins(self) -> bool:
         alike = all(
@@ -69,8 +75,10 @@ class WordEncoder:
         )
         return alike and self.ends[self._ids("abc , \u00e9t\u00e9")].sum() == 3
 
-    def _clear(self) -> None:
-        self.slots, self.parts = _Slots(), {}
+    def clear(self) -> None:
+        """Forget the words, not the tokenizer."""
+        self.slots = _Slots()
+        self.parts: dict[str, bytes] = {}
         self.flat = np.zeros(0, np.uint32)
         self.lengths = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
@@ -78,16 +86,16 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word: joined by a special token, which separates and shows up."""
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as bytes: joined by a special token, which separates and shows up."""
         if self.mark is None or any(m in w for w in words for m in self.marks):
             if len(words) == 1 or self.mark is None:
-                return [self._ids(w.decode("utf-8", "replace")) for w in words]
+                return [self._ids(w.decode("utf-8", "replace")).tobytes() for w in words]
             half = len(words) // 2
             return self._encode(words[:half]) + self._encode(words[half:])
         ids = self._ids(self.mark.join(w.decode("utf-8", "replace") for w in words))
-        found = np.split(ids, np.flatnonzero(ids == self.mark_id))
-        return [found[0], *(x[1:] for x in found[1:])]
+        marks = 4 * np.flatnonzero(ids == self.mark_id)
+        return _cut(ids, np.append(0, marks + 4), np.append(marks, 4 * len(ids)))
 
     def _learn(self, parts: list[str]) -> None:
         """Ids of letters and marks, joined by blanks: the last id of each one ends a word."""
@@ -98,10 +106,10 @@ class WordEncoder:
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(parts):
             raise ValueError("the tokenizer does not mark the ends of words as expected")
-        self.parts.update(zip(parts, np.split(ids, cuts[:-1]), strict=True))
+        self.parts.update(zip(parts, _cut(ids, 4 * np.append(0, cuts[:-1]), 4 * cuts), strict=True))
 
-    def _found(self, new: list[bytes]) -> list[np.ndarray]:
-        """Ids of each new word."""
+    def _found(self, new: list[bytes]) -> list[bytes]:
+        """Ids of each new word, as bytes, which take less room than an array for each."""
         split = [PLAIN.fullmatch(w.decode("utf-8", "replace")) if self.joins else None for w in new]
         pairs = [m and (m[1].lower(), m[2]) for m in split]
         unknown = list({x: None for p in pairs if p for x in p if x and x not in self.parts})
@@ -113,14 +121,14 @@ class WordEncoder:
         by_place = dict(zip(rest, coded, strict=True))
         parts = self.parts
         return [
-            by_place[i] if not p else np.concatenate([parts[p[0]], parts[p[1]]]) if p[0] and p[1] else parts[p[0] or p[1]]
+            by_place[i] if not p else parts[p[0]] + parts[p[1]] if p[0] and p[1] else parts[p[0] or p[1]]
             for i, p in enumerate(pairs)
         ]
 
     def __call__(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
         if len(self.slots) > CACHE_WORDS:
-            self._clear()
+            self.clear()
         words = [t.split() for t in text]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at = np.concatenate(
@@ -130,8 +138,8 @@ class WordEncoder:
         new, self.slots.new = self.slots.new, []
         if new:
             found = self._found(new)
-            self.flat = np.concatenate([self.flat, *found])
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
+            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found)) // 4])
             self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
@@ -154,39 +162,55 @@ def binary_pieces(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _cut_up(batch: pa.RecordBatch, encode: WordEncoder, longest: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    data, bounds = utf8(batch.column(1))
+    for low, high in slices(bounds):
+        raw = data[bounds[low] : bounds[high]].tobytes()
+        cut = (bounds[low : high + 1] - bounds[low]).tolist()
+        ids, counts = encode([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+        ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+        counts = counts + 1
+        sizes = [binary_pieces(n, longest) for n in counts.tolist()]
+        n_pieces = np.fromiter(map(len, sizes), np.int64, len(sizes))
+        length = np.array([x for s in sizes for x in s], np.int64)
+        ends = np.cumsum(length)
+        doc = np.repeat(np.arange(low, high), n_pieces)
+        first = np.repeat(np.cumsum(counts) - counts, n_pieces)
+        offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(doc)).cast(pa.int64()),
+                pa.array(ends - length - first),
+                pa.array(length),
+                pa.Array.from_buffers(
+                    pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))]
+                ),
+                pa.array(np.repeat(counts, n_pieces)),
+            ],
+            names=["doc_id", "start", "length", "ids", "doc_tokens"],
+        )
+
+
+def _packed(
+    batches: Iterator[pa.RecordBatch], path: str, longest: int, end_id: int, keep_words: bool = True
+) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
-    for batch in batches:
-        data, bounds = utf8(batch.column(1))
-        for low, high in slices(bounds):
-            raw = data[bounds[low] : bounds[high]].tobytes()
-            cut = (bounds[low : high + 1] - bounds[low]).tolist()
-            ids, counts = encode([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])
-            ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
-            counts = counts + 1
-            sizes = [binary_pieces(n, longest) for n in counts.tolist()]
-            n_pieces = np.fromiter(map(len, sizes), np.int64, len(sizes))
-            length = np.array([x for s in sizes for x in s], np.int64)
-            ends = np.cumsum(length)
-            doc = np.repeat(np.arange(low, high), n_pieces)
-            first = np.repeat(np.cumsum(counts) - counts, n_pieces)
-            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(doc)).cast(pa.int64()),
-                    pa.array(ends - length - first),
-                    pa.array(length),
-                    pa.Array.from_buffers(
-                        pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))]
-                    ),
-                    pa.array(np.repeat(counts, n_pieces)),
-                ],
-                names=["doc_id", "start", "length", "ids", "doc_tokens"],
-            )
+    try:
+        for batch in batches:
+            yield from _cut_up(batch, encode, longest, end_id)
+    finally:
+        if not keep_words:
+            encode.clear()
 
 
 def pack_powers_of_two(
-    df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", longest: int = 4096, end_id: int = 2
+    df: DataFrame,
+    tokenizer: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    longest: int = 4096,
+    end_id: int = 2,
+    keep_words: bool = True,
 ) -> DataFrame:
     """Cut each document's tokens into pieces whose lengths are powers of two.
 
@@ -201,13 +225,16 @@ def pack_powers_of_two(
     on its task and place in it. Use a tokenizer with word ends (see
     :class:`WordEncoder`); its file must be at ``tokenizer`` on every machine.
 
+    A Python worker keeps the words that it has encoded for its next tasks, a few hundred MB that it holds
+    while it runs other operators, too; with ``keep_words=False`` they go at the end of each task.
+
     A null or empty text is one piece with ``end_id``; a null id stays null; repeated rows
     are packed each; no rows give no rows. Only the two named columns are read.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = rows.mapInArrow(lambda it: _packed(it, tokenizer, longest, end_id), PIECES)
+    pieces = rows.mapInArrow(lambda it: _packed(it, tokenizer, longest, end_id, keep_words), PIECES)
     return pieces.select(
         "*",
         F.monotonically_increasing_id().alias("sequence_id"),

@@ -3,9 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from tallyframe.llm import queries, toxicity
+from tallyframe.llm import packing, queries, toxicity
 from tests.compare import TESTDATA
 
 from . import brute
@@ -55,3 +57,24 @@ def test_the_order_of_stages():
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "substring_dedup", "decontamination", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("ended", [True, False])
+def test_packing_leaves_no_words_in_workers(monkeypatch, ended):
+    """Workers also run the other stages: words kept from packing took an executor over its memory there."""
+    given = {}
+    monkeypatch.setattr(packing, "pack_powers_of_two", lambda docs, path, **more: given.update(more))
+    corpus_pipeline.pack(None, None, FOLDER)
+    path = queries.tokenizer_path()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two, three", "four"]})
+    kept = [b.to_pylist() for b in packing._packed(iter([batch]), path, 4096, 2)]
+    encoder = packing.encoder(path)
+    assert encoder.slots and encoder.parts
+    pieces = packing._packed(iter([batch]), path, 4096, 2, **given)
+    if ended:
+        assert [b.to_pylist() for b in pieces] == kept
+    else:  # a task that fails or is stopped
+        next(pieces)
+        pieces.close()
+    assert not encoder.slots and not encoder.parts and not len(encoder.flat)
+    assert packing.encoder(path) is encoder
