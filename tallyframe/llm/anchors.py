@@ -55,13 +55,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x) - width + 1
     if n <= 0:
         return x[:0]
-    blocks = -(-len(x) // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    grid = padded.reshape(blocks, width)
-    right = np.minimum.accumulate(grid, axis=1).ravel()
-    left = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(left[:n], right[width - 1 : width - 1 + n])
+    have = 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[:n], x[width - have : width - have + n])
 
 
 def stretches(hashes: Hashes, bounds: np.ndarray, window: int, gram: int = 0):
@@ -73,24 +71,25 @@ def stretches(hashes: Hashes, bounds: np.ndarray, window: int, gram: int = 0):
     if len(hashes.total) > 1 << PLACE_BITS:
         raise ValueError(f"a text has more than 2^{PLACE_BITS} symbols")
     gram = gram or window // 2
-    width = window - gram + 1
     grams = hashes.all(gram)
-    place = np.arange(len(grams), dtype=np.uint64)
     low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
-    best = (sliding_min((grams & ~low) | place, width) & low).astype(np.int64)
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(best)]
-    start = np.flatnonzero(np.arange(len(best)) + window <= bounds[text + 1])
-    if not len(start):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    at, of = best[start], text[start]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))
-    count = np.diff(np.append(new, len(start)))
-    first = start[new]
-    return of[new], first, count, grams[at[new]], hashes.of(first, first + count - 1 + window)
+    placed = grams & ~low
+    placed |= np.arange(len(grams), dtype=np.uint64)
+    best = sliding_min(placed, window - gram + 1)
+    # A stretch ends where the anchor changes, where a text begins, and after the last window of a text.
+    long = np.diff(bounds) >= window
+    ends = (np.flatnonzero(best[1:] != best[:-1]) + 1, bounds[:-1][long], bounds[1:][long] - window + 1)
+    cut = np.unique(np.concatenate(ends))
+    text = np.searchsorted(bounds, cut, side="right") - 1
+    inside = cut + window <= bounds[np.minimum(text + 1, len(bounds) - 1)]
+    first, of = cut[inside], text[inside]
+    count = np.diff(np.append(cut, len(best)))[inside]
+    return of, first, count, grams[(best[first] & low).astype(np.int64)], hashes.of(first, first + count - 1 + window)
 
 
 SAMPLED = "h long, seg long, key long, fp long, s int, n int"
+#: Bytes of text that are hashed at a time; the arrays of so many stay in a processor's cache.
+SAMPLED_BYTES = 1 << 16
 
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -113,7 +112,7 @@ def symbols(data: np.ndarray, bounds: np.ndarray, words: bool) -> tuple[Hashes,
 
 
 def _sampled(batches: Iterator[pa.RecordBatch], window: int, words: bool, grams_only: bool) -> Iterator[pa.RecordBatch]:
-    for rows, data, bounds in texts(batches, "text", 1 << 18):
+    for rows, data, bounds in texts(batches, "text", SAMPLED_BYTES):
         hashes, own = symbols(data, bounds, words)
         text, first, count, gram, seg = stretches(hashes, own, window)
         key = rows.column("key").to_numpy(zero_copy_only=False)[text]

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Hashes, covered, in_parts, keyed, repeated_stretches, stretches
+from .anchors import Hashes, in_parts, keyed, repeated_stretches, stretches
 from .shared import dropped, read_from, written
-from .text import BYTE_CODE
+from .text import BYTE_CODE, texts
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 #: A document that has open windows is carried on with its text; the others are finished.
@@ -22,15 +23,45 @@ _RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int
 _RESULT += [("kept", pa.binary()), ("kept_sha256", pa.string())]
 
 
-def _finish(text: bytes, hits: list[tuple[int, int]], window: int, keep: bool) -> tuple:
-    gone = covered(len(text), hits, window)
-    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-    kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-    return len(text), int(gone.sum()), spans, kept if keep else None, hashlib.sha256(kept).hexdigest()
-
-
-def _windows(found: list | None) -> list[tuple[int, int]]:
-    return [(x["s"], x["n"]) for x in found or ()]
+def _entries(lists: pa.Array) -> tuple[np.ndarray, ...]:
+    """The row of each entry of a column of lists of structs, and the fields of the entries; a null list is empty."""
+    each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)]
+    return np.repeat(np.arange(len(each)), each), *fields
+
+
+def _listed(rows: int, own: np.ndarray, **fields: np.ndarray) -> pa.Array:
+    """The opposite: a list for each row; ``own`` ascends."""
+    offsets = np.searchsorted(own, np.arange(rows + 1)).astype(np.int32)
+    entries = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(offsets), entries)
+
+
+def _finish(
+    data: np.ndarray, bounds: np.ndarray, own: np.ndarray, s: np.ndarray, n: np.ndarray, window: int, keep: bool
+) -> list[pa.Array]:
+    """The columns of the result but the id, for texts that lose the windows ``s`` to ``s + n`` of the texts ``own``."""
+    begin = bounds[own] + s
+    edge = np.bincount(begin, minlength=len(data) + 1)
+    edge -= np.bincount(begin + n - 1 + window, minlength=len(data) + 1)
+    gone = np.cumsum(edge, out=edge)[:-1] > 0
+    first = gone.copy()
+    first[1:] &= ~gone[:-1]
+    inner = bounds[1:-1][bounds[1:-1] < len(data)]
+    first[inner] = gone[inner]
+    spans = np.diff(np.searchsorted(np.flatnonzero(first), bounds))
+    removed = np.zeros(len(spans), np.int64)
+    for k in np.unique(own):
+        removed[k] = np.count_nonzero(gone[bounds[k] : bounds[k + 1]])
+    kept = [data[a:b][~gone[a:b]] if r else data[a:b] for a, b, r in zip(bounds, bounds[1:], removed, strict=False)]
+    return [
+        pa.array(np.diff(bounds)),
+        pa.array(removed),
+        pa.array(spans),
+        pa.array([x.tobytes() for x in kept] if keep else [None] * len(kept), pa.binary()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+    ]
 
 
 def _task() -> int:
@@ -46,22 +77,26 @@ def _divided(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iter
         + [("hits", pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))]
     )
     number = _task() << 32
-    for some in in_parts(batches):
-        out = []
-        for row in some:
-            text = (row["text"] or "").encode()
-            found = row["found"] or ()
-            hits = [x for x in found if x["w"] != 1]
-            undecided = [x for x in found if x["w"]]
-            base = dict.fromkeys(schema.names) | {"doc_id": row["doc_id"]}
-            if undecided:
-                number += 1
-                base |= {"row": number, "text": text, "open": undecided, "hits": [{"s": x["s"], "n": x["n"]} for x in hits]}
-            else:
-                done = _finish(text, _windows(hits), window, keep)
-                base |= dict(zip(("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"), done, strict=True))
-            out.append(base)
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+    for batch, data, bounds in texts(batches, "text"):
+        own, s, n, w = _entries(batch.column("found"))
+        undecided, hit = w != 0, w != 1
+        waits = np.bincount(own[undecided], minlength=batch.num_rows) > 0
+        # Texts that wait count as empty here, and the others where they are passed on.
+        size = np.diff(bounds)
+        done = np.concatenate([[0], np.cumsum(np.where(waits, 0, size))])
+        at_once = hit & ~waits[own]
+        finished = _finish(data[~np.repeat(waits, size)], done, own[at_once], s[at_once], n[at_once], window, keep)
+        finished = [pc.if_else(pa.array(waits), pa.scalar(None, x.type), x) for x in finished]
+        row = pa.array(number + np.cumsum(waits), pa.int64(), mask=~waits)
+        number += int(waits.sum())
+        text = [data[a:b].tobytes() if x else None for a, b, x in zip(bounds, bounds[1:], waits, strict=False)]
+        later = undecided, hit & waits[own]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *finished, row, pa.array(text, pa.binary())]
+            + [_listed(batch.num_rows, own[later[0]], s=s[later[0]], n=n[later[0]], w=w[later[0]])]
+            + [_listed(batch.num_rows, own[later[1]], s=s[later[1]], n=n[later[1]])],
+            schema=schema,
+        )
 
 
 def _ranges(rows: list[dict]) -> np.ndarray:
@@ -256,13 +291,10 @@ def repeated_windows(pending: DataFrame, window: int) -> DataFrame:
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int, keep: bool) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(_RESULT)
-    for some in in_parts(batches):
-        out = []
-        for row in some:
-            hits = _windows(row["hits"]) + _windows(row["more"])
-            out.append(dict(zip(schema.names, (row["doc_id"], *_finish(row["text"], hits, window, keep)), strict=True)))
-        yield pa.RecordBatch.from_pylist(out, schema=schema)
+    for batch, data, bounds in texts(batches, "text"):
+        own, s, n = (np.concatenate(x) for x in zip(*(_entries(batch.column(c)) for c in ("hits", "more")), strict=True))
+        finished = _finish(data, bounds, own, s, n, window, keep)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *finished], schema=pa.schema(_RESULT))
 
 
 def _judged(rows: DataFrame, *row: str) -> DataFrame:
